@@ -148,8 +148,12 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG, held_out=None) -> l
     ids alone are chosen (with a limit before the shuffle), then their texts are fetched: at most MAX_LANGS * per_lang rows."""
     held_out = fold("doc_id", 4) == 2 if held_out is None else held_out
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("doc_id").distinct().limit(MAX_LANGS * per_lang)
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))  # uniform in [0, 1)
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    # A language's share of places that holds about twice the rows wanted, so that no language gathers in one task.
+    near = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts), "lang").filter(F.col("place") * F.col("count") < 2 * per_lang + 100)
+    chosen = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("doc_id").distinct().limit(MAX_LANGS * per_lang)
     # The bound on the broadcast side is MAX_LANGS * per_lang ids.
     got = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").dropDuplicates(["doc_id"])
     return [(r.text, r.lang) for r in sorted(got.toLocalIterator(), key=lambda r: r.doc_id)]

@@ -1,12 +1,17 @@
 """Queries of this subpackage and their SQL, as __spark_entry__ registers them."""
 
-from . import lang_id, mixing, ngram_jaccard, packing, toxicity
+from . import html_text, lang_id, learned_ann, lm_score, matroska, mixing, ngram_jaccard, packing, token_files, toxicity
 
 QUERIES = {
+    "op1_token_files": token_files.op1,
     "op2_length_buckets": packing.op2,
+    "op3_learned_partitions": learned_ann.op3,
+    "op4_matroska": matroska.op4,
     "op5_systematic_mix": mixing.op5,
     "op6_toxicity": toxicity.op6,
     "op7_ngram_jaccard": ngram_jaccard.op7,
     "op8_language_id": lang_id.op8,
+    "op9_html_blocks": html_text.op9,
+    "op10_stupid_backoff": lm_score.op10,
 }
-ORACLES = {"op5_systematic_mix": mixing.SQL_MIX.replace("{docs}", "documents")}
+ORACLES = {"op5_systematic_mix": mixing.SQL_MIX.replace("{docs}", "documents"), "op10_stupid_backoff": lm_score.SQL}
