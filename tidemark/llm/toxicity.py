@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Hasher, fold, runs, slices, text_buffers
+from .shared import SPACE, Hasher, fold, materialize, runs, slices, text_buffers
 
 #: What a character of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -30,8 +30,9 @@ SUBSTITUTE, DROP, DROP_LEET, REPEAT, ODD = 1.0, 1.5, 5.0, 1.0, 9.0
 #: Buckets of the term table, lengths in bytes of word beginnings, factors of the strongest words, and the least root of a term's
 #: likelihood-ratio statistic (a normal deviate: 4.5 is passed by chance by 3 terms in a million).
 TERM_BITS, BEGINNINGS, DECAY, LOWER, PURE = 22, (4, 5, 6), np.array([1.0, 0.5, 0.25]), 4.5, 3
-#: Labelled rows that the final curve is fitted on, at most (those with the least id hashes).
-CURVE_ROWS = 20000
+#: Labelled rows that terms and curve are learned from, at most (those with the least id hashes): a bounded sample, so that
+#: its ids can be broadcast and no text is shuffled.
+FIT_ROWS = 40000
 LETTERS = 27  # a-z and any other letter or edge
 _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[65:91] = _WORD_BYTES[97:123] = _WORD_BYTES[128:] = True
@@ -220,13 +221,14 @@ def _evidence(weights: np.ndarray, t: np.ndarray, r: np.ndarray, n: int) -> np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicModel:
-    """Counts every labelled row outside the held-out fold, every text for the character model. To the driver come 27^3
-    character counts, the term buckets that toxic rows hold (2^22 at most), and CURVE_ROWS evidences."""
+    """Counts every text for the character model, and up to FIT_ROWS labelled rows outside the held-out fold for the terms. To
+    the driver come 27^3 character counts, the term buckets that toxic rows hold (2^22 at most), and rounded evidences."""
     spark = docs.sparkSession
     held_out = fold("doc_id", 5) == 0 if held_out is None else held_out
     costs = char_costs(char_counts(docs))
-    lab = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    rows = docs.select("doc_id", "text").join(lab, "doc_id").select("text", F.col("__toxic").cast("int").alias("y"), F.abs(F.xxhash64("doc_id")).alias("h"))
+    lab = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    lab = materialize(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
+    rows = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("text", "y")  # FIT_ROWS ids at most
     shared = spark.sparkContext.broadcast(costs)  # 27^3 numbers
 
     def count(batches):
@@ -244,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicModel:
             b = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_pydict({"y": pa.array(np.full(len(b) + 1, k), pa.int32()), "b": pa.array(np.append(b, -1), pa.int32()), "n": pa.array(np.append(total[k][b], sums[k]), pa.int64())})
 
-    counted = rows.select("text", "y").mapInArrow(count, "y int, b int, n long").groupBy("b").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    counted = rows.mapInArrow(count, "y int, b int, n long").groupBy("b").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
     got = counted.filter("toxic > 1 OR b = -1").toPandas()
     all_rows = got[got["b"] == -1]
     n_toxic, n_clean = (int(all_rows["toxic"].sum()), int(all_rows["clean"].sum()))
@@ -268,8 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicModel:
                 x[i : i + n] = np.where(own, _evidence(less.value[1], t, r, n), _evidence(less.value[0], t, r, n))
             yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": pa.array(y.astype(np.int32))})
 
-    sample = rows.orderBy("h").limit(CURVE_ROWS).select("text", "y") if n_toxic + n_clean > CURVE_ROWS else rows.select("text", "y")
-    pairs = sample.mapInArrow(evidences, "x double, y int").groupBy(F.round("x", 2).alias("x")).agg(F.sum("y").alias("p"), F.count("*").alias("n")).toPandas()
+    pairs = rows.mapInArrow(evidences, "x double, y int").groupBy(F.round("x", 2).alias("x")).agg(F.sum("y").alias("p"), F.count("*").alias("n")).toPandas()
     return ToxicModel(costs, weights, *_logistic(pairs["x"].to_numpy(float), pairs["p"].to_numpy(float), pairs["n"].to_numpy(float)))
 
 
