@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, ngram_hashes, slices, text_buffers, word_hashes
+from .shared import ngram_hashes, shared_dir, slices, text_buffers, word_hashes
 
 #: Longest n-gram, factor of each step back, bytes of text in a chunk, hash buckets for each shuffle partition.
-ORDER, ALPHA, CHUNK, BUCKETS_EACH = 3, 0.4, 16 << 20, 4
+ORDER, ALPHA, CHUNK, BUCKETS_EACH = 3, 0.4, 12 << 20, 4
+#: Bits of an n-gram's key: of 10^12 distinct n-grams about one in 70,000 shares its key with another.
+KEY_BITS = 56
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -68,18 +70,18 @@ def _chunks(batches):
 
 def _grams(vocab: bytes, seq: bytes, sizes, order: int):
     """For each n up to order: sorted distinct hashes, the index among them of the n-gram at each valid place, those places."""
-    words = np.cumsum(unpack(vocab, np.uint64))[unpack(seq, np.uint32)] if sizes is not None and len(sizes) and sum(sizes) else np.zeros(0, np.uint64)
-    ends = np.repeat(np.cumsum(np.asarray(sizes, np.int64)), np.asarray(sizes, np.int64))
+    sizes = np.asarray(sizes, np.int64)
+    words = np.cumsum(unpack(vocab, np.uint64))[unpack(seq, np.uint32)] if sizes.sum() else np.zeros(0, np.uint64)
+    left = np.repeat(np.cumsum(sizes).astype(np.int32), sizes) - np.arange(len(words), dtype=np.int32)  # words to the document's end
     for n in range(1, order + 1):
-        h = ngram_hashes(words, n)
-        place = np.flatnonzero(np.arange(len(h)) + n <= ends[: len(h)])
-        keys, index = np.unique(h[place], return_inverse=True)
-        yield keys, index, place
+        place = np.flatnonzero(left >= n).astype(np.int32)
+        keys, index = np.unique(ngram_hashes(words, n)[place] >> np.uint64(64 - KEY_BITS), return_inverse=True)
+        yield keys, index.astype(np.int32), place
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's keys begin; buckets are ranges of the hash."""
-    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**KEY_BITS / buckets)).astype(np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
@@ -88,7 +90,7 @@ def _exploded(order: int, buckets: int):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 keys, counts = [[] for _ in range(buckets)], [[] for _ in range(buckets)]
                 for u, index, _ in _grams(row["vocab"], row["seq"], row["sizes"], order):
                     c, cut = np.bincount(index, minlength=len(u)).astype(np.uint32), _cuts(u, buckets)
@@ -150,6 +152,14 @@ def _scores(order: int, total: int):
     return run
 
 
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows as a table bucketed by the key in the shared folder, so that grouping by it later moves nothing."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    name = f"chunks_{path[-32:]}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", path).option("compression", "none").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_micro, score, by_order_0 ... by_order_<order> for every row.
 
@@ -161,7 +171,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     other. No rows, no result; other columns are ignored."""
     spark = docs.sparkSession
     buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = materialize(docs.select("doc_id", "text").mapInArrow(_chunks, "chunk long, n_words long, ids array<long>, sizes array<long>, vocab binary, seq binary"))
+    chunks = _bucketed(docs.select("doc_id", "text").mapInArrow(_chunks, "chunk long, n_words long, ids array<long>, sizes array<long>, vocab binary, seq binary"), "chunk")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
     asked = chunks.select("chunk", "sizes", "vocab", "seq").mapInArrow(_exploded(order, buckets), "bucket int, chunk long, keys array<binary>, counts array<binary>")
     answers = asked.groupBy("bucket").applyInPandas(_answers, "chunk long, bucket int, answer array<binary>")

@@ -5,12 +5,17 @@ is D differ in at most D parts, so the Hamming distance over parts is a lower bo
 the difference is at most (a + b) / 9, and a set with more non-empty parts than that shares a non-empty part with every
 partner (pigeonhole): equal parts are the join keys, per size band. A pair is joined in the band of its larger set.
 
+Linked pairs do not just share one part but at least `need` of them (the set's non-empty parts less the greatest difference a
+partner may have), so a document that shares fewer keys with other components is out without any comparison: passages that
+many documents share give each of them a few common parts, not enough.
+
 Stages, all distributed; what crosses to the driver are counts:
-1. classes: documents with equal sets become one (size and 128-bit set hash), the smallest id stands for them;
-2. keys of the representatives, and within each key the smallest id as its anchor: every document verifies its commonest
-   anchor, so a group of n near copies costs n pairs, not n^2;
-3. components of the verified links; keys that hold several components are then searched in full: fixed-size blocks of their
-   documents meet pairwise in separate tasks, a bit sketch's Hamming distance rejects, the rest is verified exactly;
+1. classes: documents with equal sets (size and 128-bit set hash) are linked through the smallest id;
+2. keys of every document, and within each key the smallest id as its anchor: a document verifies its commonest anchor, if it
+   shares `need` keys with it, so a group of n near copies costs n pairs, not n^2;
+3. components of those links; keys that hold several components are then searched in full for the documents that still share
+   `need` keys with others: fixed-size blocks meet pairwise in separate tasks, a bit sketch's Hamming distance rejects, the
+   rest is verified exactly;
 4. components again.
 """
 
@@ -30,6 +35,8 @@ K, NUM, DEN = 5, 80, 100
 SMALL = 64
 #: Documents of one key that are compared in one task, and documents that meet one anchor in one task.
 BLOCK, FAN = 256, 128
+#: Rows of ids (24 bytes each) that may be broadcast.
+ASKED = 1 << 20
 _TRI = 0x5851F42D4C957F2D
 
 
@@ -55,50 +62,49 @@ def _band_keys(u: np.ndarray, k: int) -> tuple[np.ndarray, int]:
     return mix(parity ^ mix(part[first] + np.uint64((k + 1) << 40))), len(first)
 
 
-def join_keys(u: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The join keys of a set (sorted distinct hashes), and whether the pigeonhole guarantee holds for it as a pair's larger set.
+def join_keys(u: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """The join keys of a set (sorted distinct hashes); how many of them it shares at least with any partner; whether the
+    pigeonhole guarantee holds for it as a pair's larger set.
 
     Keys of its own band always; of the next band too if a partner (at most 1.25 times as large) can lie there."""
     n = len(u)
     if n == 0:
-        return u, True
-    keys, sure = [], True
+        return u, 0, True
+    reach, quarter = n * DEN // NUM, n // 4
     if n <= SMALL:
-        keys.append(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        keys, need, sure = [mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5))], -(-n * NUM // DEN), True
     else:
         own, filled = _band_keys(u, band(n))
-        keys.append(own)
-        sure = filled > 2 * n // 9
-    reach = n * DEN // NUM
-    if n <= SMALL < reach:
-        keys.append(_band_keys(u, 1)[0])
-    elif n > SMALL and band(reach) > band(n):
-        keys.append(_band_keys(u, band(n) + 1)[0])
-    return np.concatenate(keys), sure
+        keys, need, sure = [own], filled - (n + min(reach, SMALL << band(n))) // 9, filled > 2 * n // 9
+    if band(reach) > (band(n) if n > SMALL else 0):
+        beyond, filled = _band_keys(u, band(n) + 1 if n > SMALL else 1)
+        keys.append(beyond)
+        need = min(need, filled - quarter)
+    return np.concatenate(keys), max(1, need), sure
 
 
 def _measure(batches):
-    """doc_id, text -> doc_id, n_shingles, two hashes of the set."""
+    """doc_id, text -> doc_id, n_shingles, two hashes of the set, need, sure."""
     for batch in batches:
-        n, h1, h2 = [], [], []
+        n, h1, h2, need, sure = [], [], [], [], []
         for u in shingle_sets(batch.column(1), K):
+            _, least, ok = join_keys(u)
             n.append(len(u))
+            need.append(least)
+            sure.append(ok)
             h1.append(np.bitwise_xor.reduce(mix(u)) if len(u) else np.uint64(0))
             h2.append(np.add.reduce(mix(u ^ np.uint64(_TRI))) if len(u) else np.uint64(0))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_int64(np.array(h1, np.uint64)), as_int64(np.array(h2, np.uint64))], ["doc_id", "n_shingles", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_int64(np.array(h1, np.uint64)), as_int64(np.array(h2, np.uint64)), pa.array(need, pa.int32()), pa.array(sure, pa.bool_())], ["doc_id", "n_shingles", "h1", "h2", "need", "sure"])
 
 
 def _keys(batches):
-    """doc_id, text -> doc_id, keys, sure."""
+    """doc_id, text -> doc_id, key: a row for each key."""
     for batch in batches:
-        flat, ends, sure = [], [0], []
-        for u in shingle_sets(batch.column(1), K):
-            keys, ok = join_keys(u)
-            flat.append(keys)
-            ends.append(ends[-1] + len(keys))
-            sure.append(ok)
-        values = as_int64(np.concatenate(flat)) if flat else pa.array([], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(sure, pa.bool_())], ["doc_id", "keys", "sure"])
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        data = [join_keys(u)[0] for u in shingle_sets(batch.column(1), K)]
+        for i in range(0, len(data), 512):
+            some = data[i : i + 512]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 512], [len(k) for k in some]).astype(np.int64)), as_int64(np.concatenate(some))], ["doc_id", "key"])
 
 
 def _all_shingles(batches):
@@ -119,12 +125,14 @@ def _verify_fan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(anchor, doc_id) pairs, anchor <> doc_id -> the linked ones as (a, b), by the exact sets. An anchor of many documents
-    is dealt to one task for each FAN of them."""
+    is dealt to one task for each FAN of them. Up to ASKED rows of ids go to the texts; more are joined with them by a shuffle."""
+    pairs = materialize(pairs.select("anchor", "doc_id").distinct())
     size = pairs.groupBy("anchor").agg(F.count("*").alias("fans"))
     dealt = pairs.join(size, "anchor").withColumn("fan", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("fans") / FAN)))
     anchors = dealt.select("anchor", "fan").distinct().withColumn("doc_id", F.col("anchor"))
-    asked = dealt.select("anchor", "fan", "doc_id").unionByName(anchors)
-    return asked.join(texts, "doc_id").groupBy("anchor", "fan").applyInPandas(_verify_fan, "a long, b long")
+    asked = materialize(dealt.select("anchor", "fan", "doc_id").unionByName(anchors))
+    asked = F.broadcast(asked) if asked.count() <= ASKED else asked
+    return materialize(texts.join(asked, "doc_id").groupBy("anchor", "fan").applyInPandas(_verify_fan, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -153,20 +161,37 @@ def _sketch_bits(u: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.uint64)
 
 
+def _sketches(batches):
+    """doc_id, text -> doc_id, n, sketch: a set's parity sketch, its bits the power of two above 2 n."""
+    for batch in batches:
+        sets = list(shingle_sets(batch.column(1), K))
+        out = [_sketch_bits(u, _bits(len(u))).tobytes() for u in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "sketch"])
+
+
+def _bits(n: int) -> int:
+    return 1 << max(9, int(2 * n).bit_length())
+
+
+def _folded(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """A sketch brought to fewer bits: positions are hashes modulo a power of two, so halves are XORed."""
+    while len(sketch) * 64 > bits:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
 def _search_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     """Two blocks (or one) of the documents of one key: pairs of different components that their sketches don't reject."""
-    pdf = pdf.drop_duplicates("doc_id")
-    sets = list(shingle_sets(pa.array(pdf["text"], pa.large_string()), K))
-    n = np.array([len(u) for u in sets])
-    bits = 1 << max(9, int(2 * max(n.max(), 1)).bit_length())
-    sk = np.stack([_sketch_bits(u, bits) for u in sets])
+    n = pdf["n"].to_numpy()
+    bits = _bits(int(n.min()))
+    sk = np.stack([_folded(np.frombuffer(x, np.uint64), bits) for x in pdf["sketch"]])
     ids, comp, side = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
     one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
     out = []
-    for x in range(len(ids)):
-        later = np.arange(len(ids)) > x
-        near = later & (comp != comp[x]) & (True if one else side != side[x])
-        y = np.flatnonzero(near & (DEN * np.minimum(n, n[x]) >= NUM * np.maximum(n, n[x])))
+    for x in range(len(ids) - 1):
+        y = np.arange(x + 1, len(ids))
+        y = y[(comp[y] != comp[x]) & (True if one else side[y] != side[x]) & (DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x]))]
         if len(y):
             far = np.bitwise_count(sk[y] ^ sk[x]).sum(1, dtype=np.int64)
             y = y[9 * far <= n[y] + n[x]]
@@ -174,54 +199,56 @@ def _search_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["anchor", "doc_id"], dtype=np.int64)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, rep for every row: rep is the smallest id with the same set (its own if the set is empty)."""
-    measured = materialize(docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, n_shingles long, h1 long, h2 long"))
-    reps = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    # The keys of a hot class meet one row of reps; Spark splits such a join.
-    return measured.join(reps, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+def _mixed(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """(key, doc_id, component) -> those of keys that hold several components, for documents with at least `need` such keys."""
+    group = Window.partitionBy("key")
+    mixed = rows.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).filter("lo < hi").drop("lo", "hi")
+    enough = mixed.groupBy("doc_id").agg(F.count("*").alias("has")).join(need, "doc_id").filter("has >= need").select("doc_id")
+    return materialize(mixed.join(enough, "doc_id", "left_semi"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), class_id (the smallest doc_id
     with the same set) for every row of docs.
 
-    Null, empty or wordless text: an empty set, linked with nothing. Rows that repeat a doc_id stand for one document each in
-    n_shingles, and their sets' components are joined through the id. Rows without doc_id get null ids and link with nothing.
-    Other columns are ignored. Similar pairs are found exactly; only candidates rest on hashes (64 bits)."""
+    Null, empty or wordless text: an empty set, linked with nothing. Rows that repeat a doc_id each keep their own set, and
+    what one of them links to, all of that id do. Rows without doc_id get null ids and link with nothing. Other columns are
+    ignored. Similar pairs are found exactly; only equality of shingles rests on hashes (64 bits)."""
     docs = docs.select("doc_id", "text")
-    member = materialize(classes(docs))
-    reps = member.filter("n_shingles > 0 AND rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
-    # One text for each representative: repeated ids may carry other texts, so the set's size and smallest text decide.
-    texts = docs.filter("doc_id IS NOT NULL").join(reps, "doc_id", "left_semi")
-    keyed = texts.mapInArrow(_keys, "doc_id long, keys array<long>, sure boolean")
-    exploded = keyed.select("doc_id", "sure", F.explode("keys").alias("key"))
+    known = docs.filter("doc_id IS NOT NULL")
+    measured = materialize(docs.mapInArrow(_measure, "doc_id long, n_shingles long, h1 long, h2 long, need int, sure boolean"))
+    reps = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # Rows of a hot class all meet one row of reps; Spark splits such a join.
+    member = materialize(measured.join(reps, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    need = measured.groupBy("doc_id").agg(F.min("need").alias("need"))
+    same = materialize(member.filter("rep <> doc_id AND n_shingles > 0").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
     group = Window.partitionBy("key")
-    met = exploded.withColumn("anchor", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
+    met = known.mapInArrow(_keys, "doc_id long, key long").withColumn("anchor", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
     shared = materialize(met.filter("anchor < most").select("key", "doc_id", "anchor"))
-    found = materialize(texts.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
     votes = shared.filter("doc_id <> anchor").groupBy("doc_id", "anchor").agg(F.count("*").alias("n"))
-    commonest = votes.groupBy("doc_id").agg(F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("anchor"))
-    links = materialize(verified(commonest, found))
-    first = materialize(components(links))
-    # Keys that still hold several components are searched in full.
-    labelled = shared.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
-    open_keys = labelled.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    blocked = open_keys.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("key", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    near = meets.join(found, "doc_id").groupBy("key", "i", "j").applyInPandas(_search_blocks, "anchor long, doc_id long").distinct()
-    more = verified(near, found)
+    commonest = votes.groupBy("doc_id").agg(F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("anchor"), F.max("n").alias("n"))
+    asked = commonest.join(need, "doc_id").filter("n >= need").select("anchor", "doc_id").join(same.select(F.col("a").alias("anchor"), F.col("b").alias("doc_id")), ["anchor", "doc_id"], "left_anti")
+    links = verified(asked, known)
+    first = materialize(components(links.unionByName(same)))
+    # Keys that still hold several components are searched in full; documents without enough of them drop out, again and again.
+    rows = shared.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rows, n, before = _mixed(rows, need), 0, None
+    while (n := rows.count()) and n != before:
+        before, rows = n, _mixed(rows, need)
+    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocked = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    left = materialize(rows.select("doc_id").distinct())
+    sketched = materialize(known.join(F.broadcast(left) if left.count() <= ASKED else left, "doc_id", "left_semi").mapInArrow(_sketches, "doc_id long, n long, sketch binary"))
+    near = meets.join(sketched, "doc_id").groupBy("key", "i", "j").applyInPandas(_search_blocks, "anchor long, doc_id long")
+    more = verified(near, known)
     # Sets without the pigeonhole guarantee (next to none): all their shingles against everybody's.
-    unsure = keyed.filter(~F.col("sure")).select("doc_id")
-    rest = materialize(texts.join(unsure, "doc_id", "left_semi"))
-    if not rest.isEmpty():
-        weak = rest.mapInArrow(_all_shingles, "doc_id long, keys array<long>").select(F.col("doc_id").alias("anchor"), F.explode("keys").alias("key"))
-        every = texts.mapInArrow(_all_shingles, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
-        more = more.unionByName(verified(every.join(weak, "key").filter("doc_id <> anchor").select("anchor", "doc_id").distinct(), texts))
-    same = member.filter("rep <> doc_id AND n_shingles > 0").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(links.unionByName(more).unionByName(same.distinct()))
+    unsure = measured.filter(~F.col("sure") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    if not unsure.isEmpty():
+        weak = known.join(unsure, "doc_id", "left_semi").mapInArrow(_all_shingles, "doc_id long, keys array<long>").select(F.col("doc_id").alias("anchor"), F.explode("keys").alias("key"))
+        every = known.mapInArrow(_all_shingles, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
+        more = more.unionByName(verified(every.join(weak, "key").filter("doc_id <> anchor").select("anchor", "doc_id"), known))
+    labels = components(links.unionByName(more).unionByName(same))
     return member.join(labels, member["doc_id"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("rep").alias("class_id"))
 
 
