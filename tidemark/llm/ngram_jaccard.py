@@ -33,8 +33,8 @@ from .shared import as_int64, materialize, mix, shingle_sets
 K, NUM, DEN = 5, 80, 100
 #: Sets up to this size use every shingle as a key: too few parts to be sure of a non-empty one.
 SMALL = 64
-#: Documents of one key that are compared in one task, and documents that meet one anchor in one task.
-BLOCK, FAN = 256, 128
+#: Documents of one key in a block, documents that meet one anchor in one task, and rows that are searched together.
+BLOCK, FAN, SEARCHED = 256, 128, 4096
 #: Rows of ids (24 bytes each) that may be broadcast.
 ASKED = 1 << 20
 _TRI = 0x5851F42D4C957F2D
@@ -182,21 +182,28 @@ def _folded(sketch: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _search_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Two blocks (or one) of the documents of one key: pairs of different components that their sketches don't reject."""
-    n = pdf["n"].to_numpy()
-    bits = _bits(int(n.min()))
-    sk = np.stack([_folded(np.frombuffer(x, np.uint64), bits) for x in pdf["sketch"]])
-    ids, comp, side = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
-    one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    out = []
-    for x in range(len(ids) - 1):
-        y = np.arange(x + 1, len(ids))
-        y = y[(comp[y] != comp[x]) & (True if one else side[y] != side[x]) & (DEN * np.minimum(n[y], n[x]) >= NUM * np.maximum(n[y], n[x]))]
-        if len(y):
-            far = np.bitwise_count(sk[y] ^ sk[x]).sum(1, dtype=np.int64)
-            y = y[9 * far <= n[y] + n[x]]
-            out += [(min(ids[x], ids[k]), max(ids[x], ids[k])) for k in y]
-    return pd.DataFrame(out, columns=["anchor", "doc_id"], dtype=np.int64)
+    """Some pairs of blocks (of one key each): pairs of documents of different components that their sketches don't reject."""
+    pdf = pdf.sort_values(["key", "i", "j"])
+    change = (np.diff(pdf[["key", "i", "j"]].to_numpy(), axis=0) != 0).any(1)
+    cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(pdf)]])
+    docs, first, at = np.unique(pdf["doc_id"].to_numpy(), return_index=True, return_inverse=True)
+    raw, size = pdf["sketch"].to_numpy()[first], pdf["n"].to_numpy()[first]
+    comp, block, cross = pdf["component"].to_numpy(), pdf["block"].to_numpy(), (pdf["i"] != pdf["j"]).to_numpy()
+    out = set()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        n = size[at[a:b]]
+        near = np.triu((comp[a:b, None] != comp[None, a:b]) & (DEN * np.minimum.outer(n, n) >= NUM * np.maximum.outer(n, n)), 1)
+        if cross[a]:
+            near &= block[a:b, None] != block[None, a:b]
+        x, y = np.nonzero(near)
+        if len(x):
+            bits = _bits(int(n.min()))
+            sk = np.stack([_folded(np.frombuffer(raw[k], np.uint64), bits) for k in at[a:b]])
+            far = np.concatenate([np.bitwise_count(sk[x[k : k + 4096]] ^ sk[y[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(x), 4096)])
+            ok = 9 * far <= n[x] + n[y]
+            p, q = docs[at[a + x[ok]]], docs[at[a + y[ok]]]
+            out.update(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
+    return pd.DataFrame(list(out), columns=["anchor", "doc_id"], dtype=np.int64)
 
 
 def _mixed(rows: DataFrame, need: DataFrame) -> DataFrame:
@@ -235,12 +242,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows, n, before = _mixed(rows, need), 0, None
     while (n := rows.count()) and n != before:
         before, rows = n, _mixed(rows, need)
+    # Two documents that share `need` of their keys share one of the first (number - need + 1) in the order of the keys.
+    own = Window.partitionBy("doc_id")
+    rows = rows.withColumn("nth", F.row_number().over(own.orderBy("key"))).withColumn("has", F.count("*").over(own)).join(need, "doc_id").filter("nth <= has - need + 1").select("key", "doc_id", "component")
+    rows = materialize(rows.withColumn("many", F.count("*").over(group)).filter("many > 1").drop("many"))
     size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    tasks = max(1, rows.count() // SEARCHED)
     blocked = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     left = materialize(rows.select("doc_id").distinct())
     sketched = materialize(known.join(F.broadcast(left) if left.count() <= ASKED else left, "doc_id", "left_semi").mapInArrow(_sketches, "doc_id long, n long, sketch binary"))
-    near = meets.join(sketched, "doc_id").groupBy("key", "i", "j").applyInPandas(_search_blocks, "anchor long, doc_id long")
+    near = meets.join(sketched, "doc_id").groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).alias("task")).applyInPandas(_search_blocks, "anchor long, doc_id long")
     more = verified(near, known)
     # Sets without the pigeonhole guarantee (next to none): all their shingles against everybody's.
     unsure = measured.filter(~F.col("sure") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
