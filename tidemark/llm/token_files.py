@@ -27,8 +27,8 @@ from .shared import shared_dir, slices, text_buffers
 
 #: Ids of a chunk, about: all lanes of the coder full. A document is never cut, so one of more ids makes a longer chunk.
 CHUNK = rc.LANES * rc.BLOCK
-#: Words whose ids a task remembers at once.
-REMEMBERED = 1 << 19
+#: Words whose ids a Python worker remembers at once (over its tasks).
+REMEMBERED = 3 << 19
 END = 1
 SCHEMA = "shard int, chunk int, doc_ids array<long>, n_tokens array<int>, block_n array<int>, blocks array<binary>"
 _ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("block_n", pa.list_(pa.int32())), ("blocks", pa.list_(pa.binary()))])
@@ -95,6 +95,11 @@ class WordTokenizer:
         return ids, np.diff(at)
 
 
+@lru_cache(1)
+def _words(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
+
+
 def _chunk(shard: int, chunk: int, doc_ids: list, counts: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
     every = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
     blocks = np.array_split(every, max(1, -(-len(every) // rc.BLOCK)))
@@ -104,7 +109,7 @@ def _chunk(shard: int, chunk: int, doc_ids: list, counts: list[np.ndarray], ids:
 
 def _writer(path: str, end: int):
     def write(batches):
-        words, shard, chunk = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        words, shard, chunk = _words(path), TaskContext.get().partitionId(), 0
         doc_ids, counts, ids, total = [], [], [], 0
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string())
