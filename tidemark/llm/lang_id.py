@@ -21,7 +21,7 @@ BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 #: Labelled documents fitted on, at most, for each language (the least hashes of their ids), and languages at most.
 PER_LANG, MAX_LANGS = 1200, 200
 #: Characters hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 
 @dataclass

@@ -13,7 +13,7 @@ M64 = 0xFFFFFFFFFFFFFFFF
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 #: Bytes of text hashed at a time; bounds the temporary arrays (about 40 bytes per byte of text).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
