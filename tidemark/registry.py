@@ -1,8 +1,9 @@
 """All registered queries of the library (without the training-data operators) and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import backtesting, catalog, detection, scores  # noqa: F401
+
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return detection.detect_acceleration(spark, sf_dir)
