@@ -1,0 +1,137 @@
+"""Core operators against hand-made cases, and every registered query against its SQL at the smallest scale."""
+
+import math
+import random
+import statistics as st
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark import registry
+from tidemark.functions import stats
+from tidemark.operators import backtest, inference, scoring, series, store
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def points(spark, **named):
+    return spark.createDataFrame([(k, float(x), float(y)) for k, ys in named.items() for x, y in enumerate(ys)], "series_id string, x double, y double")
+
+
+FLAT = [100, 103, 98, 101, 99, 102, 100, 97, 101, 100, 103, 98, 100, 99, 102, 100, 101, 98, 100, 103, 99, 100, 102, 98, 101]
+
+
+def test_flat_control_is_silent_and_jump_fires(spark):
+    jump = FLAT[:18] + [v + 40 for v in FLAT[18:]]
+    got = {r.series_id: r for r in series.detect(points(spark, flat=FLAT, jump=jump, short=FLAT[:7]), ["series_id"]).collect()}
+    assert not got["flat"].fired and got["jump"].fired and got["jump"].sustained and "short" not in got
+    assert got["flat"].split == 25 - 8  # round half even of 7.5
+
+
+def test_detector_ignores_an_added_line(spark):
+    line = [v + 3 * i for i, v in enumerate(FLAT)]
+    a, b = (series.detect(points(spark, s=v), ["series_id"]).first() for v in (FLAT, line))
+    assert math.isclose(a.surprise, b.surprise, rel_tol=1e-6)
+
+
+def test_truncating_the_future_changes_no_verdict(spark):
+    base = points(spark, s=FLAT)
+    cut = base.filter("x <= 15")
+    a = series.breakout(base, ["series_id"], F.lit(15)).first()
+    b = series.detect(cut, ["series_id"]).first()
+    c = series.detect(base.filter("x <= 15"), ["series_id"]).first()
+    assert a is not None and b == c
+
+
+def test_medians_and_runs(spark):
+    row = spark.range(1).select(stats.median_of(F.array(*map(F.lit, [3.0, 1.0, 2.0, 10.0]))).alias("m"), stats.longest_run(F.array(*map(F.lit, [True, True, False, True]))).alias("r"), stats.normal_cdf(F.lit(1.96)).alias("z"), stats.pct_nearest(F.array(*map(F.lit, [1.0, 2.0, 3.0])), 0.5).alias("p")).first()
+    assert (row.m, row.r, row.p) == (2.5, 2, 2.0) and abs(row.z - 0.9750021) < 1e-6
+
+
+def test_step_up_control(spark):
+    ps = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double")
+    assert sum(r.survive for r in inference.benjamini_hochberg(df, q=0.05).collect()) == 2
+    assert not any(r.survive for r in inference.benjamini_hochberg(df, q=0.0001).collect())
+
+
+def test_recorded_confusion(spark):
+    ev = spark.createDataFrame([(True, True)] * 7 + [(True, False)] * 6 + [(False, True)] + [(False, False)] * 59, "fired boolean, winner boolean")
+    r = inference.confusion(ev).withColumn("fisher", inference.fisher_greater(*(F.col(x) for x in "abcd"))).first()
+    assert abs(r.lift - 4.9) < 0.05 and r.recall == 0.875 and abs(r.fisher - 7.8e-6) < 1e-6
+    blocks = inference.block_counts(ev.withColumn("b", F.lit(1)), ["b"])
+    assert inference.block_permutation(blocks, reps=500).first().p_block < 0.01
+    lo_hi = inference.block_bootstrap(inference.block_counts(ev.withColumn("b", F.monotonically_increasing_id() % 20), ["b"]), reps=500).first()
+    assert lo_hi.lift_lo < 4.9 < lo_hi.lift_hi
+
+
+def test_power_at_no_lift_is_about_the_level(spark):
+    rng = random.Random(5)
+    ev = spark.createDataFrame([(k % 6, rng.random() < 0.3, rng.random() < 0.4) for k in range(300)], "b int, fired boolean, winner boolean")
+    got = {r.lift: r.power for r in inference.power_curve(inference.block_counts(ev, ["b"]), (1.0, 2.0), outer=60, inner=200).collect()}
+    assert got[1.0] < 0.2 and got[2.0] > got[1.0]
+
+
+def test_surrogates_are_order_free(spark):
+    jump = FLAT[:18] + [v + 40 for v in FLAT[18:]]
+    df = points(spark, flat=FLAT, jump=jump)
+    a = {r.series_id: r.p_mc for r in inference.empirical_p(df, ["series_id"], draws=200).collect()}
+    b = {r.series_id: r.p_mc for r in inference.empirical_p(df.repartition(3, "y"), ["series_id"], draws=200).collect()}
+    assert a == b and a["jump"] < 0.02 < a["flat"]
+
+
+def test_production_margin_on_a_fixture(spark):
+    rows = [(f"s{i}", "c", y, 10.0 * (3 if i == 0 and y > 2000 else 1)) for i in range(6) for y in range(1995, 2005)]
+    df = spark.createDataFrame(rows, "series_id string, cohort string, x int, y double")
+    got = {r.series_id: r for r in backtest.gain_share(backtest.shares(df, ["cohort"]), ["series_id", "cohort"], [2000], 1.5).collect()}
+    assert got["s0"].winner and got["s0"].lead == 1 and not got["s1"].winner
+    with pytest.raises(ValueError):
+        backtest.refuse_sealed([2016, 2018])
+
+
+def test_auc_counts_ties_half(spark):
+    rng = random.Random(3)
+    rows = [(round(rng.random(), 1), rng.random() < 0.5) for _ in range(200)]
+    want = st.mean(1.0 if a > b else 0.5 if a == b else 0.0 for a, x in rows if x for b, y in rows if not y)
+    df = spark.createDataFrame([(p, int(y)) for p, y in rows], "p double, outcome int")
+    assert abs(scoring.auc(df).first().auc - want) < 1e-12
+
+
+def test_merge_rules(spark):
+    s = "series_id string, x int, value double, uncertainty double, unit string, created timestamp"
+    import datetime as d
+
+    t0, t1 = d.datetime(2024, 1, 1), d.datetime(2024, 2, 1)
+    cur = spark.createDataFrame([("a", 1, 1.0, 0.1, "u", t0), ("a", 2, 2.0, 0.1, "u", t0)], s)
+    inc = spark.createDataFrame([("a", 1, 1.0, 0.9, "v", t1), ("a", 2, 3.0, 0.1, "v", t1), ("b", 1, 5.0, 0.1, "v", t1)], s)
+    latest, revisions = store.merge(cur, inc)
+    got = {(r.series_id, r.x): r for r in latest.collect()}
+    assert got["a", 1].uncertainty == 0.9 and got["a", 1].unit == "u" and got["a", 2].value == 3.0 and got["b", 1].unit == "v"
+    assert [(r.x, r.old_value, r.new_value) for r in revisions.collect()] == [(2, 2.0, 3.0)]
+
+
+def _norm(v):
+    if v is None or str(v) in ("<NA>", "nan", "None", "NaT"):
+        return ""
+    if type(v).__name__ in ("bool", "bool_"):
+        return str(bool(v))
+    return repr(float(v)) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
+
+
+def same_as_sql(spark, run, sql, sf=SF):
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want, got = con.execute(sql).df(), run(spark, sf).toPandas()
+    assert sorted(want.columns) == sorted(got.columns)
+    cols = sorted(want.columns)
+    rows = lambda d: sorted(tuple(map(_norm, r)) for r in d[cols].itertuples(index=False))
+    assert rows(want) == rows(got)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_sql(spark, name):
+    same_as_sql(spark, registry.QUERIES[name], registry.ORACLES[name])
