@@ -30,7 +30,7 @@ KEY_BITS = 56
 
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers as compressed byte planes."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
