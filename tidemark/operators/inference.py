@@ -118,9 +118,9 @@ def empirical_p(points: DataFrame, key: list[str], draws: int = 2000, seed: int
 
 
 def block_counts(events: DataFrame, block: list[str], fired: str = "fired", won: str = "winner") -> DataFrame:
-    """Per block its 2 x 2 counts: all that permutation and bootstrap need."""
+    """Per block (block_0, ...) its 2 x 2 counts a, b, c, d: all that permutation and bootstrap need."""
     f, w = F.col(fired), F.col(won)
-    return events.filter(f.isNotNull() & w.isNotNull()).groupBy(*block).agg(F.count_if(f & w).alias("a"), F.count_if(f & ~w).alias("b"), F.count_if(~f & w).alias("c"), F.count_if(~f & ~w).alias("d"))
+    return events.filter(f.isNotNull() & w.isNotNull()).groupBy(*(F.col(c).alias(f"block_{i}") for i, c in enumerate(block))).agg(F.count_if(f & w).alias("a"), F.count_if(f & ~w).alias("b"), F.count_if(~f & w).alias("c"), F.count_if(~f & ~w).alias("d"))
 
 
 def _lift(a, fired, wins, n):

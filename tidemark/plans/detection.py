@@ -75,7 +75,7 @@ lv AS (SELECT series_id, max(y) AS peak, arg_max(y, x) AS value FROM pts GROUP B
 feat AS (SELECT series_id, drift, greatest(1e-6::DOUBLE, sd) AS vol, last, recent - drift AS accel, CASE WHEN peak > 0 THEN (value - peak) / peak ELSE 0 END AS drawdown, value FROM agg JOIN lv USING (series_id))"""
 
 
-@query("series_features", f"WITH {MONTHLY}, {FEATURES} SELECT series_id, round(drift, 6) AS drift, round(vol, 6) AS vol, round(last, 6) AS last, round(accel, 6) AS accel, round(drawdown, 6) AS drawdown, value FROM feat")
+@query("series_features", f"WITH {MONTHLY}, {FEATURES} SELECT series_id, round(drift, 6) + 0.0::DOUBLE AS drift, round(vol, 6) AS vol, round(last, 6) AS last, round(accel, 6) AS accel, round(drawdown, 6) AS drawdown, value FROM feat")
 def series_features(spark, sf_dir):
     return _rounded(series.features(domain.monthly(spark, sf_dir), ["series_id"]), "drift", "vol", "last", "accel", "drawdown")
 
