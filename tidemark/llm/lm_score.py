@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import ngram_hashes, shared_dir, slices, text_buffers, word_hashes
 
 #: Longest n-gram, factor of each step back, bytes of text in a chunk, hash buckets for each shuffle partition.
-ORDER, ALPHA, CHUNK, BUCKETS_EACH = 3, 0.4, 12 << 20, 4
+ORDER, ALPHA, CHUNK, BUCKETS_EACH = 3, 0.4, 8 << 20, 4
 #: Bits of an n-gram's key: of 10^12 distinct n-grams about one in 70,000 shares its key with another.
 KEY_BITS = 56
 
