@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fold, mix
+from .shared import bounded_batches, fold, mix
 
 #: Hash buckets, embedding width, n-gram lengths.
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
@@ -170,6 +170,7 @@ def _predictor(model: LangModel):
 def identify(docs: DataFrame, model: LangModel | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row; repeated rows are repeated. Null or letterless text is
     'und' with score 0 and rejected. lang, source and doc_id never reach a prediction. Other columns are ignored."""
+    bounded_batches(docs.sparkSession)
     model = model or fit(training_rows(docs))
     got = docs.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), _predictor(model)(F.col("text")).alias("p"))
     return got.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
@@ -177,6 +178,7 @@ def identify(docs: DataFrame, model: LangModel | None = None) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: LangModel | None = None) -> DataFrame:
     """The rows whose language is not rejected, columns unchanged."""
+    bounded_batches(docs.sparkSession)
     model = model or fit(training_rows(docs))
     return docs.withColumn("__lang_id", _predictor(model)(F.col("text"))).filter(~F.col("__lang_id.rejected")).drop("__lang_id")
 

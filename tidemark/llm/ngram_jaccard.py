@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import as_int64, materialize, mix, shingle_sets
+from .shared import as_int64, bounded_batches, materialize, mix, shingle_sets
 
 #: Words of a shingle; the least similarity as a ratio of whole numbers.
 K, NUM, DEN = 5, 80, 100
@@ -221,6 +221,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Null, empty or wordless text: an empty set, linked with nothing. Rows that repeat a doc_id each keep their own set, and
     what one of them links to, all of that id do. Rows without doc_id get null ids and link with nothing. Other columns are
     ignored. Similar pairs are found exactly; only equality of shingles rests on hashes (64 bits)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     known = docs.filter("doc_id IS NOT NULL")
     measured = materialize(docs.mapInArrow(_measure, "doc_id long, n_shingles long, h1 long, h2 long, need int, sure boolean"))

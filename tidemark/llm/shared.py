@@ -14,6 +14,8 @@ _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 #: Bytes of text hashed at a time; bounds the temporary arrays (about 40 bytes per byte of text).
 SLICE_BYTES = 1 << 20
+#: Texts sent to Python in one batch.
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows that travel to Python at a time: BATCH_ROWS at most from now on in this session (a lower setting stays). The
+    default of 10,000 would hold a whole task's texts several times over, in the JVM's buffers and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fold(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id as text, modulo k: the folds that learned operators keep apart."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % k

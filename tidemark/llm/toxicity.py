@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Hasher, fold, materialize, runs, slices, text_buffers
+from .shared import SPACE, Hasher, bounded_batches, fold, materialize, runs, slices, text_buffers
 
 #: What a character of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -224,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicModel:
     """Counts every text for the character model, and up to FIT_ROWS labelled rows outside the held-out fold for the terms. To
     the driver come 27^3 character counts, the term buckets that toxic rows hold (2^22 at most), and rounded evidences."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     held_out = fold("doc_id", 5) == 0 if held_out is None else held_out
     costs = char_costs(char_counts(docs))
     lab = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
