@@ -7,7 +7,7 @@ import time
 from tidemark import registry
 from tidemark.session import session
 
-HEADLINE = ["detect_acceleration", "threshold_falling", "series_features", "driver_health", "gain_share_sweep", "backtest_by_origin", "configuration_grid", "false_discovery_rate", "calibration", "discrimination_auc", "scenario_marginals", "store_latest", "store_revisions", "corpus_emergence", "quality_audit", "pre_consensus"]
+HEADLINE = ["detect_acceleration", "threshold_falling", "series_features", "driver_health", "gain_share_sweep", "backtest_by_origin", "configuration_grid", "false_discovery_rate", "calibration", "discrimination_auc", "scenario_marginals", "store_latest", "store_revisions", "corpus_emergence", "quality_completeness", "pre_consensus"]
 
 
 def main() -> None:

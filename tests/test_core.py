@@ -135,3 +135,22 @@ def same_as_sql(spark, run, sql, sf=SF):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):
     same_as_sql(spark, registry.QUERIES[name], registry.ORACLES[name])
+
+
+def test_audits_of_series(spark):
+    from tidemark.operators import mining
+
+    df = spark.createDataFrame([("a", x, 10.0) for x in (1, 2, 3, 7, 8)] + [("b", x, 10.0 if x < 6 else -1.0) for x in range(1, 7)] + [("c", x, 2000.0 if x == 9 else 10.0) for x in range(1, 10) if x != 4], "k string, x int, y double")
+    full = {r.k: (r.missing, r.longest_gap, r.status) for r in mining.completeness(df, ["k"]).collect()}
+    assert full == {"a": (3, 3, "fail"), "b": (0, 0, "ok"), "c": (1, 1, "warn")}
+    valid = {r.k: (r.negative, r.outliers, r.status) for r in mining.validity(df, ["k"]).collect()}
+    assert valid == {"a": (0, 0, "ok"), "b": (1, 0, "fail"), "c": (0, 1, "warn")}
+
+
+def test_emerging_phrase(spark):
+    from tidemark.operators import mining
+
+    months = [f"20{19 + k // 12}-{k % 12 + 1:02d}" for k in range(36)]
+    rows = [(m, "new thing rising" if k >= 24 and k % 4 == 0 and j == 0 else None if j == 1 else f"plain words here{j}") for k, m in enumerate(months) for j in range(12)]
+    got = [r.term for r in mining.emerging(spark.createDataFrame(rows, "month string, text string"), "2021-12", 2).collect()]
+    assert got == ["new thing", "thing rising"]

@@ -1,6 +1,6 @@
 """All registered queries of the library (without the training-data operators) and their SQL."""
 
-from .plans import backtesting, catalog, detection, scores  # noqa: F401
+from .plans import backtesting, catalog, detection, discovery, scores  # noqa: F401
 
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
