@@ -204,6 +204,21 @@ def test_restores_obfuscation():
     assert [t for _, t in toxicity.suspects(data, offsets)] == [b"x1y", b"i d i o t"]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("$cum.", "scum"), ("@sshole!", "asshole"), ("$crub$", "scrub"), ("\"$crub$!\"", "scrub"), ("!diot", "idiot"), ("\u00a3oser", "loser"), ("t r 4 s h", "trash"), ("i d 1 o t .", "idiot"), ("a m o r o n", "moron"), ("m\no\tr  o n", "moron")],
+)
+def test_gate_lets_edges_and_spaced_leet_through(text, want):
+    corpus = " ".join(["the idiot and a moron were losers or a loser in trash like worthless scum and an asshole in a scrub"] * 20).encode()
+    x = toxicity._KIND[np.frombuffer(corpus, np.uint8)]
+    costs = toxicity.char_costs(np.bincount((x[:-2] * 27 + x[1:-1]) * 27 + x[2:], minlength=27**3).astype(float))
+    whole = f"before {text} after"
+    data = np.frombuffer(whole.encode(), np.uint8)
+    assert want in toxicity.Restorer(costs).added(data, np.array([0, len(data)]))[0].split()
+    table = np.frombuffer(b"rows 1 2 3 4 in 1990 (see) -- end. 'so'", np.uint8)
+    assert toxicity.suspects(table, np.array([0, len(table)])) == []
+
+
 def test_toxicity_on_planted_rows(spark, empty):
     rng = random.Random(6)
     rows, labels = [], []

@@ -1,11 +1,11 @@
 """Toxicity: a noisy-channel decoder undoes leetspeak, spacing and repetition, then the restored text is scored.
 
 Words that the channel may have changed (digits or symbols between letters, letters three or more times in a row, runs of
-single letters) become lattices of what each character may have been; Viterbi picks the likeliest reading under a character
-trigram model counted over the whole corpus. Any other word has one reading, itself. A document's evidence is a falling sum of its
-strongest words, each as strong as its best term: terms are words and word beginnings that the labelled rows prove to be
-signs of toxicity, weighted by their log odds. A logistic curve, fitted with every row's own counts left out, turns evidence
-into a score.
+single letters, leetspeak among them) become lattices of what each character may have been, a space nothing or a word's end;
+Viterbi picks the likeliest reading under a character trigram model counted over the whole corpus. A run of single letters is read once without and once with word ends. Any other
+word has one reading, itself. A document's evidence is a falling sum of its strongest words, each as strong as its best term:
+terms are words and word beginnings that the labelled rows prove to be signs of toxicity, weighted by their log odds. A logistic
+curve, fitted with every row's own counts left out, turns evidence into a score.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from .shared import SPACE, Hasher, bounded_batches, fold, materialize, runs, sli
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Signs that may stand between the letters of a word.
 FILLERS = ".-_*~'#%&^/\\"
-#: Channel costs in nats: a substituted, dropped or repeated character, and a character read as it is though it is no letter.
-SUBSTITUTE, DROP, DROP_LEET, REPEAT, ODD = 1.0, 1.5, 5.0, 1.0, 9.0
+#: Channel costs in nats: a substituted, dropped or repeated character, and a character read as it is though it is no letter;
+#: and what a word's end in a run of single letters costs, in each of its readings.
+SUBSTITUTE, DROP, DROP_LEET, REPEAT, ODD, ENDS = 1.0, 1.5, 5.0, 1.0, 9.0, (np.inf, 4.0, 2.0, 0.0)
 #: Buckets of the term table, lengths in bytes of word beginnings, factors of the strongest words, and the least root of a term's
 #: likelihood-ratio statistic (a normal deviate: 4.5 is passed by chance by 3 terms in a million).
 TERM_BITS, BEGINNINGS, DECAY, LOWER, PURE = 22, (4, 5, 6), np.array([1.0, 0.5, 0.25]), 4.5, 3
@@ -38,8 +39,11 @@ _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[65:91] = _WORD_BYTES[97:123] = _WORD_BYTES[128:] = True
 _CHANNEL = np.zeros(256, bool)  # bytes that may stand for letters or between them; an apostrophe alone is no sign of that
 _CHANNEL[[ord(c) for c in "".join(LEET) + FILLERS if ord(c) < 128 and c != "'"]] = True
-_EDGE = np.zeros(256, bool)  # at a word's edge only these may stand for a letter, others are punctuation
-_EDGE[[*range(48, 58), 64, 36]] = True
+_LEET = np.zeros(256, bool)  # bytes that may stand for letters
+_LEET[[ord(c) for c in LEET if ord(c) < 128]] = True
+#: Plain punctuation around a word. At the word's edges within it, these may stand for a letter ('!' and '+' not at the end).
+_BEFORE, _AFTER, _FIRST, _LAST = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"\"'([{<.,;:-_*~#", b"\"')]}>.,;:!?-_*~#", b"0123456789@$!|+", b"0123456789@$|"))
+_MONEY = ((0xE2, 0x82, 0xAC), (0xC2, 0xA3))  # the signs of LEET that have several bytes
 _KIND = np.full(256, 26)
 _KIND[65:91] = _KIND[97:123] = np.arange(26)
 
@@ -74,7 +78,7 @@ def char_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3)
 
 
-def _readings(token: str) -> list[list[tuple[str, float]]]:
+def _readings(token: str, end: float) -> list[list[tuple[str, float]]]:
     """The lattice: for each character of the token its readings ('' drops it) and their channel costs."""
     out = []
     low = token.lower()
@@ -85,15 +89,19 @@ def _readings(token: str) -> list[list[tuple[str, float]]]:
             out.append([(c, REPEAT if tripled else 0.0), *([("", 0.0)] if tripled else [])])
         else:
             read = [(x, SUBSTITUTE) for x in LEET.get(c, "")]
-            out.append([*read, ("", 0.0 if c == " " else DROP if c in FILLERS or i + 1 == len(low) and c in "!(|+" else DROP_LEET), *([] if c == " " else [(c, ODD)])])
+            if c == " ":
+                out.append([("", 0.0), *([(c, end)] if end < np.inf else [])])
+                continue
+            alone = c in LEET and i > 0 and low[i - 1] == " " and low[i + 1 : i + 2] == " "  # in a letter's place
+            out.append([*read, ("", ODD if alone else DROP if c in FILLERS or i + 1 == len(low) and c in "!(|+" else DROP_LEET), (c, ODD)])
     return out
 
 
-def restore(token: str, costs: np.ndarray) -> str:
-    """The likeliest reading of one token (Viterbi; the state is the last two letters kept)."""
+def restore(token: str, costs: np.ndarray, end: float = np.inf) -> str:
+    """The likeliest reading of one token (Viterbi; the state is the last two letters kept); `end`: cost of a word's end at a space."""
     kind = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26
     beam: dict[tuple[int, int], tuple[float, tuple]] = {(26, 26): (0.0, ())}
-    for choices in _readings(token):
+    for choices in _readings(token, end):
         nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, path) in beam.items():
             for letter, extra in choices:
@@ -113,14 +121,31 @@ def restore(token: str, costs: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def _core(starts: np.ndarray, ends: np.ndarray, plain: np.ndarray, last: bool) -> np.ndarray:
+    """Position of each token's first (last) byte that is not plain; of its first byte if all are."""
+    where = np.flatnonzero(~plain)
+    if not len(where):
+        return starts
+    at = where[np.clip(np.searchsorted(where, ends, "left") - 1 if last else np.searchsorted(where, starts, "left"), 0, len(where) - 1)]
+    return np.where((at >= starts) & (at < ends), at, starts)
+
+
 def suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
-    """(row, stretch): tokens with a channel sign between letters, one at an edge, or a letter three times in a row; and runs
-    of three or more single letters, joined."""
+    """(row, stretch): tokens with a channel sign between letters, one that may be a letter at an edge (punctuation around the
+    word aside), or a letter three times in a row; and runs of three or more single letters or signs that may be letters, at
+    least one of them a letter, joined with single spaces."""
     starts, ends, rows = runs(data, offsets, ~SPACE)
     if not len(starts):
         return []
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(rows))
     letter, sign = _WORD_BYTES[data], _CHANNEL[data]
+    before, after, money = _BEFORE[data], _AFTER[data], np.zeros(len(data), bool)
+    for code in _MONEY:
+        if len(data) >= len(code):
+            at = np.flatnonzero(np.logical_and.reduce([data[i : len(data) - len(code) + 1 + i] == c for i, c in enumerate(code)]))
+            for i in range(len(code)):
+                money[at + i] = True
+    letter, sign = letter & ~money, sign | money
     letters = np.concatenate([[0], np.cumsum(letter)])
     signs = np.concatenate([[0], np.cumsum(sign)])
     count = letters[ends] - letters[starts]
@@ -129,17 +154,18 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
     first, last = where[letters[starts[some]]], where[letters[ends[some]] - 1]
     odd = np.zeros(len(starts), bool)
     odd[some] = signs[last] - signs[first] > 0
-    one = (count >= 2) & (signs[ends] - signs[starts] == 1)
-    odd |= one & (_EDGE[data[starts]] | _EDGE[data[ends - 1]])
+    head, tail = _core(starts, ends, before, False), _core(starts, ends, after, True)
+    odd |= (count >= 1) & (tail - head >= 2) & (_FIRST[data[head]] | _LAST[data[tail]] | money[head] | money[tail])
     triple = np.flatnonzero(letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] < 128)) + 2
     odd[np.searchsorted(starts, triple, "right") - 1] = True
     out = [(int(row[k]), data[starts[k] : ends[k]].tobytes()) for k in np.flatnonzero(odd)]
-    single = (count == 1) & (ends - starts <= 2)
+    leet = (count == 0) & (_LEET[data[starts]] & ((ends - starts == 1) | (ends - starts == 2) & after[ends - 1]) | money[starts] & money[ends - 1] & (ends - starts <= 3))
+    single = (count == 1) & (ends - starts <= 2) | leet
     change = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     for a, b in zip(change[::2], change[1::2], strict=True):
         for k in np.split(np.arange(a, b), np.flatnonzero(np.diff(row[a:b])) + 1):
-            if len(k) >= 3:
-                out.append((int(row[k[0]]), data[starts[k[0]] : ends[k[-1]]].tobytes()))
+            if len(k) >= 3 and count[k].any():
+                out.append((int(row[k[0]]), b" ".join(data[starts[k[0]] : ends[k[-1]]].tobytes().split())))
     return out
 
 
@@ -147,7 +173,12 @@ class Restorer:
     """Restored forms of suspicious stretches; equal stretches are decoded once."""
 
     def __init__(self, costs: np.ndarray):
-        self.one = lru_cache(1 << 16)(lambda token: restore(token.decode("utf-8", "replace"), costs))
+        self.costs, self.one = costs, lru_cache(1 << 16)(self.read)
+
+    def read(self, stretch: bytes) -> str:
+        """The reading of a token; the distinct words of all readings of a run of single letters."""
+        text = stretch.decode("utf-8", "replace")
+        return " ".join(dict.fromkeys(w for end in (ENDS if " " in text else ENDS[:1]) for w in restore(text, self.costs, end).split()))
 
     def added(self, data: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Per row the restored stretches, parted by spaces."""
