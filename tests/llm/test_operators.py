@@ -241,6 +241,18 @@ def test_toxicity_on_planted_rows(spark, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_weights_follow_rates_and_the_curve_fits():
+    w = toxicity._weights(np.array([200.0, 4.0, 0.0]), np.array([396.0, 396.0, 50.0]), 400, 39600)
+    assert abs(w[0] - np.log(50)) < 0.1 and w[1] == w[2] == 0  # half of the toxic rows against 1 % of the clean ones
+    x = np.arange(13) + 0.5
+    toxic = np.array([15.0, 0, 0, 1, 4, 4, 11, 28, 55, 33, 5, 14, 114])
+    clean = np.array([2502.0, 115, 106, 31, 25, 15, 7, 2, 0, 0, 0, 0, 0])
+    x[0] = 0
+    slope, shift = toxicity._logistic(x, toxic, toxic + clean)
+    s = 1 / (1 + np.exp(-slope * x - shift))
+    assert abs((s * (toxic + clean) - toxic).sum()) < 0.1 and 5 < -shift / slope < 7  # whole Newton steps swing: half at 2.7
+
+
 # --- 7
 def brute_components(rows):
     sets, parent = {}, {}

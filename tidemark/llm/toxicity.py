@@ -30,7 +30,7 @@ FILLERS = ".-_*~'#%&^/\\"
 SUBSTITUTE, DROP, DROP_LEET, REPEAT, ODD, ENDS = 1.0, 1.5, 5.0, 1.0, 9.0, (np.inf, 4.0, 2.0, 0.0)
 #: Buckets of the term table, lengths in bytes of word beginnings, factors of the strongest words, and the least root of a term's
 #: likelihood-ratio statistic (a normal deviate: 4.5 is passed by chance by 3 terms in a million).
-TERM_BITS, BEGINNINGS, DECAY, LOWER, PURE = 22, (4, 5, 6), np.array([1.0, 0.5, 0.25]), 4.5, 3
+TERM_BITS, BEGINNINGS, DECAY, LOWER = 22, (4, 5, 6), np.array([1.0, 0.5, 0.25]), 4.5
 #: Labelled rows that terms and curve are learned from, at most (those with the least id hashes): a bounded sample, so that
 #: its ids can be broadcast and no text is shuffled.
 FIT_ROWS = 40000
@@ -225,13 +225,13 @@ class ToxicModel:
 
 
 def _weights(toxic, clean, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Log odds of a term in toxic against clean rows; 0 unless it is in over PURE times as many toxic as clean rows and
-    the root of its likelihood-ratio statistic reaches LOWER."""
+    """Log odds of a term in toxic against clean rows; 0 unless they are positive and the root of its likelihood-ratio
+    statistic reaches LOWER. How much weak terms prove is left to the curve."""
     odds = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0))
     share, seen = (n_toxic + 0.5) / (n_toxic + n_clean + 1.0), toxic + clean
     part = lambda k, p: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(seen * p, 1e-9)), 0.0)
     root = np.sqrt(np.maximum(0, 2 * (part(toxic, share) + part(clean, 1 - share))))
-    return np.where((toxic > PURE * clean) & (odds > 0) & (root >= LOWER), odds, 0.0)
+    return np.where((odds > 0) & (root >= LOWER), odds, 0.0)
 
 
 def _evidence(weights: np.ndarray, t: np.ndarray, r: np.ndarray, n: int) -> np.ndarray:
@@ -307,16 +307,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicModel:
 
 
 def _logistic(x: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's method with a small ridge; without rows a curve that stays below one half at 0."""
+    """Slope and shift by Newton's method with a small ridge, a step halved until the loss falls (whole steps may swing for
+    ever); without rows a curve that stays below one half at 0."""
     a, c = 1.0, -2.0
     if not n.sum() or not 0 < p.sum() < n.sum():
         return a, c
-    for _ in range(50):
+    loss = lambda a, c: (n * np.logaddexp(0, a * x + c) - p * (a * x + c)).sum() + 0.005 * a * a
+    for _ in range(100):
         s = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
         v = n * s * (1 - s)
         g = np.array([((p - n * s) * x).sum() - 0.01 * a, (p - n * s).sum()])
         h = np.array([[(v * x * x).sum() + 0.01, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
         step = np.clip(np.linalg.solve(h, g), -2, 2)
+        now = loss(a, c)
+        while loss(a + step[0], c + step[1]) > now and np.abs(step).max() >= 1e-9:
+            step = step / 2
         a, c = a + step[0], c + step[1]
         if np.abs(step).max() < 1e-9:
             break
