@@ -346,6 +346,15 @@ def test_html_blocks(spark):
     assert html_text.main_text(plain).startswith(good) or good in html_text.main_text(plain)
 
 
+@pytest.mark.parametrize("open_", ['<body class="has-sidebar"><article>', '<body class="nav-open"><main>', '<main class="content with-sidebar">', '<div class="legal-news"><article>', '<div class="comments"><main>', '<div class="sidebar"><article class="notice">', '<html class="menu"><body id="search"><div class="modal-open">'])
+def test_names_of_wrappers_keep_the_article(open_):
+    good = " ".join(["the story of a town and its river was told by the people that lived in it"] * 3)
+    bad = f'<div class="sidebar"><p>{good} bad</p></div><div class="main-nav x">{good} bad</div><div class=related><article>{good} bad</article></div>'
+    assert html_text.main_text(f"{open_}<h1>Title</h1><p>{good}</p>") == f"Title\n\n{good}"
+    assert html_text.main_text(f"<body><article><p>{good}</p></article>{bad}</body>") == good
+    assert html_text.main_text(f'<div class="comments"><article class="comment-body">{good}</article></div><nav><main>{good}</main></nav>') == ""
+
+
 # --- 10
 def test_scores_by_brute_force(spark, edges, empty):
     import collections

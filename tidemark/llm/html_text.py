@@ -1,7 +1,7 @@
 """Main text of web pages by two-pass block rules.
 
 The page is cut into blocks at block tags. First pass: a block inside furniture (navigation, footers, asides, forms, blocks
-named as adverts, comments and the like) or mostly made of links is bad; one that is long enough and dense enough in stop words
+named as adverts, comments and the like, but for an article inside them if there is none elsewhere) or mostly made of links is bad; one that is long enough and dense enough in stop words
 is good; the rest is undecided. Second pass: undecided blocks take the label of the nearest decided block of their region
 (an article, or what lies outside), a heading preferring the one below it; with none decided, an article's blocks are good and
 others bad.
@@ -29,15 +29,27 @@ LONG, DENSE, LINKED = 12, 0.10, 0.5
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _RAW = frozenset("script style noscript template iframe svg math object select textarea button head title canvas audio video".split())
 _FURNITURE = frozenset("nav footer aside form menu dialog".split())
+_PAGE = frozenset("html body main article".split())  # their names tell of the whole page
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|side-?bar|widget|menu|nav\w*|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|comments?|comment-\w+|replies|reply|respond|disqus|footer|masthead|site-header|page-header|topbar|toolbar|copyright|legal|disclaimer|login|search)(?=$|[\s_-])", re.IGNORECASE)
+#: Names of furniture: as a piece of a class, id or role that '-' or '_' part, and as the whole of one (as pieces these also tell
+#: of a page's layout or an article's subject); and names that tell of a state.
+_NAMED = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|alert|popup|modal|overlay|newsletter|subscribe|signup|widget|menu|navbar|breadcrumbs?|pagination|pager|share|sharing|recommend\w*|comments?|comment-\w+|replies|reply|respond|disqus|footer|masthead|site-header|page-header|topbar|toolbar|copyright|disclaimer|login)(?=$|[_-])", re.IGNORECASE)
+_WHOLE = re.compile(r"^(?:side-?bar|nav\w*|legal|social|search|related|notice|(?:main|site|top|primary|secondary|left|right)[_-](?:nav\w*|side-?bar)|related[_-](?:posts?|articles?|stories|links|items?)|social[_-](?:links|media|icons|bar)|search[_-](?:form|box|bar)|legal[_-](?:notice|links))$", re.IGNORECASE)
+_REPLY = re.compile(r"(?:^|[_-])(?:comments?|replies|reply)(?=$|[_-])", re.IGNORECASE)
+_STATE = re.compile(r"(?:has|with|without|no)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled)", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"\w+")
 
 
+def _named(attributes: str, *names_of: re.Pattern) -> bool:
+    """Whether class, id or role hold such a name."""
+    names = (t for n in _NAME.findall(attributes) for x in n if x for t in x.split())
+    return any(not _STATE.fullmatch(t) and any(x.search(t) for x in names_of) for t in names)
+
+
 @dataclass
 class Block:
     text: str
@@ -52,18 +64,19 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks, in order, with decoded and squeezed text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: tag, inside furniture, region
+    stack: list[tuple[str, int, int]] = []  # open elements: tag, inside furniture (1 by name, 2 by tag), region
     parts: list[str] = []
     linked = links = 0
     regions = 0
+    wrapped: set[int] = set()  # articles inside elements that only their name makes furniture
     heading = False
-    bad, region = False, 0
+    bad, region = 0, 0
 
     def close() -> None:
         nonlocal parts, linked, heading
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(text, bad, region, heading, linked))
+            out.append(Block(text, bad > 0, region, heading, linked))
         parts, linked, heading = [], 0, False
 
     at, end = 0, len(page)
@@ -102,7 +115,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-            _, bad, region = stack[-1] if stack else ("", False, 0)
+            _, bad, region = stack[-1] if stack else ("", 0, 0)
         elif tag in _BLOCK and tag not in _VOID:
             if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # these end their like without an end tag
                 for k in range(len(stack) - 1, -1, -1):
@@ -111,16 +124,25 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[k][0] not in ("p", "b", "span", "em", "i"):
                         break
-                _, bad, region = stack[-1] if stack else ("", False, 0)
-            named = _NAME.findall(m[3]) if m[3] else ()
+                _, bad, region = stack[-1] if stack else ("", 0, 0)
             if tag in ("article", "main") and not region:
                 regions += 1
                 region = regions
-            bad = bad or tag in _FURNITURE or tag == "header" and not region or any(_NAMED.search(x) for n in named for x in n if x)
+                if bad == 1 and not (tag == "article" and _named(m[3], _REPLY)):  # a comment may be an article too
+                    bad = 0
+                    wrapped.add(region)
+            if tag in _FURNITURE or tag == "header" and not region:
+                bad = 2
+            elif not bad and tag not in _PAGE and m[3] and _named(m[3], _NAMED, _WHOLE):
+                bad = 1
             stack.append((tag, bad, region))
         if tag in _HEADING and not closing:
             heading = True
     close()
+    # Where there is an article outside such elements, those inside them are teasers or comments.
+    if any(b.region and b.region not in wrapped and not b.bad for b in out):
+        for b in out:
+            b.bad = b.bad or b.region in wrapped
     return out
 
 
