@@ -355,6 +355,21 @@ def test_names_of_wrappers_keep_the_article(open_):
     assert html_text.main_text(f'<div class="comments"><article class="comment-body">{good}</article></div><nav><main>{good}</main></nav>') == ""
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Это история маленького города и его реки, которую рассказали люди, жившие здесь много лет тому назад.",
+        "Historia małego miasta i jego rzeki, którą opowiedzieli ludzie mieszkający tam przez wiele długich lat.",
+        "这是一个关于小镇和河流的故事，由多年以前住在那里的人们讲述，至今仍然有人记得。",
+        "これは小さな町とその川の物語であり、昔そこに住んでいた人々によって語られたものです。",
+    ],
+)
+def test_main_text_in_other_languages(text):
+    menu = "<nav><a href=a>Home</a></nav><div><a href=b>One</a> <a href=c>Two</a></div>"
+    assert html_text.main_text(f"<body>{menu}<div><p>{text}</p><p>{text}</p></div><footer>x</footer></body>") == f"{text}\n\n{text}"
+    assert html_text.main_text(f"<body><div class=menu><p>{text}</p></div><p><a href=a>{text}</a></p></body>") == ""
+
+
 # --- 10
 def test_scores_by_brute_force(spark, edges, empty):
     import collections

@@ -2,7 +2,8 @@
 
 The page is cut into blocks at block tags. First pass: a block inside furniture (navigation, footers, asides, forms, blocks
 named as adverts, comments and the like, but for an article inside them if there is none elsewhere) or mostly made of links is bad; one that is long enough and dense enough in stop words
-is good; the rest is undecided. Second pass: undecided blocks take the label of the nearest decided block of their region
+is good; the rest is undecided. The stop words are of four languages, so a long block in another than the Latin script is good
+without them, as is any long block of a page whose long blocks are for the greater part not dense. Second pass: undecided blocks take the label of the nearest decided block of their region
 (an article, or what lies outside), a heading preferring the one below it; with none decided, an article's blocks are good and
 others bad.
 """
@@ -42,6 +43,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"\w+")
+#: Letters of scripts that part no words by spaces (Thai, Lao, Burmese, Khmer, kana, Han), and all letters outside Latin.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_LETTERS, _FOREIGN = re.compile(r"[^\W\d_]"), re.compile("[^\\W\\d_\u0000-\u024f\u1e00-\u1eff]")
 
 
 def _named(attributes: str, *names_of: re.Pattern) -> bool:
@@ -148,12 +152,20 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block]) -> list[Block]:
     """Gives every block its final label, 1 (good) or -1 (bad)."""
+    dull, chars = [], [0, 0]  # long blocks that are not dense; code points of long blocks that are not, that are
     for b in found:
         words = _WORDS.findall(b.text)
         dense = sum(w.lower() in STOP_WORDS for w in words) / max(1, len(words))
         if b.bad or b.link_chars > LINKED * len(b.text):
             b.label = -1
-        elif len(words) >= LONG and (dense >= DENSE or b.region):
+        elif len(words) >= LONG or not b.text.isascii() and len(_UNSPACED.findall(b.text)) >= 2 * LONG:  # about two letters a word
+            chars[dense >= DENSE] += len(b.text)
+            if dense >= DENSE or b.region or not b.text.isascii() and 2 * len(_FOREIGN.findall(b.text)) > len(_LETTERS.findall(b.text)):
+                b.label = 1
+            else:
+                dull.append(b)
+    if chars[0] > chars[1]:
+        for b in dull:
             b.label = 1
     # Nearest decided blocks above and below, by one walk each way. What is bad inside an article is an island there and
     # decides nothing about its neighbours.
