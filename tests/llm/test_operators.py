@@ -317,6 +317,22 @@ def test_jaccard_edges(spark, edges, empty):
     assert ngram_jaccard.jaccard_components(empty).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 60, 3):
+        base = [[rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(n)] for n in (300, 200, 40)]
+        near = [" ".join(["new", *w[1:]]) for w in base]
+        rows += [(i + 100, " ".join(w)) for w in base] + [(i + 100, "")] + [(i + 101, near[0]), (i + 2, near[1]), (i + 1, near[2]), (i + 102, " ".join(base[2][:20]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.class_id) for r in ngram_jaccard.jaccard_components(df).collect())
+    size = lambda text: len({tuple(text.split()[k : k + 5]) for k in range(len(text.split()) - 4)})
+    linked = {i + k: i + 1 for i in range(0, 60, 3) for k in (1, 2, 100, 101)}
+    assert got == sorted((i, size(text), linked.get(i, i), i) for i, text in rows)
+    kept = ngram_jaccard.keep_one(df).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(linked.values()) | {i + 102 for i in range(0, 60, 3)})
+
+
 # --- 8
 def test_languages_of_held_out_rows(spark, edges, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

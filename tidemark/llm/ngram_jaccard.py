@@ -214,6 +214,40 @@ def _mixed(rows: DataFrame, need: DataFrame) -> DataFrame:
     return materialize(mixed.join(enough, "doc_id", "left_semi"))
 
 
+def _texts_of_sets(batches):
+    """doc_id, text -> doc_id, text, n_shingles, two hashes of the set."""
+    for batch in batches:
+        for measured in _measure([batch]):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *measured.columns[1:4]], ["doc_id", "text", "n_shingles", "h1", "h2"])
+
+
+def _parted(docs: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Where rows repeat a doc_id with different sets, each of these sets gets an id of its own, a hash that is no other id:
+    (texts and measures under `doc_id`, the own id, measures with the true one in `owner`; links of the first of an owner's
+    ids with its others). None where no id is repeated so."""
+    several = measured.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "h1", "h2")).alias("lo"), F.max(F.struct("n_shingles", "h1", "h2")).alias("hi")).filter("lo <> hi").select("doc_id")
+    several = materialize(several)
+    n = several.count()
+    if not n:
+        return None
+    few = F.broadcast(several) if n <= ASKED else several
+    same_set, salt = ["doc_id", "n_shingles", "h1", "h2"], 0
+    sets = materialize(measured.join(few, "doc_id", "left_semi").select(*same_set).distinct())
+    ids = measured.select(F.col("doc_id").alias("own"))
+    while True:
+        own = sets.withColumn("own", F.xxhash64(*same_set, F.lit(salt)))
+        if own.groupBy("own").count().filter("count > 1").isEmpty() and own.join(ids, "own", "left_semi").isEmpty():
+            break
+        salt += 1
+    own = materialize(own)
+    known = docs.filter("doc_id IS NOT NULL")
+    split = materialize(known.join(few, "doc_id", "left_semi").mapInArrow(_texts_of_sets, "doc_id long, text string, n_shingles long, h1 long, h2 long").join(own, same_set).select(F.col("own").alias("doc_id"), "text"))
+    texts = known.join(few, "doc_id", "left_anti").unionByName(split)
+    measured = materialize(measured.join(own, same_set, "left").select(F.coalesce("own", "doc_id").alias("doc_id"), F.col("doc_id").alias("owner"), "n_shingles", "h1", "h2", "need", "sure"))
+    first = own.groupBy("doc_id").agg(F.min("own").alias("a"))
+    return texts, measured, own.join(first, "doc_id").filter("a <> own").select("a", F.col("own").alias("b"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), class_id (the smallest doc_id
     with the same set) for every row of docs.
@@ -225,11 +259,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     known = docs.filter("doc_id IS NOT NULL")
     measured = materialize(docs.mapInArrow(_measure, "doc_id long, n_shingles long, h1 long, h2 long, need int, sure boolean"))
-    reps = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    parted = _parted(docs, measured)
+    known, measured, siblings = parted or (known, measured.withColumn("owner", F.col("doc_id")), None)
+    reps = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("owner").alias("class"))
     # Rows of a hot class all meet one row of reps; Spark splits such a join.
-    member = materialize(measured.join(reps, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    member = materialize(measured.join(reps, ["n_shingles", "h1", "h2"], "left").select("doc_id", "owner", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("class", "owner").alias("class")))
     need = measured.groupBy("doc_id").agg(F.min("need").alias("need"))
     same = materialize(member.filter("rep <> doc_id AND n_shingles > 0").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    same = materialize(same.unionByName(siblings).distinct()) if parted else same
     group = Window.partitionBy("key")
     met = known.mapInArrow(_keys, "doc_id long, key long").withColumn("anchor", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
     shared = materialize(met.filter("anchor < most").select("key", "doc_id", "anchor"))
@@ -262,7 +299,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         every = known.mapInArrow(_all_shingles, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
         more = more.unionByName(verified(every.join(weak, "key").filter("doc_id <> anchor").select("anchor", "doc_id"), known))
     labels = components(links.unionByName(more).unionByName(same))
-    return member.join(labels, member["doc_id"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("rep").alias("class_id"))
+    got = member.join(labels, member["doc_id"] == labels["node"], "left").select("doc_id", "owner", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "class")
+    if parted:  # a component is named by its least true id
+        got = materialize(got)
+        least = got.groupBy("component").agg(F.min("owner").alias("least"))
+        got = got.join(least, "component", "left").withColumn("component", F.col("least"))
+    return got.select(F.col("owner").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("class").alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
