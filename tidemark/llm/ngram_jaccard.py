@@ -10,13 +10,17 @@ partner may have), so a document that shares fewer keys with other components is
 many documents share give each of them a few common parts, not enough.
 
 Stages, all distributed; what crosses to the driver are counts:
-1. classes: documents with equal sets (size and 128-bit set hash) are linked through the smallest id;
-2. keys of every document, and within each key the smallest id as its anchor: a document verifies its commonest anchor, if it
-   shares `need` keys with it, so a group of n near copies costs n pairs, not n^2;
-3. components of those links; keys that hold several components are then searched in full for the documents that still share
-   `need` keys with others: fixed-size blocks meet pairwise in separate tasks, a bit sketch's Hamming distance rejects, the
-   rest is verified exactly;
-4. components again.
+1. classes: documents with equal sets (size and 128-bit set hash) are linked through the smallest id; a task gives the keys of
+   each of its classes once, so copies of one text do not crowd a key;
+2. keys, and within each key the smallest id as its anchor: a document verifies its commonest anchor, if it shares `need` keys
+   with it, so a group of n near copies costs n pairs, not n^2;
+3. components of those links. Keys that hold several components are open; rounds with other anchors (the least hash of another
+   seed) follow while they join a twentieth of the open documents: a group whose copies do not all resemble the first anchor
+   still costs n pairs a round;
+4. the documents that are open then are searched in full. Of each only as many keys are looked up, the rarest first, as
+   guarantee that partners meet; fixed-size blocks of a key meet pairwise in separate tasks, a bit sketch's Hamming distance
+   rejects, and a pair comes out at the first key that both look up and nowhere else. The rest is verified exactly;
+5. components again.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import as_int64, bounded_batches, materialize, mix, shingle_sets
+from .shared import as_int64, bounded_batches, materialize, mix, shingle_sets, unused
 
 #: Words of a shingle; the least similarity as a ratio of whole numbers.
 K, NUM, DEN = 5, 80, 100
-#: Sets up to this size use every shingle as a key: too few parts to be sure of a non-empty one.
-SMALL = 64
+#: The largest set of the first band; the parts of that band's sketch, so many that small sets keep enough non-empty ones.
+FIRST, FIRST_PARTS = 64, 4096
 #: Documents of one key in a block, documents that meet one anchor in one task, and rows that are searched together.
 BLOCK, FAN, SEARCHED = 256, 128, 4096
 #: Rows of ids (24 bytes each) that may be broadcast.
@@ -46,12 +50,12 @@ def linked(inter, a, b):
 
 
 def band(n: int) -> int:
-    """Bands double: (64, 128], (128, 256], ..."""
+    """Bands double: [1, 64], (64, 128], (128, 256], ..."""
     return max(0, int(n - 1).bit_length() - 6)
 
 
 def parts_of(k: int) -> int:
-    return (SMALL << k) // 4 + 6
+    return (FIRST << k) // 4 + 6 if k else FIRST_PARTS
 
 
 def _band_keys(u: np.ndarray, k: int) -> tuple[np.ndarray, int]:
@@ -70,19 +74,20 @@ def join_keys(u: np.ndarray) -> tuple[np.ndarray, int, bool]:
     n = len(u)
     if n == 0:
         return u, 0, True
-    reach, quarter = n * DEN // NUM, n // 4
-    if n <= SMALL:
-        keys, need, sure = [mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5))], -(-n * NUM // DEN), True
-    else:
-        own, filled = _band_keys(u, band(n))
-        keys, need, sure = [own], filled - (n + min(reach, SMALL << band(n))) // 9, filled > 2 * n // 9
-    if band(reach) > (band(n) if n > SMALL else 0):
-        beyond, filled = _band_keys(u, band(n) + 1 if n > SMALL else 1)
+    reach, k = n * DEN // NUM, band(n)
+    own, filled = _band_keys(u, k)
+    keys, need, sure = [own], filled - (n + min(reach, FIRST << k)) // 9, filled > 2 * n // 9
+    if band(reach) > k:
+        beyond, filled = _band_keys(u, k + 1)
         keys.append(beyond)
-        need = min(need, filled - quarter)
+        need = min(need, filled - n // 4)
     return np.concatenate(keys), max(1, need), sure
 
 
+def _set_hashes(u: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return (np.bitwise_xor.reduce(mix(u)), np.add.reduce(mix(u ^ np.uint64(_TRI)))) if len(u) else (np.uint64(0), np.uint64(0))
+
+
 def _measure(batches):
     """doc_id, text -> doc_id, n_shingles, two hashes of the set, need, sure."""
     for batch in batches:
@@ -92,19 +97,28 @@ def _measure(batches):
             n.append(len(u))
             need.append(least)
             sure.append(ok)
-            h1.append(np.bitwise_xor.reduce(mix(u)) if len(u) else np.uint64(0))
-            h2.append(np.add.reduce(mix(u ^ np.uint64(_TRI))) if len(u) else np.uint64(0))
+            one, two = _set_hashes(u)
+            h1.append(one)
+            h2.append(two)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_int64(np.array(h1, np.uint64)), as_int64(np.array(h2, np.uint64)), pa.array(need, pa.int32()), pa.array(sure, pa.bool_())], ["doc_id", "n_shingles", "h1", "h2", "need", "sure"])
 
 
 def _keys(batches):
-    """doc_id, text -> doc_id, key: a row for each key."""
+    """doc_id, text -> doc_id, key: a row for each key of the first document of each class that the task sees (24 bytes are
+    remembered for each)."""
+    seen: set[bytes] = set()
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        data = [join_keys(u)[0] for u in shingle_sets(batch.column(1), K)]
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        own, data = [], []
+        for k, u in enumerate(shingle_sets(batch.column(1), K)):
+            name = b"".join(h.tobytes() for h in (*_set_hashes(u), np.int64(len(u))))
+            if name not in seen:
+                seen.add(name)
+                own.append(ids[k])
+                data.append(join_keys(u)[0])
         for i in range(0, len(data), 512):
             some = data[i : i + 512]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 512], [len(k) for k in some]).astype(np.int64)), as_int64(np.concatenate(some))], ["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(own[i : i + 512]), [len(k) for k in some])), as_int64(np.concatenate(some))], ["doc_id", "key"])
 
 
 def _all_shingles(batches):
@@ -182,38 +196,65 @@ def _folded(sketch: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _search_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Some pairs of blocks (of one key each): pairs of documents of different components that their sketches don't reject."""
+    """Some pairs of blocks (of one key each): pairs of documents of different components that their sketches don't reject,
+    unless both look up an earlier key too: they meet there."""
     pdf = pdf.sort_values(["key", "i", "j"])
     change = (np.diff(pdf[["key", "i", "j"]].to_numpy(), axis=0) != 0).any(1)
     cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(pdf)]])
-    docs, first, at = np.unique(pdf["doc_id"].to_numpy(), return_index=True, return_inverse=True)
-    raw, size = pdf["sketch"].to_numpy()[first], pdf["n"].to_numpy()[first]
+    docs, raw, size, before = (pdf[c].to_numpy() for c in ("doc_id", "sketch", "n", "before"))
     comp, block, cross = pdf["component"].to_numpy(), pdf["block"].to_numpy(), (pdf["i"] != pdf["j"]).to_numpy()
-    out = set()
+    p, q = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        n = size[at[a:b]]
+        n = size[a:b]
         near = np.triu((comp[a:b, None] != comp[None, a:b]) & (DEN * np.minimum.outer(n, n) >= NUM * np.maximum.outer(n, n)), 1)
         if cross[a]:
             near &= block[a:b, None] != block[None, a:b]
         x, y = np.nonzero(near)
         if len(x):
             bits = _bits(int(n.min()))
-            sk = np.stack([_folded(np.frombuffer(raw[k], np.uint64), bits) for k in at[a:b]])
+            sk = np.stack([_folded(np.frombuffer(raw[k], np.uint64), bits) for k in range(a, b)])
             far = np.concatenate([np.bitwise_count(sk[x[k : k + 4096]] ^ sk[y[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(x), 4096)])
             ok = 9 * far <= n[x] + n[y]
-            p, q = docs[at[a + x[ok]]], docs[at[a + y[ok]]]
-            out.update(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
-    return pd.DataFrame(list(out), columns=["anchor", "doc_id"], dtype=np.int64)
-
-
-def _mixed(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """(key, doc_id, component) -> those of keys that hold several components, for documents with at least `need` such keys."""
-    group = Window.partitionBy("key")
-    mixed = rows.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).filter("lo < hi").drop("lo", "hi")
+            earlier: dict[int, frozenset] = {}
+            for i, j in zip((a + x[ok]).tolist(), (a + y[ok]).tolist(), strict=True):
+                if i not in earlier:
+                    earlier[i] = frozenset(before[i].tolist())
+                if earlier[i].isdisjoint(before[j].tolist()):
+                    p.append(docs[i])
+                    q.append(docs[j])
+    p, q = np.array(p, np.int64), np.array(q, np.int64)
+    return pd.DataFrame({"anchor": np.minimum(p, q), "doc_id": np.maximum(p, q)})
+
+
+def _open(rows: DataFrame, need: DataFrame, seed: int) -> DataFrame:
+    """(key, doc_id, component) -> those of keys that hold several components, for documents with at least `need` such keys,
+    with the key's anchor under a seed and the anchor's component. Aggregated before the shuffle, and joined: a common key's
+    rows need not lie in one task."""
+    least = F.min(F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id").alias("anchor"), F.col("component").alias("other")))
+    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), least.alias("a")).filter("lo < hi").select("key", "a.anchor", "a.other")
+    mixed = rows.select("key", "doc_id", "component").join(several, "key")
     enough = mixed.groupBy("doc_id").agg(F.count("*").alias("has")).join(need, "doc_id").filter("has >= need").select("doc_id")
     return materialize(mixed.join(enough, "doc_id", "left_semi"))
 
 
+def _commonest(votes: DataFrame, need: DataFrame) -> DataFrame:
+    """(doc_id, anchor) rows, one for each shared key -> (anchor, doc_id): each document's commonest anchor, if they share enough."""
+    votes = votes.groupBy("doc_id", "anchor").agg(F.count("*").alias("n"))
+    best = votes.groupBy("doc_id").agg(F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("anchor"), F.max("n").alias("n"))
+    return best.join(need, "doc_id").filter("n >= need").select("anchor", "doc_id")
+
+
+def _looked_up(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """(key, doc_id, component) -> the keys under which a document is searched, with those before it. Two documents that share
+    `need` of their keys share one of the first (number - need + 1) in any order common to all: here the rarest first. A key is
+    its count and half of its bits; those that only seem equal meet in vain."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
+    place = F.shiftleft(F.least("many", F.lit((1 << 31) - 1)), 32) + F.shiftrightunsigned("key", 32)
+    ordered = rows.join(sizes, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("keys"), F.count("*").alias("has"), F.min("component").alias("component")).join(need, "doc_id").filter("has >= need")
+    keys = ordered.withColumn("keys", F.array_distinct(F.slice("keys", 1, F.greatest(F.lit(0), F.col("has") - F.col("need") + 1))))
+    return materialize(keys.select("doc_id", "component", "keys", F.posexplode("keys").alias("nth", "key")).select("key", "doc_id", "component", F.slice("keys", 1, F.col("nth")).alias("before")))
+
+
 def _texts_of_sets(batches):
     """doc_id, text -> doc_id, text, n_shingles, two hashes of the set."""
     for batch in batches:
@@ -267,29 +308,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     need = measured.groupBy("doc_id").agg(F.min("need").alias("need"))
     same = materialize(member.filter("rep <> doc_id AND n_shingles > 0").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
     same = materialize(same.unionByName(siblings).distinct()) if parted else same
+    # The window's rows are a key's classes, once for each task that saw them.
     group = Window.partitionBy("key")
     met = known.mapInArrow(_keys, "doc_id long, key long").withColumn("anchor", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
     shared = materialize(met.filter("anchor < most").select("key", "doc_id", "anchor"))
-    votes = shared.filter("doc_id <> anchor").groupBy("doc_id", "anchor").agg(F.count("*").alias("n"))
-    commonest = votes.groupBy("doc_id").agg(F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("anchor"), F.max("n").alias("n"))
-    asked = commonest.join(need, "doc_id").filter("n >= need").select("anchor", "doc_id").join(same.select(F.col("a").alias("anchor"), F.col("b").alias("doc_id")), ["anchor", "doc_id"], "left_anti")
+    asked = _commonest(shared.filter("doc_id <> anchor").select("doc_id", "anchor"), need).join(same.select(F.col("a").alias("anchor"), F.col("b").alias("doc_id")), ["anchor", "doc_id"], "left_anti")
     links = verified(asked, known)
     first = materialize(components(links.unionByName(same)))
-    # Keys that still hold several components are searched in full; documents without enough of them drop out, again and again.
     rows = shared.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rows, n, before = _mixed(rows, need), 0, None
-    while (n := rows.count()) and n != before:
-        before, rows = n, _mixed(rows, need)
-    # Two documents that share `need` of their keys share one of the first (number - need + 1) in the order of the keys.
-    own = Window.partitionBy("doc_id")
-    rows = rows.withColumn("nth", F.row_number().over(own.orderBy("key"))).withColumn("has", F.count("*").over(own)).join(need, "doc_id").filter("nth <= has - need + 1").select("key", "doc_id", "component")
-    rows = materialize(rows.withColumn("many", F.count("*").over(group)).filter("many > 1").drop("many"))
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    seed = 1
+    rows = _open(rows, need, seed)
+    while True:
+        found = verified(_commonest(rows.filter("component <> other").select("doc_id", "anchor"), need), known)
+        n, still = found.count(), rows.agg(F.count_distinct("doc_id")).first()[0]
+        if n:
+            links = links.unionByName(found)
+            of = rows.select("doc_id", "component").distinct()
+            ends = found.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            renamed = components(ends).toDF("component", "now")
+            rows = rows.select("key", "doc_id", "component").join(renamed, "component", "left").select("key", "doc_id", F.coalesce("now", "component").alias("component"))
+        seed += 1
+        rows = _open(rows, need, seed)
+        if 20 * n <= still:
+            break
+    rows = _looked_up(rows, need)
+    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("many")).filter("many > 1").drop("many")
     tasks = max(1, rows.count() // SEARCHED)
     blocked = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "component", "before", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     left = materialize(rows.select("doc_id").distinct())
-    sketched = materialize(known.join(F.broadcast(left) if left.count() <= ASKED else left, "doc_id", "left_semi").mapInArrow(_sketches, "doc_id long, n long, sketch binary"))
+    sketched = materialize(known.join(F.broadcast(left) if left.count() <= ASKED else left, "doc_id", "left_semi").mapInArrow(_sketches, "doc_id long, n long, sketch binary").dropDuplicates(["doc_id"]))
     near = meets.join(sketched, "doc_id").groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).alias("task")).applyInPandas(_search_blocks, "anchor long, doc_id long")
     more = verified(near, known)
     # Sets without the pigeonhole guarantee (next to none): all their shingles against everybody's.
@@ -308,11 +356,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group stays (the one whose id names the component), columns unchanged. Of rows that repeat a kept
-    id the first by text stays; rows without id stay."""
-    keep = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__nth = 1").drop("__nth")
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group stays (the one whose id names the component), columns unchanged. Rows that repeat an id with
+    different texts are different documents; of equal rows one stays. Rows without id stay. No rows: none; null and wordless
+    texts belong to no group, so they stay."""
+    own = unused(docs, "own")
+    ids = docs.filter("doc_id IS NOT NULL")
+    repeated = materialize(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias(own)))
+    if repeated.isEmpty():
+        named = ids.withColumn(own, F.col("doc_id"))
+    else:
+        named = materialize(ids.join(repeated, "doc_id", "left").withColumn(own, F.when(F.col(own), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))))
+    keep = jaccard_components(named.select(F.col(own).cast("long").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = named.join(keep, own, "left_semi")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([own])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
