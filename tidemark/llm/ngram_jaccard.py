@@ -18,8 +18,9 @@ Stages, all distributed; what crosses to the driver are counts:
    seed) follow while they join a twentieth of the open documents: a group whose copies do not all resemble the first anchor
    still costs n pairs a round;
 4. the documents that are open then are searched in full. Of each only as many keys are looked up, the rarest first, as
-   guarantee that partners meet; fixed-size blocks of a key meet pairwise in separate tasks, a bit sketch's Hamming distance
-   rejects, and a pair comes out at the first key that both look up and nowhere else. The rest is verified exactly;
+   guarantee that partners meet. Keys whose smallest component is the same are searched together, so that a pair that shares
+   many keys meets once or a few times: fixed-size blocks of such a neighbourhood meet pairwise in separate tasks, a bit
+   sketch's Hamming distance rejects, the rest is verified exactly;
 5. components again.
 """
 
@@ -196,14 +197,14 @@ def _folded(sketch: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _search_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Some pairs of blocks (of one key each): pairs of documents of different components that their sketches don't reject,
-    unless both look up an earlier key too: they meet there."""
-    pdf = pdf.sort_values(["key", "i", "j"])
-    change = (np.diff(pdf[["key", "i", "j"]].to_numpy(), axis=0) != 0).any(1)
+    """Some pairs of blocks (of one neighbourhood each): pairs of documents of different components that their sketches don't
+    reject."""
+    pdf = pdf.sort_values(["near", "i", "j"])
+    change = (np.diff(pdf[["near", "i", "j"]].to_numpy(), axis=0) != 0).any(1)
     cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(pdf)]])
-    docs, raw, size, before = (pdf[c].to_numpy() for c in ("doc_id", "sketch", "n", "before"))
+    docs, raw, size = (pdf[c].to_numpy() for c in ("doc_id", "sketch", "n"))
     comp, block, cross = pdf["component"].to_numpy(), pdf["block"].to_numpy(), (pdf["i"] != pdf["j"]).to_numpy()
-    p, q = [], []
+    out = set()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         n = size[a:b]
         near = np.triu((comp[a:b, None] != comp[None, a:b]) & (DEN * np.minimum.outer(n, n) >= NUM * np.maximum.outer(n, n)), 1)
@@ -215,15 +216,9 @@ def _search_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
             sk = np.stack([_folded(np.frombuffer(raw[k], np.uint64), bits) for k in range(a, b)])
             far = np.concatenate([np.bitwise_count(sk[x[k : k + 4096]] ^ sk[y[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(x), 4096)])
             ok = 9 * far <= n[x] + n[y]
-            earlier: dict[int, frozenset] = {}
-            for i, j in zip((a + x[ok]).tolist(), (a + y[ok]).tolist(), strict=True):
-                if i not in earlier:
-                    earlier[i] = frozenset(before[i].tolist())
-                if earlier[i].isdisjoint(before[j].tolist()):
-                    p.append(docs[i])
-                    q.append(docs[j])
-    p, q = np.array(p, np.int64), np.array(q, np.int64)
-    return pd.DataFrame({"anchor": np.minimum(p, q), "doc_id": np.maximum(p, q)})
+            p, q = docs[a + x[ok]], docs[a + y[ok]]
+            out.update(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
+    return pd.DataFrame(list(out), columns=["anchor", "doc_id"], dtype=np.int64)
 
 
 def _open(rows: DataFrame, need: DataFrame, seed: int) -> DataFrame:
@@ -245,14 +240,16 @@ def _commonest(votes: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def _looked_up(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """(key, doc_id, component) -> the keys under which a document is searched, with those before it. Two documents that share
-    `need` of their keys share one of the first (number - need + 1) in any order common to all: here the rarest first. A key is
-    its count and half of its bits; those that only seem equal meet in vain."""
+    """(key, doc_id, component) -> (near, doc_id, component): the neighbourhoods where a document is searched, each named by the
+    smallest component of a key that it looks up. Two documents that share `need` of their keys share one of the first (number -
+    need + 1) in any order common to all: here the rarest first. A key is its count and half of its bits; those that only seem
+    equal meet in vain."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     place = F.shiftleft(F.least("many", F.lit((1 << 31) - 1)), 32) + F.shiftrightunsigned("key", 32)
     ordered = rows.join(sizes, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("keys"), F.count("*").alias("has"), F.min("component").alias("component")).join(need, "doc_id").filter("has >= need")
-    keys = ordered.withColumn("keys", F.array_distinct(F.slice("keys", 1, F.greatest(F.lit(0), F.col("has") - F.col("need") + 1))))
-    return materialize(keys.select("doc_id", "component", "keys", F.posexplode("keys").alias("nth", "key")).select("key", "doc_id", "component", F.slice("keys", 1, F.col("nth")).alias("before")))
+    keys = materialize(ordered.select("doc_id", "component", F.explode(F.slice("keys", 1, F.greatest(F.lit(0), F.col("has") - F.col("need") + 1))).alias("key")))
+    least = keys.groupBy("key").agg(F.min("component").alias("near"), F.max("component").alias("hi")).filter("near < hi").select("key", "near")
+    return materialize(keys.join(least, "key").select("near", "doc_id", "component").distinct())
 
 
 def _texts_of_sets(batches):
@@ -332,13 +329,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if 20 * n <= still:
             break
     rows = _looked_up(rows, need)
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("many")).filter("many > 1").drop("many")
+    size = rows.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     tasks = max(1, rows.count() // SEARCHED)
-    blocked = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "component", "before", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    blocked = rows.join(size, "near").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("near", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     left = materialize(rows.select("doc_id").distinct())
     sketched = materialize(known.join(F.broadcast(left) if left.count() <= ASKED else left, "doc_id", "left_semi").mapInArrow(_sketches, "doc_id long, n long, sketch binary").dropDuplicates(["doc_id"]))
-    near = meets.join(sketched, "doc_id").groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).alias("task")).applyInPandas(_search_blocks, "anchor long, doc_id long")
+    near = meets.join(sketched, "doc_id").groupBy(F.pmod(F.xxhash64("near", "i", "j"), F.lit(tasks)).alias("task")).applyInPandas(_search_blocks, "anchor long, doc_id long")
     more = verified(near, known)
     # Sets without the pigeonhole guarantee (next to none): all their shingles against everybody's.
     unsure = measured.filter(~F.col("sure") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
