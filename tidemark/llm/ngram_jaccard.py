@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import as_int64, bounded_batches, materialize, mix, shingle_sets, unused
+from .shared import as_int64, bounded_batches, discard, materialize, mix, shingle_sets, unused
 
 #: Words of a shingle; the least similarity as a ratio of whole numbers.
 K, NUM, DEN = 5, 80, 100
@@ -146,8 +146,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = pairs.join(size, "anchor").withColumn("fan", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("fans") / FAN)))
     anchors = dealt.select("anchor", "fan").distinct().withColumn("doc_id", F.col("anchor"))
     asked = materialize(dealt.select("anchor", "fan", "doc_id").unionByName(anchors))
-    asked = F.broadcast(asked) if asked.count() <= ASKED else asked
-    return materialize(texts.join(asked, "doc_id").groupBy("anchor", "fan").applyInPandas(_verify_fan, "a long, b long"))
+    few = F.broadcast(asked) if asked.count() <= ASKED else asked
+    got = materialize(texts.join(few, "doc_id").groupBy("anchor", "fan").applyInPandas(_verify_fan, "a long, b long"))
+    discard(pairs, asked)
+    return got
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -164,7 +166,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: each node and its smaller neighbours are hung on the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small)
+        former, edges = edges, materialize(small)
+        discard(former)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -233,12 +236,15 @@ def _open(rows: DataFrame, need: DataFrame, seed: int) -> DataFrame:
 
 
 def _commonest(votes: DataFrame, need: DataFrame) -> DataFrame:
-    """(doc_id, anchor) rows, one for each shared key -> (anchor, doc_id): each document's commonest anchor, if they share enough."""
-    votes = votes.groupBy("doc_id", "anchor").agg(F.count("*").alias("n"))
+    """(doc_id, anchor, n shared keys) -> (anchor, doc_id): each document's commonest anchor, if they share enough keys."""
     best = votes.groupBy("doc_id").agg(F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("anchor"), F.max("n").alias("n"))
     return best.join(need, "doc_id").filter("n >= need").select("anchor", "doc_id")
 
 
+def _votes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "anchor").agg(F.count("*").alias("n"))
+
+
 def _looked_up(rows: DataFrame, need: DataFrame) -> DataFrame:
     """(key, doc_id, component) -> (near, doc_id, component): the neighbourhoods where a document is searched, each named by the
     smallest component of a key that it looks up. Two documents that share `need` of their keys share one of the first (number -
@@ -249,7 +255,9 @@ def _looked_up(rows: DataFrame, need: DataFrame) -> DataFrame:
     ordered = rows.join(sizes, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("keys"), F.count("*").alias("has"), F.min("component").alias("component")).join(need, "doc_id").filter("has >= need")
     keys = materialize(ordered.select("doc_id", "component", F.explode(F.slice("keys", 1, F.greatest(F.lit(0), F.col("has") - F.col("need") + 1))).alias("key")))
     least = keys.groupBy("key").agg(F.min("component").alias("near"), F.max("component").alias("hi")).filter("near < hi").select("key", "near")
-    return materialize(keys.join(least, "key").select("near", "doc_id", "component").distinct())
+    got = materialize(keys.join(least, "key").select("near", "doc_id", "component").distinct())
+    discard(keys)
+    return got
 
 
 def _texts_of_sets(batches):
@@ -309,15 +317,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     group = Window.partitionBy("key")
     met = known.mapInArrow(_keys, "doc_id long, key long").withColumn("anchor", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
     shared = materialize(met.filter("anchor < most").select("key", "doc_id", "anchor"))
-    asked = _commonest(shared.filter("doc_id <> anchor").select("doc_id", "anchor"), need).join(same.select(F.col("a").alias("anchor"), F.col("b").alias("doc_id")), ["anchor", "doc_id"], "left_anti")
+    votes = materialize(_votes(shared))
+    asked = _commonest(votes.filter("doc_id <> anchor"), need).join(same.select(F.col("a").alias("anchor"), F.col("b").alias("doc_id")), ["anchor", "doc_id"], "left_anti")
     links = verified(asked, known)
+    # Only a document that shares enough of its keys with others can link to any.
+    able = materialize(votes.groupBy("doc_id").agg(F.sum("n").alias("has")).join(need, "doc_id").filter("has >= need").select("doc_id"))
     first = materialize(components(links.unionByName(same)))
-    rows = shared.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    seed = 1
-    rows = _open(rows, need, seed)
+    named = first.withColumnRenamed("node", "doc_id")
+    able = able.join(named, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    able = F.broadcast(able) if able.count() <= ASKED else able
+    seed, rows = 1, _open(shared.select("key", "doc_id").join(able, "doc_id"), need, 1)
+    discard(shared, votes)
     while True:
-        found = verified(_commonest(rows.filter("component <> other").select("doc_id", "anchor"), need), known)
-        n, still = found.count(), rows.agg(F.count_distinct("doc_id")).first()[0]
+        found = verified(_commonest(_votes(rows.filter("component <> other")), need), known)
+        n, still, old = found.count(), rows.agg(F.count_distinct("doc_id")).first()[0], rows
         if n:
             links = links.unionByName(found)
             of = rows.select("doc_id", "component").distinct()
@@ -325,10 +338,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             renamed = components(ends).toDF("component", "now")
             rows = rows.select("key", "doc_id", "component").join(renamed, "component", "left").select("key", "doc_id", F.coalesce("now", "component").alias("component"))
         seed += 1
-        rows = _open(rows, need, seed)
+        rows = _open(rows.select("key", "doc_id", "component"), need, seed)
+        discard(old)
         if 20 * n <= still:
             break
+    opened = rows
     rows = _looked_up(rows, need)
+    discard(opened)
     size = rows.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     tasks = max(1, rows.count() // SEARCHED)
     blocked = rows.join(size, "near").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))

@@ -34,6 +34,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Removes what materialize wrote for these frames. Only for frames that nothing reads any more: not for those that a lazy result
+    rests on."""
+    for df in frames:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Rows that travel to Python at a time: BATCH_ROWS at most from now on in this session (a lower setting stays). The
     default of 10,000 would hold a whole task's texts several times over, in the JVM's buffers and in Python."""
