@@ -110,3 +110,48 @@ def pct_nearest(s: Column, q: float) -> Column:
 def upper_median(s: Column) -> Column:
     """Element n // 2."""
     return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+
+
+# Acklam's rational approximation of the inverse normal distribution (relative error under 1.15e-9).
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+
+
+def _horner(coefficients, x: Column) -> Column:
+    total = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        total = total * x + F.lit(c)
+    return total
+
+
+def normal_quantile(p: Column, low: float = 0.02425) -> Column:
+    """z with P(N(0,1) <= z) = p, p clipped to [1e-6, 1 - 1e-6]."""
+    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    tail = lambda t: let(F.sqrt(-2 * F.log(t)), lambda s: _horner(_C, s) / _horner((*_D, 1.0), s))
+    middle = let(q - 0.5, lambda r: _horner(_A, r * r) * r / _horner((*_B, 1.0), r * r))
+    return F.when(q < low, tail(q)).when(q > 1 - low, -tail(1 - q)).otherwise(middle)
+
+
+# Nodes and weights of the Gauss-Legendre rule of order 20 (one half; the other mirrors it).
+_NODES = (0.0765265, 0.2277859, 0.3737061, 0.5108670, 0.6360537, 0.7463319, 0.8391170, 0.9122344, 0.9639719, 0.9931286)
+_WEIGHTS = (0.1527534, 0.1491730, 0.1420961, 0.1316886, 0.1181945, 0.1019301, 0.0832767, 0.0626720, 0.0406014, 0.0176140)
+
+
+def normal_cdf2(a: Column, b: Column, rho: Column) -> Column:
+    """P(X <= a, Y <= b) of the bivariate normal distribution: the integral of its density over the correlation, by quadrature."""
+    nodes = F.array(*[F.struct(F.lit(s * x).alias("x"), F.lit(w).alias("w")) for x, w in zip(_NODES, _WEIGHTS, strict=True) for s in (1, -1)])
+
+    def term(total: Column, node: Column) -> Column:
+        r = rho * (node["x"] + 1) / 2
+        return total + node["w"] * F.exp(-(a * a + b * b - 2 * r * a * b) / (2 * (1 - r * r))) / F.sqrt(1 - r * r)
+
+    inside = normal_cdf(a) * normal_cdf(b) + rho / (4 * math.pi) * F.aggregate(nodes, F.lit(0.0), term)
+    return F.when(rho >= 0.999, normal_cdf(F.least(a, b))).when(rho <= -0.999, F.greatest(F.lit(0.0), normal_cdf(a) + normal_cdf(b) - 1)).otherwise(inside)
+
+
+def significant(x: Column, digits: int = 4) -> Column:
+    """x to so many significant digits."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (digits - 1))
+    return F.when((x == 0) | x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.bround(x / unit, 0) * unit)

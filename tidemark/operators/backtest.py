@@ -14,7 +14,7 @@ def cohort_totals(points: DataFrame, cohort: list[str]) -> DataFrame:
     """cohort, x, total, members (most series in any x of the cohort)."""
     yearly = points.groupBy(*cohort, "x").agg(F.sum("y").alias("total"), F.countDistinct("series_id").alias("m"))
     most = yearly.groupBy(*cohort).agg(F.max("m").alias("members"))
-    return yearly.drop("m").join(F.broadcast(most), cohort)  # a row for each cohort
+    return yearly.drop("m").join(most, cohort)
 
 
 def shares(points: DataFrame, cohort: list[str]) -> DataFrame:
@@ -22,10 +22,10 @@ def shares(points: DataFrame, cohort: list[str]) -> DataFrame:
     return points.join(cohort_totals(points, cohort), [*cohort, "x"]).withColumn("share", F.when(F.col("total") != 0, F.col("y") / F.col("total")))
 
 
-def gain_share(shared: DataFrame, key: list[str], origins: list[int], margin: float = 1.5, min_known: int = 1, min_future: int = 1, min_cohort: int = 5) -> DataFrame:
-    """key, origin, n_known, n_future, multiple, winner, lead: the mean share of the last 3 known years (those after origin - 3)
-    against that of the last 3 future years there are; zero shares don't count; null where a side is empty. lead: years to the
-    first future year whose share reaches margin times the known mean.
+def gain_share(shared: DataFrame, key: list[str], origins: list[int], margin: float = 1.5, min_known: int = 8, min_future: int = 3, min_cohort: int = 5) -> DataFrame:
+    """key, origin, n_known, n_future, multiple, winner, lead: the mean share of the last 3 known periods (those after origin - 3)
+    against that of the last 3 future periods there are; zero shares don't count; null where a side is empty. lead: periods to the
+    first future one whose share reaches margin times the known mean.
 
     All origins are answered from one gathered array per series: origins multiply expressions, not the shuffle."""
     g = shared.filter(F.col("members") >= min_cohort).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("x", "share"))).alias("s"))

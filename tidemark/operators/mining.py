@@ -5,30 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import let, median_of
+
+#: Words that carry no subject.
+STOP = (
+    "the a an of to in on for and or with by as at from is are be been this that these those we our it its their can may such than then thus also however which where when while into via using used use based show shows shown "
+    "present presented propose proposed proposes paper study studies result results method methods approach approaches framework algorithm algorithms performance experiment experiments experimental dataset datasets task tasks "
+    "problem problems novel new two three one first second high low large small given work analysis between over under more most many both each all any some non well good better best different various several recent recently "
+    "general specific important significant significantly obtain obtained achieve achieved achieves improve improved improves able find found consider considered provide provides provided called etc respectively namely due order "
+    "terms case cases set sets number value values function functions system systems data time space state report observation observations broad wide bridge baseline langle rangle mathcal mathbb mathbf mathrm textit textbf left "
+    "right begin end let denote denotes respect leq geq cdot ldots"
+).split()
 #: Smoothing of shares, greatest recent share of an emerging phrase, phrases reported.
 EPS, COMMON, TOP = 1e-5, 0.03, 40
 
 
+def content_words(text: Column, stop: list[str] = STOP) -> Column:
+    """Words of three or more letters (hyphens inside count), lower-cased, without the stop words; null for a null text."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z][a-z\-]+"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*stop))
+
+
 def phrases(text: Column) -> Column:
-    """Distinct neighbours of two words (a-z, three letters at least) of a lower-cased text; null for a null text."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-
-
-def emerging(papers: DataFrame, last: str, min_docs: int, top: int = TOP) -> DataFrame:
-    """term, n (papers of the last 18 months), recent and prior share, score of the phrases whose share rises and does not slow.
-
-    Shares are of the papers of the last, the second last and the third last 12 months up to `last` (yyyy-MM). One shuffle of
-    counts added map-side; no cap on candidates. The totals are one row."""
-    age = F.months_between(F.lit(f"{last}-01").cast("date"), F.to_date(F.concat("month", F.lit("-01")))).cast("int")
-    aged = papers.select("text", age.alias("age")).filter("age BETWEEN 0 AND 35")
-    of = lambda lo, hi: F.count_if(F.col("age").between(lo, hi))
-    total = aged.agg(of(0, 11).alias("t0"), of(12, 23).alias("t1"), of(24, 35).alias("t2"))
-    counts = aged.select("age", F.explode(phrases(F.col("text"))).alias("term")).groupBy("term").agg(of(0, 17).alias("n"), of(0, 11).alias("n0"), of(12, 23).alias("n1"), of(24, 35).alias("n2"))
-    df = counts.filter(F.col("n") >= min_docs).join(F.broadcast(total))  # one row
-    df = df.select("term", "n", *((F.col(f"n{i}") / F.greatest(F.col(f"t{i}"), F.lit(1))).alias(name) for i, name in enumerate(("recent", "prior", "older"))))
+    """Distinct neighbours of two and of three content words of a text; null for a null text."""
+
+    def of(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        triples = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda a, i: F.concat_ws(" ", a, F.element_at(w, i + 2), F.element_at(w, i + 3)))
+        return F.array_distinct(F.concat(pairs, triples))
+
+    return let(content_words(text), of)
+
+
+def emerging(papers: DataFrame, last: str, min_docs: int = 40, top: int = TOP, window: int = 12, recent_months: int = 18) -> DataFrame:
+    """term, n (papers of the newest `window` months), recent and prior share, score of the phrases whose share rises and does not
+    slow. A share is the mean of the monthly shares of a window; the windows are the newest, second and third `window` months that
+    have papers, up to and with `last` (yyyy-MM).
+
+    First the candidates: phrases of `min_docs` papers in the last `recent_months` months; only they are counted over the full
+    history (a semi-join before the shuffle, by broadcast where they are few). No cap on candidates."""
+    dated = papers.filter(F.col("month") <= last)
+    # A row for each month.
+    totals = dated.groupBy("month").agg(F.count("*").alias("total")).withColumn("age", F.row_number().over(Window.orderBy(F.desc("month"))) - 1).filter(F.col("age") < 3 * window)
+    low = F.date_format(F.add_months(F.to_date(F.lit(f"{last}-01")), 1 - recent_months), "yyyy-MM")
+    terms = dated.select("month", F.explode(phrases(F.col("text"))).alias("term"))
+    few = terms.filter(F.col("month") >= low).groupBy("term").agg(F.count("*").alias("seen")).filter(F.col("seen") >= min_docs).select("term")
+    counts = terms.join(few, "term", "left_semi").groupBy("term", "month").agg(F.count("*").alias("c")).join(totals, "month")
+    sizes = totals.agg(*(F.count_if((F.col("age") >= i * window) & (F.col("age") < (i + 1) * window)).alias(f"m{i}") for i in range(3)))
+    of = lambda i, v: F.sum(F.when((F.col("age") >= i * window) & (F.col("age") < (i + 1) * window), v).otherwise(0))
+    g = counts.groupBy("term").agg(of(0, F.col("c")).alias("n"), *(of(i, F.col("c") / F.col("total")).alias(f"s{i}") for i in range(3)))
+    df = g.filter(F.col("n") >= min_docs).join(F.broadcast(sizes))  # one row
+    df = df.select("term", "n", *((F.col(f"s{i}") / F.greatest(F.col(f"m{i}"), F.lit(1))).alias(name) for i, name in enumerate(("recent", "prior", "older"))))
     rise = F.col("recent") - F.col("prior")
-    df = df.filter((rise > 0) & (rise - (F.col("prior") - F.col("older")) >= 0) & (F.col("recent") <= COMMON))
+    df = df.filter((rise > 1e-12) & (rise - (F.col("prior") - F.col("older")) >= -1e-12) & (F.col("recent") <= COMMON))
     score = F.round(F.log((F.col("recent") + EPS) / (F.col("prior") + EPS)) * F.log1p(F.col("n")), 6)
     return df.select("term", "n", "recent", "prior", score.alias("score")).orderBy(F.desc("score"), "term").limit(top)
 
@@ -52,16 +81,7 @@ def validity(points: DataFrame, key: list[str], factor: float = 100.0) -> DataFr
     """key, negative, outliers, status: values below 0, and values `factor` times above or below the median of the positive ones (of
     five at least)."""
     g = points.groupBy(*key).agg(F.collect_list("y").alias("ys")).withColumn("plus", F.filter("ys", lambda y: y > 0))
-    from ..functions.stats import median_of
-
     g = g.withColumn("mid", F.when(F.size("plus") >= 5, median_of(F.col("plus"))))
     out = F.size(F.filter("plus", lambda y: (y > F.col("mid") * factor) | (y < F.col("mid") / factor)))
     g = g.select(*key, F.size(F.filter("ys", lambda y: y < 0)).alias("negative"), out.alias("outliers"))
     return g.withColumn("status", F.when(F.col("negative") > 0, "fail").when(F.col("outliers") > 0, "warn").otherwise("ok"))
-
-
-def lead_lag(fired: DataFrame, entity: str, leads: Column, lags: Column) -> DataFrame:
-    """entity, class, top: EARLY if only leading evidence fired, PRICED if both, LAGGING if only lagging, else QUIET."""
-    g = fired.groupBy(entity).agg(F.coalesce(F.bool_or(leads & F.col("fired")), F.lit(False)).alias("lead"), F.coalesce(F.bool_or(lags & F.col("fired")), F.lit(False)).alias("lag"), F.max("surprise").alias("top"))
-    kind = F.when(F.col("lead") & F.col("lag"), "PRICED").when(F.col("lead"), "EARLY").when(F.col("lag"), "LAGGING").otherwise("QUIET")
-    return g.select(entity, kind.alias("class"), "top")

@@ -52,15 +52,31 @@ def sums_to_one(tree: DataFrame, tol: float = 0.005) -> DataFrame:
     return tree.filter("parent_id IS NOT NULL").groupBy("parent_id").agg(F.sum("p").alias("total"), F.count("*").alias("children")).filter(F.abs(F.col("total") - 1) > tol)
 
 
-def marginals(spark, tree_view: str, depth: int = 32) -> DataFrame:
-    """card_id, depth, marginal: product of the conditionals from the root down, by a recursive query over a view of
-    (card_id, parent_id, p)."""
-    return spark.sql(f"""
-      WITH RECURSIVE walk(card_id, depth, marginal) AS (
-        SELECT card_id, 0, CAST(p AS DOUBLE) FROM {tree_view} WHERE parent_id IS NULL
-        UNION ALL
-        SELECT t.card_id, w.depth + 1, w.marginal * t.p FROM walk w JOIN {tree_view} t ON t.parent_id = w.card_id WHERE w.depth < {depth})
-      SELECT card_id, depth, marginal FROM walk""")
+def marginals(tree: DataFrame, cut) -> DataFrame:
+    """card_id, depth, marginal: product of the conditionals from the root down, for trees of any depth: (card_id, parent_id, p).
+
+    Pointer doubling: each round every card's pointer jumps over as many ancestors as all rounds before it, so the rounds are the
+    logarithm of the depth. `cut` (a function of a DataFrame) writes each round down and reads it again. Cards on a cycle or below
+    a missing parent have no root and are left out."""
+    at = cut(tree.select("card_id", F.col("parent_id").alias("up"), F.col("p").cast("double").alias("marginal"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth")))
+    for _ in range(64):
+        if at.filter("up IS NOT NULL").isEmpty():
+            break
+        above = at.select(F.col("card_id").alias("up"), F.col("up").alias("next"), F.col("marginal").alias("m"), F.col("depth").alias("d"))
+        open_ = at.filter("up IS NOT NULL").join(above, "up").select("card_id", F.col("next").alias("up"), (F.col("marginal") * F.col("m")).alias("marginal"), (F.col("depth") + F.col("d")).alias("depth"))
+        at = cut(at.filter("up IS NULL").unionByName(open_))
+    return at.filter("up IS NULL").select("card_id", "depth", "marginal")
+
+
+def belief_net(edges: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with the target's probability as it is, if the source comes true, and if not, taking what has been resolved into
+    account; live roots that no edge touches). edges: src, dst, p_true; cards: card_id, parent_id, p, outcome."""
+    c = cards.select("card_id", F.coalesce(F.col("outcome").cast("double"), F.col("p")).alias("p_now"), F.col("outcome"))
+    e = edges.join(c.toDF("src", "p_from", "from_outcome"), "src").join(c.toDF("dst", "p_to", "to_outcome"), "dst")
+    false = given_false(F.col("p_to"), F.col("p_true"), F.col("p_from"))
+    e = e.select("src", "dst", F.col("p_to").alias("prior"), F.when(F.col("from_outcome").isNull(), F.col("p_true")).alias("if_true"), F.when(F.col("from_outcome").isNull(), false).alias("if_false"))
+    touched = edges.select(F.col("src").alias("card_id")).unionByName(edges.select(F.col("dst").alias("card_id")))
+    return e, cards.filter("parent_id IS NULL AND outcome IS NULL").join(touched, "card_id", "left_anti").select("card_id")
 
 
 def given_false(p_to: Column, p_true: Column, p_from: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["series_id", "x"]
@@ -30,11 +30,37 @@ def as_of(revisions: DataFrame, latest: DataFrame, when, key: list[str] = KEY) -
     return latest.filter(F.col("created") <= when).join(later, key, "left").withColumn("value", F.coalesce("__old", "value")).drop("__old")
 
 
+def compact(x: Column) -> Column:
+    """A number in six significant digits without trailing zeros, with an exponent below 1e-4 and from 1e6 on."""
+    e = F.format_string("%.5e", x)
+    digits, power = F.regexp_replace(F.substring_index(e, "e", 1), "[-.]", ""), F.substring_index(e, "e", -1).cast("int")
+    fixed = F.when(power >= 5, digits).when(power >= 0, F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    trim = lambda s: F.regexp_replace(F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, "0+$", "")).otherwise(s), r"\.$", "")
+    long = F.concat(trim(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 9))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.when((power < -4) | (power >= 6), long).otherwise(trim(fixed))))
+
+
 def endpoints(points: DataFrame) -> DataFrame:
     """Per series n, first and last point and a sparkline of its values."""
     return points.groupBy("series_id").agg(
         F.count("*").alias("n_obs"), F.min("x").alias("first_x"), F.max("x").alias("last_x"), F.min_by("y", "x").alias("first_y"), F.max_by("y", "x").alias("last_y"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "y"))), lambda p: F.format_string("%.0f", p["y"])), ",").alias("spark"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "y"))), lambda p: compact(p["y"])), ",").alias("spark"))
+
+
+def upsert(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """Incoming rows replace those of their key (nulls too); the rest stays."""
+    return current.join(incoming.select(*key), key, "left_anti").unionByName(incoming)
+
+
+def rewrite(current: DataFrame, incoming: DataFrame, partition: list[str]) -> DataFrame:
+    """Delete and rewrite: the partitions that incoming holds are replaced whole."""
+    return current.join(incoming.select(*partition).distinct(), partition, "left_anti").unionByName(incoming)
+
+
+def upsert_counts(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """written, revised: rows of a batch, and those whose value differs from what stood before the batch."""
+    both = incoming.select(*key, F.col("value").alias("new")).join(current.select(*key, "value"), key, "left")
+    return both.agg(F.count("*").alias("written"), F.count_if(F.col("new") != F.col("value")).alias("revised"))
 
 
 def missing_only(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
@@ -53,7 +79,38 @@ def cost_status(cents: str = "cents", free_below: int = 0, approve_upto: int = 5
     return F.when(F.col(cents) <= free_below, "auto").when(F.col(cents) <= approve_upto, "approved").otherwise("pending")
 
 
-def seal(rows: DataFrame, key: str) -> DataFrame:
-    """One line of JSON per row and its hash; sorting by the key and hashing the lines in order is the seal."""
-    line = F.to_json(F.struct(*sorted(rows.columns)))
-    return rows.select(F.col(key), line.alias("line"), F.sha2(line, 256).alias("sha256"))
+def content_hash(*columns: str) -> Column:
+    """sha256 of a row as JSON with sorted keys."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def seal(rows: DataFrame, key: str, span: int = 1 << 20) -> DataFrame:
+    """n, seal: the hash over all rows' hashes in the order of the key (unique). Up to `span` rows the chain is one aggregate; more
+    are sealed in runs of neighbouring keys first, and the seal is over the runs' seals: still one value that any change alters."""
+    each = rows.select(F.col(key).alias("k"), content_hash(*rows.columns).alias("h"))
+    n = each.count()
+    chained = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda r: r["h"]), ""), 256)
+    if n > span:
+        runs = each.repartitionByRange(-(-n // span), "k").withColumn("run", F.spark_partition_id())
+        each = runs.groupBy("run").agg(chained.alias("h")).withColumnRenamed("run", "k")
+    return each.agg(F.lit(n).cast("long").alias("n"), chained.alias("seal"))
+
+
+def export_lines(rows: DataFrame, key: str, path: str) -> str:
+    """Writes the rows as JSON lines sorted by key, in files that follow each other, and returns the seal that belongs beside them."""
+    rows.select(F.col(key).alias("__k"), F.to_json(F.struct(*sorted(rows.columns))).alias("value")).orderBy("__k").select("value").write.text(path)
+    return seal(rows, key).first()["seal"]
+
+
+def submission(forecasts: DataFrame, organization: str, model: str, due: str) -> DataFrame:
+    """One row: the name of the file and the document of a submission, with exactly the keys organization, model, question_set,
+    forecast_due_date and forecasts."""
+    rows = F.array_sort(F.collect_list(F.struct("id", "source", "resolution_date", "direction", "forecast")))
+    doc = F.struct(F.lit(organization).alias("organization"), F.lit(model).alias("model"), F.lit(f"{due}-llm.json").alias("question_set"), F.lit(due).alias("forecast_due_date"), F.col("rows").alias("forecasts"))
+    return forecasts.agg(rows.alias("rows")).select(F.lit(f"{due}.{organization}.1.json").alias("name"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def ledgered(rows: DataFrame, actions: DataFrame, free_below: int = 0, approve_upto: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(ledger with status, refused actions): actions (id, cents) are logged first whatever comes of them; what is pending is refused."""
+    new = actions.withColumn("status", cost_status("cents", free_below, approve_upto))
+    return rows.unionByName(new), new.filter("status = 'pending'")

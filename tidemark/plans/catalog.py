@@ -27,8 +27,8 @@ MONTHLY = """pts AS (
   SELECT p_brand || '|' || p_type AS series_id, (year(l_shipdate) * 12 + month(l_shipdate))::DOUBLE AS x, sum(l_quantity) AS y
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 BRANDS = MONTHLY.replace("p_brand || '|' || p_type", "p_brand")
-YEARLY = """yr AS (
-  SELECT p_brand || '|' || p_type AS series_id, p_type AS cohort, year(l_shipdate) AS x, sum(l_quantity) AS y
+QUARTERLY = """yr AS (
+  SELECT p_brand || '|' || p_type AS series_id, p_type AS cohort, year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS x, sum(l_quantity) AS y
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 DAILY = """day AS (
   SELECT event_type, ts::DATE AS day, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL)"""
@@ -59,7 +59,7 @@ runs AS (SELECT *, rn - row_number() OVER (PARTITION BY {key}, s > 0 ORDER BY rn
 upr AS (SELECT {key}, max(c) AS n_up FROM (SELECT {key}, gu, count(*) AS c FROM runs WHERE s > 0 GROUP BY ALL) GROUP BY ALL),
 dnr AS (SELECT {key}, max(c) AS n_dn FROM (SELECT {key}, gd, count(*) AS c FROM runs WHERE s < 0 GROUP BY ALL) GROUP BY ALL),
 det0 AS (SELECT {key}, n, split, holdout, slope, intercept, sigma, least(max(s), 1e6) AS surprise, least(greatest(0.0::DOUBLE, -min(s)), 1e6) AS down, avg(s) AS mean_s FROM s GROUP BY ALL),
-det AS (SELECT {key}, n, split, slope, intercept, sigma, surprise, surprise >= {k} AS fired, least(mean_s, 1e6) AS sustained_sigma,
+det AS MATERIALIZED (SELECT {key}, n, split, slope, intercept, sigma, surprise, surprise >= {k} AS fired, least(mean_s, 1e6) AS sustained_sigma,
   coalesce(n_up, 0) AS n_consecutive, coalesce(n_up, 0) >= greatest(2, ceil(holdout / 2)) AS sustained, down AS down_surprise,
   coalesce(n_dn, 0) AS n_consecutive_down, down >= {k} AND coalesce(n_dn, 0) >= greatest(2, ceil(holdout / 2)) AS dissolving
   FROM det0 LEFT JOIN upr USING ({key}) LEFT JOIN dnr USING ({key}))"""

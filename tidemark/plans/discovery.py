@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import mining, series
+from ..operators import mining
 from ..sources import domain
-from .catalog import MONTHLY, PAPERS, detect_sql, med, query
+from .catalog import MONTHLY, PAPERS, med, query
 
 _LAST, _MIN = "2021-12", 3
 
 
-@query("corpus_emergence", f"""WITH {PAPERS}, a AS (SELECT doc_id, date_diff('month', (month || '-01')::DATE, DATE '{_LAST}-01') AS age, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS w FROM papers),
-o AS (SELECT count(*) FILTER (WHERE age BETWEEN 0 AND 11) AS t0, count(*) FILTER (WHERE age BETWEEN 12 AND 23) AS t1, count(*) FILTER (WHERE age BETWEEN 24 AND 35) AS t2 FROM a),
-u AS (SELECT age, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM a WHERE age BETWEEN 0 AND 35),
-c AS (SELECT term, count(*) FILTER (WHERE age <= 17) AS n, count(*) FILTER (WHERE age <= 11) AS n0, count(*) FILTER (WHERE age BETWEEN 12 AND 23) AS n1, count(*) FILTER (WHERE age >= 24) AS n2 FROM u GROUP BY ALL),
-s AS (SELECT term, n, n0 / greatest(t0, 1)::DOUBLE AS recent, n1 / greatest(t1, 1)::DOUBLE AS prior, n2 / greatest(t2, 1)::DOUBLE AS older FROM c, o WHERE n >= {_MIN}),
-k AS (SELECT term, n, recent, prior, round(ln((recent + 1e-5::DOUBLE) / (prior + 1e-5::DOUBLE)) * ln(1 + n), 6) AS score FROM s WHERE recent > prior AND (recent - prior) - (prior - older) >= 0 AND recent <= 0.03::DOUBLE)
+_STOPPED = ", ".join(f"'{w}'" for w in mining.STOP)
+
+
+@query("corpus_emergence", f"""WITH {PAPERS}, p AS (SELECT month, list_filter(regexp_extract_all(lower(text), '[a-z][a-z][a-z\\-]+'), lambda w: w NOT IN ({_STOPPED})) AS w FROM papers WHERE month <= '{_LAST}'),
+t AS (SELECT month, count(*) AS total, row_number() OVER (ORDER BY month DESC) - 1 AS age FROM p GROUP BY month),
+u AS (SELECT month, unnest(list_distinct(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS term FROM p),
+f AS (SELECT term FROM u WHERE month > '2020-06' GROUP BY term HAVING count(*) >= {_MIN}),
+c AS (SELECT term, age // 12 AS win, count(*) AS c, any_value(total) AS total FROM u JOIN f USING (term) JOIN t USING (month) WHERE age < 36 GROUP BY term, month, age),
+z AS (SELECT term, sum(c) FILTER (WHERE win = 0) AS n, coalesce(sum(c / total) FILTER (WHERE win = 0), 0) / 12 AS recent, coalesce(sum(c / total) FILTER (WHERE win = 1), 0) / 12 AS prior, coalesce(sum(c / total) FILTER (WHERE win = 2), 0) / 12 AS older FROM c GROUP BY term),
+k AS (SELECT term, n::BIGINT AS n, recent, prior, round(ln((recent + 1e-5::DOUBLE) / (prior + 1e-5::DOUBLE)) * ln(1 + n), 6) AS score FROM z WHERE n >= {_MIN} AND recent - prior > 1e-12::DOUBLE AND (recent - prior) - (prior - older) >= -1e-12::DOUBLE AND recent <= 0.03::DOUBLE)
 SELECT term, n, round(recent, 9) AS recent, round(prior, 9) AS prior, score FROM k ORDER BY score DESC, term LIMIT 40""")
 def corpus_emergence(spark, sf_dir):
+    """Phrases of two and three content words whose share of the corpus rises; `min_docs` is 3, as the corpus is small."""
     got = mining.emerging(domain.papers(spark, sf_dir), _LAST, _MIN)
     return got.withColumns({c: F.round(c, 9) for c in ("recent", "prior")})
 
@@ -48,16 +53,3 @@ c AS (SELECT series_id, len(list_filter(ys, lambda v: v < 0)) AS negative, len(l
 SELECT series_id, negative::INT AS negative, outliers::INT AS outliers, CASE WHEN negative > 0 THEN 'fail' WHEN outliers > 0 THEN 'warn' ELSE 'ok' END AS status FROM c""")
 def quality_validity(spark, sf_dir):
     return mining.validity(domain.monthly(spark, sf_dir), ["series_id"], 10.0)
-
-
-_LEAD, _LAG = "('ECONOMY', 'PROMO')", "('STANDARD', 'LARGE')"
-
-
-@query("pre_consensus", f"""WITH {MONTHLY}, {detect_sql(k=1.5)}, ent AS (SELECT split_part(series_id, '|', 1) AS entity, split_part(split_part(series_id, '|', 2), ' ', 1) AS kind, fired, surprise FROM det),
-g AS (SELECT entity, coalesce(bool_or(fired AND kind IN {_LEAD}), false) AS lead, coalesce(bool_or(fired AND kind IN {_LAG}), false) AS lag, max(surprise) AS top FROM ent GROUP BY ALL)
-SELECT entity, CASE WHEN lead AND lag THEN 'PRICED' WHEN lead THEN 'EARLY' WHEN lag THEN 'LAGGING' ELSE 'QUIET' END AS class, round(top, 6) AS top FROM g""")
-def pre_consensus(spark, sf_dir):
-    det = series.detect(domain.monthly(spark, sf_dir), ["series_id"], k=1.5)
-    kind = F.split_part(F.split_part("series_id", F.lit("|"), F.lit(2)), F.lit(" "), F.lit(1))
-    e = det.select(F.split_part("series_id", F.lit("|"), F.lit(1)).alias("entity"), kind.alias("kind"), "fired", "surprise")
-    return mining.lead_lag(e, "entity", F.col("kind").isin("ECONOMY", "PROMO"), F.col("kind").isin("STANDARD", "LARGE")).withColumn("top", F.round("top", 6))
