@@ -58,7 +58,7 @@ def excerpt_lines(texts: DataFrame, key: str, terms: list[str], budget: int = 45
     first, each with its neighbours, until the budget of characters is used up (the line that passes it is still shown).
 
     A window per text; a text's lines are its own group."""
-    lines = texts.select(key, F.posexplode(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]"), F.trim), lambda s: s != "")).alias("line", "own"))
+    lines = texts.select(key, F.posexplode(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]"), lambda s: F.trim(s)), lambda s: s != "")).alias("line", "own"))
     low = F.lower("own")
     score = sum((F.contains(low, F.lit(t)).cast("double") for t in terms), F.lit(0.0)) + F.when(F.col("own").rlike("[0-9]"), 0.5).otherwise(0.0)
     scored = lines.withColumn("score", score)

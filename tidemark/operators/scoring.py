@@ -58,10 +58,11 @@ def marginals(tree: DataFrame, cut) -> DataFrame:
     Pointer doubling: each round every card's pointer jumps over as many ancestors as all rounds before it, so the rounds are the
     logarithm of the depth. `cut` (a function of a DataFrame) writes each round down and reads it again. Cards on a cycle or below
     a missing parent have no root and are left out."""
-    at = cut(tree.select("card_id", F.col("parent_id").alias("up"), F.col("p").cast("double").alias("marginal"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth")))
-    for _ in range(64):
-        if at.filter("up IS NOT NULL").isEmpty():
-            break
+    at = cut(tree.select("card_id", F.col("parent_id").alias("up"), F.col("p").cast("double").alias("marginal"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    before = None
+    # Each round closes some cards of a tree that has open ones; those on a cycle never close.
+    while (n := at.filter("up IS NOT NULL").count()) and n != before:
+        before = n
         above = at.select(F.col("card_id").alias("up"), F.col("up").alias("next"), F.col("marginal").alias("m"), F.col("depth").alias("d"))
         open_ = at.filter("up IS NOT NULL").join(above, "up").select("card_id", F.col("next").alias("up"), (F.col("marginal") * F.col("m")).alias("marginal"), (F.col("depth") + F.col("d")).alias("depth"))
         at = cut(at.filter("up IS NULL").unionByName(open_))

@@ -109,7 +109,7 @@ def _tree(spark, sf_dir):
 
 @query("scenario_marginals", f"WITH RECURSIVE {_TREE}, walk AS (SELECT card_id, 0 AS depth, p AS marginal FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.card_id, depth + 1, marginal * t.p FROM walk JOIN tree t ON t.parent_id = walk.card_id) SELECT card_id, depth, round(marginal, 9) AS marginal FROM walk")
 def scenario_marginals(spark, sf_dir):
-    return scoring.marginals(_tree(spark, sf_dir), cut).withColumn("marginal", F.round("marginal", 9))
+    return scoring.marginals(_tree(spark, sf_dir), cut).withColumns({"marginal": F.round("marginal", 9), "depth": F.col("depth").cast("int")})
 
 
 @query("scenario_incoherent", f"WITH {_TREE}, bent AS (SELECT card_id, parent_id, CASE WHEN card_id LIKE 'n1%' THEN p * 1.01::DOUBLE ELSE p END AS p FROM tree) SELECT parent_id, round(sum(p), 6) AS total, count(*) AS children FROM bent WHERE parent_id IS NOT NULL GROUP BY ALL HAVING abs(sum(p) - 1) > 0.005")

@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series, store
+from ..session import shared_root
 
 
 def root(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which drivers and executors share; it must be set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the one that drivers and executors share."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
