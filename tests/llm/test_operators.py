@@ -241,6 +241,18 @@ def test_toxicity_on_planted_rows(spark, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_character_model_does_not_depend_on_partitions(spark):
+    rows = [(i, t) for i, t in enumerate(["ab", "cd", None, "", "e", "abcdef", "xyz" * 40] * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = np.zeros(toxicity.LETTERS**3)
+    for _, t in rows:
+        x = [ord(c) - 97 for c in t or ""]
+        for k in range(len(x) - 2):
+            want[(x[k] * 27 + x[k + 1]) * 27 + x[k + 2]] += 1
+    for n in (1, 7, 50):
+        assert (toxicity.char_counts(df.repartition(n)) == want).all()
+
+
 def test_weights_follow_rates_and_the_curve_fits():
     w = toxicity._weights(np.array([200.0, 4.0, 0.0]), np.array([396.0, 396.0, 50.0]), 400, 39600)
     assert abs(w[0] - np.log(50)) < 0.1 and w[1] == w[2] == 0  # half of the toxic rows against 1 % of the clean ones
@@ -317,6 +329,42 @@ def test_jaccard_edges(spark, edges, empty):
     assert ngram_jaccard.jaccard_components(empty).count() == 0
 
 
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(8)
+    a, b = (" ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(120)) for _ in range(2))
+    near = a.replace(a.split()[60], "changed", 1)
+    rows = [(1, a), (2, near), (2, b), (3, b), (4, a), (None, a), (5, None), (5, None), (6, " ")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, own int")
+    for d in (df, df.orderBy(F.desc("text"))):
+        got = ngram_jaccard.keep_one(d)
+        kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect())
+        assert got.columns == df.columns and sum(t in (a, near) for n, _, t in kept if not n) == 1 and sum(t == b for *_, t in kept) == 1
+        assert [(i, t) for n, i, t in kept if i in (5, 6)] == [(5, ""), (6, " ")] and any(n for n, *_ in kept)
+    assert ngram_jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_copies_far_from_the_smallest_id(spark):
+    """Copies of a base that differ from each other by more than the limit, the base having the largest id."""
+    rng = random.Random(9)
+    base = [rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(300)]
+    rows = []
+    for k in range(40):
+        words = list(base)
+        for _ in range(6):
+            words[rng.randrange(300)] = f"x{rng.random()}"
+        rows.append((k, " ".join(words)))
+    rows.append((99, " ".join(base)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert got == want and len(set(want.values())) < 41
+
+
 def test_rows_of_one_id_with_different_texts(spark):
     rng = random.Random(12)
     rows = []
@@ -371,6 +419,28 @@ def test_names_of_wrappers_keep_the_article(open_):
     assert html_text.main_text(f'<div class="comments"><article class="comment-body">{good}</article></div><nav><main>{good}</main></nav>') == ""
 
 
+def test_markup_that_is_broken():
+    good = " ".join(["the story of a town and its river was told by the people that lived in it"] * 3)
+    assert html_text.main_text(f"<body class='single no-sidebar'><p title=don't>{good}</p><p>It isn't.</p>") == f"{good}\n\nIt isn't."
+    assert html_text.main_text(f"<article><button>x<p>{good}</p><svg><select><p>{good} too</p></article>") == f"x\n\n{good}\n\n{good} too"
+    assert html_text.main_text(f'<article><p class="a>{good}</p><p>{good}</p></article>') == f"{good}\n\n{good}"
+    block = "un bloc de quarante mots en catalana llengua que cap llista coneix i que tanmateix val tant com qualsevol altre".split()
+    assert html_text.main_text(f"<body><div><p>{' '.join(block * 2)}</p></div></body>") == " ".join(block * 2)
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<svg>", "<!", "</ ", "<p class='x", "<", "<b>x</b> "])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    took = []
+    for size in (500_000, 2_000_000):
+        page = piece * (size // len(piece))
+        began = time.process_time()
+        html_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 @pytest.mark.parametrize(
     "text",
     [

@@ -29,6 +29,7 @@ STOP_WORDS = frozenset(
 LONG, DENSE, LINKED = 12, 0.10, 0.5
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _RAW = frozenset("script style noscript template iframe svg math object select textarea button head title canvas audio video".split())
+_SWALLOWS = frozenset("script style textarea title".split())  # unclosed, they hold the rest of the page
 _FURNITURE = frozenset("nav footer aside form menu dialog".split())
 _PAGE = frozenset("html body main article".split())  # their names tell of the whole page
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,8 +40,10 @@ _NAMED = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\
 _WHOLE = re.compile(r"^(?:side-?bar|nav\w*|legal|social|search|related|notice|(?:main|site|top|primary|secondary|left|right)[_-](?:nav\w*|side-?bar)|related[_-](?:posts?|articles?|stories|links|items?)|social[_-](?:links|media|icons|bar)|search[_-](?:form|box|bar)|legal[_-](?:notice|links))$", re.IGNORECASE)
 _REPLY = re.compile(r"(?:^|[_-])(?:comments?|replies|reply)(?=$|[_-])", re.IGNORECASE)
 _STATE = re.compile(r"(?:has|with|without|no)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled)", re.IGNORECASE)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: An attribute: its name, and a value in double quotes (and the closing one), in single quotes, or bare.
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\s>]*)))?")
+_BETWEEN = re.compile(r"[\s/]*")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"\w+")
 #: Letters of scripts that part no words by spaces (Thai, Lao, Burmese, Khmer, kana, Han), and all letters outside Latin.
@@ -48,9 +51,28 @@ _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3
 _LETTERS, _FOREIGN = re.compile(r"[^\W\d_]"), re.compile("[^\\W\\d_\u0000-\u024f\u1e00-\u1eff]")
 
 
-def _named(attributes: str, *names_of: re.Pattern) -> bool:
-    """Whether class, id or role hold such a name."""
-    names = (t for n in _NAME.findall(attributes) for x in n if x for t in x.split())
+def _attributes(page: str, at: int) -> tuple[list[str], int]:
+    """The names in class, id and role of a tag whose attributes begin at a place, and the place behind its '>' (the page's end
+    without one). A quote that nothing closes ends the tag at the next '>'. Each character is looked at a bounded number of times:
+    a kind of quote can be left open once a page."""
+    names, start, end = [], at, len(page)
+    while True:
+        at = _BETWEEN.match(page, at).end()
+        if at >= end:
+            return names, end
+        if page[at] == ">":
+            return names, at + 1
+        m = _ATTRIBUTE.match(page, at)
+        at = m.end()
+        if m[3] == "" or m[5] == "":
+            over = page.find(">", start)
+            return names, over + 1 if over >= 0 else end
+        if m[1].lower() in ("class", "id", "role"):
+            names += (m[2] or m[4] or m[6] or "").split()
+
+
+def _named(names: list[str], *names_of: re.Pattern) -> bool:
+    """Whether one of the names of class, id or role is such a name."""
     return any(not _STATE.fullmatch(t) and any(x.search(t) for x in names_of) for t in names)
 
 
@@ -83,23 +105,34 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, bad > 0, region, heading, linked))
         parts, linked, heading = [], 0, False
 
+    def say(piece: str) -> None:
+        nonlocal linked
+        piece = html.unescape(piece)
+        parts.append(piece)
+        if links:
+            linked += len(piece.strip())
+
     at, end = 0, len(page)
+    unclosed: set[str] = set()  # raw elements that nothing closes from here on
     while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                piece = html.unescape(piece)
-                parts.append(piece)
-                if links:
-                    linked += len(piece.strip())
+        m = _TAG.match(page, at) if page[at] == "<" else None
+        if m is None:
+            if page[at] != "<" or page[at + 1 : at + 2] not in ("!", "?", "/"):
+                over = page.find("<", at + 1)
+                over = end if over < 0 else over
+                say(page[at:over])
+                at = over
+            else:
+                mark = "-->" if page.startswith("<!--", at) else ">"
+                over = page.find(mark, at + 2)
+                at = end if over < 0 else over + len(mark)
             continue
-        tag, closing = tag.lower(), bool(m[1])
+        tag, closing = m[2].lower(), bool(m[1])
+        names, at = _attributes(page, m.end())
         if tag in _RAW and not closing:
-            over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            if tag == "head" and over is None:
+            over = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+            if over is None and tag not in _SWALLOWS:  # its start tag stands alone
+                unclosed.add(tag)
                 continue
             at = over.end() if over else end
             if tag in _BLOCK:
@@ -132,12 +165,12 @@ def blocks(page: str) -> list[Block]:
             if tag in ("article", "main") and not region:
                 regions += 1
                 region = regions
-                if bad == 1 and not (tag == "article" and _named(m[3], _REPLY)):  # a comment may be an article too
+                if bad == 1 and not (tag == "article" and _named(names, _REPLY)):  # a comment may be an article too
                     bad = 0
                     wrapped.add(region)
             if tag in _FURNITURE or tag == "header" and not region:
                 bad = 2
-            elif not bad and tag not in _PAGE and m[3] and _named(m[3], _NAMED, _WHOLE):
+            elif not bad and tag not in _PAGE and _named(names, _NAMED, _WHOLE):
                 bad = 1
             stack.append((tag, bad, region))
         if tag in _HEADING and not closing:
@@ -201,7 +234,7 @@ def _main_texts(pages: pd.Series) -> pd.Series:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row; a null or empty page has empty text. Repeated rows are repeated, null ids and
-    urls kept, other columns ignored."""
+    urls kept, other columns (of whatever name) ignored. Pages of any length and markup of any kind are read in one pass."""
     return pages.select("page_id", "url", F.pandas_udf(_main_texts, "string")(F.coalesce("html", F.lit(""))).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 

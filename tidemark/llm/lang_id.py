@@ -18,8 +18,9 @@ from .shared import bounded_batches, fold, mix
 
 #: Hash buckets, embedding width, n-gram lengths.
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
-#: Labelled documents fitted on, at most, for each language (the least hashes of their ids), and languages at most.
-PER_LANG, MAX_LANGS = 1200, 200
+#: Labelled documents fitted on, at most, for each language (the least hashes of their ids) and in all, and the longest text among
+#: them. Many languages get fewer documents each; none is left out.
+PER_LANG, FIT_ROWS, FIT_CHARS = 1200, 240_000, 100_000
 #: Characters hashed at a time.
 SLICE = 1 << 17
 
@@ -43,8 +44,8 @@ def _codes(text: str) -> np.ndarray:
     return np.concatenate([[32], x[keep], [32]]).astype(np.uint64)
 
 
-def _features(codes: np.ndarray) -> np.ndarray:
-    """Bucket of every n-gram of all orders."""
+def _features(codes: np.ndarray, seen: int = 0) -> np.ndarray:
+    """Bucket of every n-gram of all orders, but for those within the first `seen` codes."""
     out, h = [], np.zeros(len(codes), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         m = len(codes) - n + 1
@@ -53,7 +54,7 @@ def _features(codes: np.ndarray) -> np.ndarray:
         h = (h[:m] + codes[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if n in ORDERS:
-            out.append((h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int32))
+            out.append((h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int32)[max(0, seen - n + 1) :])
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
@@ -66,7 +67,7 @@ def _logits(model: LangModel, text: str) -> np.ndarray:
     codes = _codes(text)
     counts = np.zeros(BUCKETS, np.int64) if len(codes) > SLICE else None
     for i in range(0, len(codes), SLICE):
-        f = _features(codes[max(0, i - k) : i + SLICE])  # the few n-grams that two slices share count twice
+        f = _features(codes[max(0, i - k) : i + SLICE], min(i, k))
         n += len(f)
         if counts is None:
             total += model.table[f].sum(0, dtype=np.float64)
@@ -145,16 +146,19 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: float
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG, held_out=None) -> list[tuple[str, str]]:
     """At most per_lang labelled documents of each language, those with the least id hashes outside the held-out fold. First
-    ids alone are chosen (with a limit before the shuffle), then their texts are fetched: at most MAX_LANGS * per_lang rows."""
+    ids alone are chosen (with a limit before the shuffle), then their texts are fetched: at most FIT_ROWS rows, or one for each
+    language, of at most FIT_CHARS characters."""
     held_out = fold("doc_id", 4) == 2 if held_out is None else held_out
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out & (F.char_length("text") <= FIT_CHARS))
+    counts = known.groupBy("lang").count()
+    langs = max(1, counts.count())
+    per_lang = max(1, min(per_lang, FIT_ROWS // langs))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))  # uniform in [0, 1)
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     # A language's share of places that holds about twice the rows wanted, so that no language gathers in one task.
-    near = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts), "lang").filter(F.col("place") * F.col("count") < 2 * per_lang + 100)
-    chosen = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("doc_id").distinct().limit(MAX_LANGS * per_lang)
-    # The bound on the broadcast side is MAX_LANGS * per_lang ids.
+    near = known.select("doc_id", "lang", place.alias("place")).join(counts, "lang").filter(F.col("place") * F.col("count") < 2 * per_lang + 100)
+    chosen = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("doc_id").distinct().limit(langs * per_lang)
+    # The bound on the broadcast side is FIT_ROWS ids, or one for each language.
     got = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").dropDuplicates(["doc_id"])
     return [(r.text, r.lang) for r in sorted(got.toLocalIterator(), key=lambda r: r.doc_id)]
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 #: Rows fitted on for each part, and at most; parts at most; neighbours in the graph.
-PER_PART, SAMPLE, PARTS, DEGREE = 96, 16384, 256, 10
+PER_PART, SAMPLE, PARTS, DEGREE = 96, 65536, 1024, 10
 #: Share of a sample query's true neighbours that its parts must hold (above the 0.9 asked for, since rows outside the sample
 #: are harder), hidden units of the classifier.
 REACH, HIDDEN = 0.985, 128
@@ -89,8 +89,8 @@ def fit(x: np.ndarray, parts: int, k: int, seed: int = 5, epochs: int = 30) -> R
     rng, n = np.random.default_rng(seed), len(x)
     parts = max(1, min(parts, n // 4))
     near = np.zeros((n, min(max(DEGREE, k), max(n - 1, 0))), np.int64)
-    for i in range(0, n, 1024):
-        s = x[i : i + 1024] @ x.T
+    for i in range(0, n, 256):
+        s = x[i : i + 256] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
         top = np.argpartition(-s, near.shape[1] - 1, axis=1)[:, : near.shape[1]] if near.shape[1] else near[i : i + len(s)]
         near[i : i + len(s)] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), 1), 1) if near.shape[1] else top
