@@ -50,9 +50,9 @@ def drift_p(logs: bool = False) -> Column:
 
 def equity_p() -> Column:
     """P(higher) of a stock: the market's drift against its own volatility. Null under 60 points or 30 returns."""
-    h = F.filter("h", lambda p: p["v"] > 0)
-    rets = F.transform(_moves(h), lambda m: F.log(m["b"]["v"] / m["a"]["v"]))
     days = _horizon() * 252 / 365
+    plus = F.filter("h", lambda p: p["v"] > 0)
+    rets = let(plus, lambda h: F.transform(_moves(h), lambda m: F.log(m["b"]["v"] / m["a"]["v"])))
     z = let(rets, lambda r: F.when(F.size(r) >= 30, F.lit(EQUITY_DRIFT) * F.sqrt(days) / let(pstdev_of(r), lambda x: F.when(x > 0, x).otherwise(1e-9))))
     return F.when((F.size("h") >= 60) & (days > 0), normal_cdf(z))
 

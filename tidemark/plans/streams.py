@@ -10,7 +10,7 @@ from .catalog import query
 
 
 def _events(spark, sf_dir):
-    raw = flows.landing(spark, f"{sf_dir}/events.parquet", domain.table(spark, sf_dir, "events").schema)
+    raw = flows.landing(spark, f"{sf_dir}/events.parquet*", domain.table(spark, sf_dir, "events").schema)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
