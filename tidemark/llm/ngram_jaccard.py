@@ -369,20 +369,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group stays (the one whose id names the component), columns unchanged. Rows that repeat an id with
-    different texts are different documents; of equal rows one stays. Rows without id stay. No rows: none; null and wordless
-    texts belong to no group, so they stay."""
+    """One document of each group stays, columns unchanged: the one with the least id, among several of that id the one whose text
+    has the least hash. Rows that repeat an id with different texts are different documents; of equal rows one stays. Rows
+    without id stay. No rows: none; null and wordless texts belong to no group, so they stay."""
     own = unused(docs, "own")
     ids = docs.filter("doc_id IS NOT NULL")
     repeated = materialize(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias(own)))
     if repeated.isEmpty():
-        named = ids.withColumn(own, F.col("doc_id"))
-    else:
-        named = materialize(ids.join(repeated, "doc_id", "left").withColumn(own, F.when(F.col(own), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))))
-    keep = jaccard_components(named.select(F.col(own).cast("long").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    kept = named.join(keep, own, "left_semi")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([own])
+        keep = jaccard_components(ids.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).filter("doc_id = component_id").select("doc_id")
+        return ids.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    named = materialize(ids.join(repeated, "doc_id", "left").withColumn(own, F.when(F.col(own), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))))
+    groups = jaccard_components(named.select(F.col(own).alias("doc_id"), "text")).select(F.col("doc_id").alias(own), F.col("component_id").alias("group"))
+    first = groups.join(named.select(own, F.col("doc_id").alias("of")).distinct(), own).groupBy("group").agg(F.min(F.struct("of", own)).alias("least"))
+    kept = named.join(first.select(F.col("least")[own].alias(own)), own, "left_semi").dropDuplicates([own])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
