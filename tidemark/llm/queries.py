@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, as __spark_entry__ registers them."""
 
-from . import html_text, lang_id, learned_ann, lm_score, matroska, mixing, ngram_jaccard, packing, token_files, toxicity
+from . import decontaminate, hard_negatives, html_text, lang_id, learned_ann, lm_score, matroska, mixing, ngram_jaccard, packing, periodic, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_language_id": lang_id.op8,
     "op9_html_blocks": html_text.op9,
     "op10_stupid_backoff": lm_score.op10,
+    "op11_periodic_runs": periodic.op11,
+    "op12_bit_sliced_negatives": hard_negatives.op12,
+    "op13_positional_index": decontaminate.op13,
 }
-ORACLES = {"op5_systematic_mix": mixing.SQL_MIX.replace("{docs}", "documents"), "op10_stupid_backoff": lm_score.SQL}
+ORACLES = {"op5_systematic_mix": mixing.SQL_MIX.replace("{docs}", "documents"), "op10_stupid_backoff": lm_score.SQL, "op12_bit_sliced_negatives": hard_negatives.SQL, "op13_positional_index": decontaminate.SQL}

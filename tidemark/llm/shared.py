@@ -100,8 +100,8 @@ class _Powers:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-#: Hash value of each byte, A-Z as a-z.
-BYTE_HASH = _BYTE[_LOWER]
+#: Hash value of each byte, A-Z as a-z; and with A-Z apart.
+BYTE_HASH, CASED_HASH = _BYTE[_LOWER], _BYTE
 #: The white space that separates words: space and 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -144,12 +144,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
 
 
 class Hasher:
-    """Hashes of any byte ranges of one buffer by a prefix sum."""
+    """Hashes of any byte ranges of one buffer by a prefix sum; `table` has a value for each byte."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, table: np.ndarray = BYTE_HASH):
         _Powers.upto(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_HASH[data] * _Powers.up[: len(data)], out=self.sums[1:])
+        np.cumsum(table[data] * _Powers.up[: len(data)], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * _Powers.down[starts] + (ends - starts).astype(np.uint64))
