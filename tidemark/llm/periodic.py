@@ -118,7 +118,7 @@ def covering(factors: Factors, first: np.ndarray, last: np.ndarray, after: np.nd
     own, k, left, right = own[fits], k[fits], left[fits], right[fits]
     ahead, back = factors.forward(left, right), factors.backward(left - 1, right - 1, begins[own])
     start = np.maximum(left - back, left - k + 1)
-    ok = (ahead + back >= k) & (ahead > 0) & (back > 0) & (start + k < last[own])
+    ok = (ahead + back >= k) & (ahead > 0) & (back > 0) & (start + k <= last[own])
     out.append((start[ok], k[ok]))
     return np.concatenate([s for s, _ in out]), np.concatenate([p for _, p in out])
 
