@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import registry
-from tidemark.functions import stats
-from tidemark.operators import backtest, benchmark, corpus, entities, experiments, graph, inference, ladder, panels, quality, scoring, series, store, valuation
+from tidemark.functions import robust, stats
+from tidemark.operators import backtest, benchmark, corpus, entities, experiments, graph, inference, ladder, merkle, panels, quality, scoring, series, store, valuation
 from tidemark.sources import landed
 from tidemark.streaming import flows
 
@@ -245,10 +245,35 @@ def test_long_series_keep_their_slope(spark):
     want = st.median((ys[j] - ys[i]) / (j - i) for i in range(60) for j in range(i + 1, 60))
     import numpy as np
 
-    assert abs(stats.median_slope(np.arange(60.0), np.array(ys), at_once=100) - want) < 1e-12
-    long = [v + (500 if k > 500 else 0) for k, v in enumerate(FLAT * 28)]
-    a, b = (series.detect(points(spark, s=ys, t=long), ["series_id"], long_series=x).orderBy("series_id").collect() for x in (False, True))
-    assert [(r.fired, round(r.slope, 9), round(r.surprise, 6)) for r in a] == [(r.fired, round(r.slope, 9), round(r.surprise, 6)) for r in b]
+    assert abs(robust.median_slope(np.arange(60.0), np.array(ys), at_once=100) - want) < 1e-12
+    long = [v + (500 if k > 500 else 0) + rng.gauss(0, 0.01) for k, v in enumerate(FLAT * 80)]
+    got = {r.series_id: r for r in series.detect(points(spark, s=ys, t=long), ["series_id"]).collect()}
+    for name, own in (("s", ys), ("t", long)):
+        say = robust.verdict(np.arange(len(own)) * 1.0, np.array(own))
+        assert got[name].n == say["n"] and abs(got[name].surprise - say["surprise"]) < 1e-6 and all(got[name][f] == say[f] for f in ("fired", "sustained", "dissolving"))
+
+
+def test_slopes_are_selected_by_counting():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 64, 100):
+        r = rng.permutation(n)
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if r[i] > r[j]}
+        i, j = robust.inverted(r, pairs=True)
+        assert robust.inverted(r) == len(want) and set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True)) == want
+    for t in range(60):
+        n = int(rng.integers(2, 300))
+        x = np.sort(rng.random(n) * 100) if t % 2 else np.sort(rng.integers(0, n, n)).astype(float)
+        y = rng.standard_normal(n) * 10.0 ** rng.integers(-5, 6)
+        i, j = np.triu_indices(n, 1)
+        ok = x[i] != x[j]
+        s = np.sort((y[j] - y[i])[ok] / (x[j] - x[i])[ok])
+        got = robust.median_slope(x, y, at_once=800)
+        assert got == (0.0 if not len(s) else (s[(len(s) + 1) // 2 - 1] + s[len(s) // 2]) / 2)
+    x = np.arange(100_000.0)
+    assert abs(robust.median_slope(x, 0.5 * x + rng.standard_normal(len(x))) - 0.5) < 1e-6
+    assert robust.median_slope(x, np.zeros(len(x))) == 0.0
 
 
 def test_panel_effects_by_least_squares(spark):
@@ -299,14 +324,11 @@ def test_store_on_a_stream_keeps_what_came_late(spark, tmp_path):
     batches = [[("a", 1, 1.0, 0.1, "u", d.datetime(2024, 1, 1)), ("b", 1, 5.0, 0.1, "u", d.datetime(2024, 1, 1))], [("a", 1, 2.0, 0.1, "u", d.datetime(2024, 3, 1))], [("a", 0, 9.0, 0.1, "u", d.datetime(2023, 1, 1)), ("a", 1, 2.0, 0.5, "u", d.datetime(2024, 4, 1))]]
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, s).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    latest, log = flows.Store(spark, str(tmp_path / "store")).run(flows.landing(spark, str(tmp_path / "in"), s, 1))
-    assert {(r.series_id, r.x): (r.value, r.uncertainty) for r in latest.collect()} == {("a", 1): (2.0, 0.5), ("b", 1): (5.0, 0.1), ("a", 0): (9.0, 0.1)}
-    assert [(r.series_id, r.old_value, r.new_value) for r in log.collect()] == [("a", 1.0, 2.0)]
-    pts = spark.createDataFrame([("j", float(x), float(y)) for x, y in enumerate(FLAT[:18] + [v + 40 for v in FLAT[18:]])], "series_id string, x double, y double")
-    pts.write.parquet(str(tmp_path / "pts"))
-    history = lambda: spark.read.schema(pts.schema).parquet(str(tmp_path / "pts"))
-    got = flows.online_verdicts(flows.landing(spark, str(tmp_path / "pts"), pts.schema), history, str(tmp_path / "online"), ["series_id"]).collect()
-    assert [(r.series_id, r.fired) for r in got] == [("j", True)]
+    kept = flows.Store(spark, str(tmp_path / "store"))
+    for _ in range(2):  # the second run has nothing new and returns the same
+        latest, log = kept.run(flows.landing(spark, str(tmp_path / "in"), s, 1))
+        assert {(r.series_id, r.x): (r.value, r.uncertainty) for r in latest.collect()} == {("a", 1): (2.0, 0.5), ("b", 1): (5.0, 0.1), ("a", 0): (9.0, 0.1)}
+        assert [(r.series_id, r.old_value, r.new_value, r.revised_at) for r in log.collect()] == [("a", 1.0, 2.0, d.datetime(2024, 3, 1))]
 
 
 def test_landed_files(spark, tmp_path):
@@ -345,10 +367,13 @@ def test_writers(spark, tmp_path):
     r = store.submission(f, "us", "robust", "2024-07-21").first()
     doc = json.loads(r.document)
     assert r.name == "2024-07-21.us.1.json" and sorted(doc) == ["forecast_due_date", "forecasts", "model", "organization", "question_set"] and doc["forecasts"][0]["direction"] is None
-    a = store.export_lines(f.select("id", "forecast"), "id", str(tmp_path / "seal"))
-    assert a == store.seal(f.select("id", "forecast").repartition(3), "id").first().seal != store.seal(f.select("id", (F.col("forecast") + 1).alias("forecast")), "id").first().seal
+    a = store.export_lines(f.select("id", "forecast"), "id", str(tmp_path / "seal"), flows.cut)
+    sealed = lambda rows: merkle.seal(merkle.tree(rows, "id", flows.cut)).first().seal
+    assert a == sealed(f.select("id", "forecast").repartition(3)) != sealed(f.select("id", (F.col("forecast") + 1).alias("forecast")))
     assert [json.loads(x.value)["id"] for x in spark.read.text(str(tmp_path / "seal")).collect()] == ["a", "b"]
-    assert store.seal(f.select("id", "forecast"), "id", span=1).first().n == 2
+    assert store.chain(f.select("id", "forecast"), "id").first().n == 2
+    with pytest.raises(ValueError):
+        store.chain(f.select("id", "forecast"), "id", most=1)
     led, refused = store.ledgered(spark.createDataFrame([], "id int, cents int, status string"), spark.createDataFrame([(1, 0), (2, 400), (3, 900)], "id int, cents int"))
     assert sorted((x.id, x.status) for x in led.collect()) == [(1, "auto"), (2, "approved"), (3, "pending")] and [x.id for x in refused.collect()] == [3]
 

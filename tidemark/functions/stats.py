@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .robust import median_slope
+
 #: Points up to which all pairwise slopes of a series are held at once, as an array in the JVM (131,000 slopes).
 LONG = 512
 
@@ -39,35 +41,9 @@ def theil_sen_slope(points: Column) -> Column:
     return let(slopes, lambda s: F.coalesce(median_of(s), F.lit(0.0)))
 
 
-def median_slope(x: np.ndarray, y: np.ndarray, at_once: int = 1 << 22, seed: int = 0) -> float:
-    """Median of all pairwise slopes (0 without any), exact in bounded memory: beyond `at_once` pairs a sample of slopes brackets the
-    middle, one pass over the points counts the slopes below the bracket and keeps those inside."""
-    n = len(x)
-    row = lambda i: (y[i + 1 :] - y[i]) / np.where(x[i + 1 :] != x[i], x[i + 1 :] - x[i], np.nan)
-    low, high = -np.inf, np.inf
-    if n * (n - 1) // 2 > at_once:
-        rng = np.random.default_rng(seed)
-        i, j = rng.integers(0, n, at_once // 4), rng.integers(0, n, at_once // 4)
-        ok = x[i] != x[j]
-        low, high = np.quantile((y[j] - y[i])[ok] / (x[j] - x[i])[ok], [0.49, 0.51]) if ok.any() else (low, high)
-    while True:
-        below, total, inside = 0, 0, [np.zeros(0)]
-        for i in range(n - 1):
-            s = row(i)
-            s = s[~np.isnan(s)]
-            total, below = total + len(s), below + int((s < low).sum())
-            inside.append(s[(s >= low) & (s <= high)])
-        middle = np.sort(np.concatenate(inside))
-        a, b = (total - 1) // 2 - below, total // 2 - below
-        if total == 0:
-            return 0.0
-        if 0 <= a and b < len(middle):
-            return float((middle[a] + middle[b]) / 2)
-        low, high = (-np.inf if a < 0 else low), (np.inf if b >= len(middle) else high)  # the bracket missed: widen that side
-
-
 def long_slope(points: Column) -> Column:
-    """theil_sen_slope of series of any length: those of over LONG points go to Python as Arrow arrays, in bounded memory."""
+    """theil_sen_slope of series of any length: those of over LONG points go to Python as Arrow arrays, where the middle slope is selected
+    by counting; shorter ones stay in the JVM."""
 
     def run(series: pd.Series) -> pd.Series:
         return pd.Series([None if p is None else median_slope(np.array([q["x"] for q in p], float), np.array([q["y"] for q in p], float)) for p in series], dtype="float64")

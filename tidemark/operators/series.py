@@ -1,5 +1,5 @@
 """Detectors over series of points. A series is gathered once by its key, and every statistic is an expression over its array:
-one shuffle, no join, no Python."""
+one shuffle, no join; only slopes of series of over 512 points are selected in Python."""
 
 from __future__ import annotations
 
@@ -20,14 +20,13 @@ def _residuals(points: Column, slope: Column, intercept: Column) -> Column:
     return F.transform(points, lambda p: p["y"] - (slope * p["x"] + intercept))
 
 
-def fit(df: DataFrame, points: str, prefix: str = "", long_series: bool = False) -> DataFrame:
-    """Adds the robust line of an array of points: slope, intercept. long_series: some have over 512 points, whose slopes don't fit
-    into a row."""
-    df = df.withColumn(f"{prefix}slope", (long_slope if long_series else theil_sen_slope)(F.col(points)))
+def fit(df: DataFrame, points: str, prefix: str = "") -> DataFrame:
+    """Adds the robust line of an array of points, however many: slope, intercept."""
+    df = df.withColumn(f"{prefix}slope", long_slope(F.col(points)))
     return df.withColumn(f"{prefix}intercept", median_of(F.transform(points, lambda p: p["y"] - F.col(f"{prefix}slope") * p["x"])))
 
 
-def detect(points: DataFrame, key: list[str], k: float = 3.0, log: bool = False, long_series: bool = False) -> DataFrame:
+def detect(points: DataFrame, key: list[str], k: float = 3.0, log: bool = False) -> DataFrame:
     """Trend and noise from the early 70 % of each series, surprise from the rest.
 
     Series under 8 points (or under 4 early ones) are left out. The hold-out is round-half-even(0.3 n), 2 at least. sigma is the MAD
@@ -36,7 +35,7 @@ def detect(points: DataFrame, key: list[str], k: float = 3.0, log: bool = False,
     if log:
         df = df.withColumn("pts", F.transform("pts", lambda p: F.struct(p["x"].alias("x"), F.log(F.greatest(p["y"], F.lit(LOG_FLOOR))).alias("y"))))
     df = df.withColumn("holdout", F.greatest(F.lit(2), F.bround(F.lit(HOLDOUT) * F.col("n"), 0).cast("int"))).withColumn("split", F.col("n") - F.col("holdout")).filter("split >= 4")
-    df = fit(df.withColumn("train", F.slice("pts", F.lit(1), F.col("split"))), "train", long_series=long_series)
+    df = fit(df.withColumn("train", F.slice("pts", F.lit(1), F.col("split"))), "train")
     df = df.withColumn("resid", _residuals(F.col("train"), F.col("slope"), F.col("intercept"))).withColumn("mad", mad_sigma(F.col("resid")))
     ys = F.transform("train", lambda p: p["y"])
     scale = F.greatest(F.array_max(ys) - F.array_min(ys), F.abs(median_of(ys)))
@@ -70,11 +69,11 @@ def detect_threshold(points: DataFrame, key: list[str], threshold: Column | None
     return settled(df, key, current=F.col("current"), slope=F.col("slope"), crossed=F.col("crossed"), years_to_cross=F.col("years_to_cross"), status=status)
 
 
-def breakout(points: DataFrame, key: list[str], cutoff: Column, k: float = 3.0, log: bool = False, long_series: bool = False) -> DataFrame:
+def breakout(points: DataFrame, key: list[str], cutoff: Column, k: float = 3.0, log: bool = False) -> DataFrame:
     """Grades the future (x > cutoff) against the robust line of all that was known at the cutoff. points may carry `cutoff` in key."""
     y = F.log(F.greatest(F.col("y"), F.lit(LOG_FLOOR))) if log else F.col("y")
     df = points.withColumn("y", y).groupBy(*key).agg(*(F.sort_array(F.collect_list(F.when(c, F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))).alias(n) for n, c in (("known", F.col("x") <= cutoff), ("future", F.col("x") > cutoff))))
-    df = fit(df.filter((F.size("known") > 0) & (F.size("future") > 0)), "known", long_series=long_series)
+    df = fit(df.filter((F.size("known") > 0) & (F.size("future") > 0)), "known")
     df = df.withColumn("mad", mad_sigma(_residuals(F.col("known"), F.col("slope"), F.col("intercept"))))
     ys = F.transform("known", lambda p: p["y"])
     sigma = F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.greatest((F.array_max(ys) - F.array_min(ys)) * 1e-6, F.lit(1e-9)))

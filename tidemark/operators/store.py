@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["series_id", "x"]
 
 
 def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
+    """The last row of each key: the largest `order`, among equals the largest of the other columns in their order."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max(F.struct(F.col(order).alias("__o"), *[F.col(c) for c in rest])).alias("__r")).select(*[F.col(c) if c in key else F.col(f"__r.{c}") for c in rows.columns])
 
 
 def merge(current: DataFrame, incoming: DataFrame, key: list[str] = KEY) -> tuple[DataFrame, DataFrame]:
@@ -84,22 +85,24 @@ def content_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
-def seal(rows: DataFrame, key: str, span: int = 1 << 20) -> DataFrame:
-    """n, seal: the hash over all rows' hashes in the order of the key (unique). Up to `span` rows the chain is one aggregate; more
-    are sealed in runs of neighbouring keys first, and the seal is over the runs' seals: still one value that any change alters."""
+def chain(rows: DataFrame, key: str, most: int = 1 << 20) -> DataFrame:
+    """n, seal: the hash over all rows' hashes in the order of the key (unique), for tables of up to `most` rows; larger ones are sealed
+    as a hash tree (merkle.tree)."""
     each = rows.select(F.col(key).alias("k"), content_hash(*rows.columns).alias("h"))
     n = each.count()
+    if n > most:
+        raise ValueError(f"{n} rows are no chain: seal them as a hash tree")
     chained = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda r: r["h"]), ""), 256)
-    if n > span:
-        runs = each.repartitionByRange(-(-n // span), "k").withColumn("run", F.spark_partition_id())
-        each = runs.groupBy("run").agg(chained.alias("h")).withColumnRenamed("run", "k")
     return each.agg(F.lit(n).cast("long").alias("n"), chained.alias("seal"))
 
 
-def export_lines(rows: DataFrame, key: str, path: str) -> str:
-    """Writes the rows as JSON lines sorted by key, in files that follow each other, and returns the seal that belongs beside them."""
+def export_lines(rows: DataFrame, key: str, path: str, cut) -> str:
+    """Writes the rows as JSON lines sorted by key, in files that follow each other, and returns the seal that belongs beside them: the root
+    of their hash tree, which a table of any size and layout reproduces. cut(frame) writes a frame and reads it again."""
+    from . import merkle
+
     rows.select(F.col(key).alias("__k"), F.to_json(F.struct(*sorted(rows.columns))).alias("value")).orderBy("__k").select("value").write.text(path)
-    return seal(rows, key).first()["seal"]
+    return merkle.seal(merkle.tree(rows, key, cut)).first()["seal"]
 
 
 def submission(forecasts: DataFrame, organization: str, model: str, due: str) -> DataFrame:

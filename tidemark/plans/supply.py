@@ -62,10 +62,15 @@ def _pressures(spark, sf_dir):
     return graph.pressures(n, edges(spark, sf_dir), _needs(spark, sf_dir)).join(n.select("node", "chain"), "node")
 
 
-@query("graph_pressure", f"{_PRESSURE} SELECT node, kind, round(required, 9) AS required, supply, round(sub, 9) AS sub, round(pressure, 9) AS pressure FROM pr")
+def _short(name: str):
+    """Seven digits, where products of short decimals don't lie half-way between two results as they do at a decimal place."""
+    return F.col(name).cast("float").cast("double")
+
+
+@query("graph_pressure", f"{_PRESSURE} SELECT node, kind, required::FLOAT::DOUBLE AS required, supply, sub::FLOAT::DOUBLE AS sub, pressure::FLOAT::DOUBLE AS pressure FROM pr")
 def graph_pressure(spark, sf_dir):
     """Required multiple and pressure of every supplied node after a tenfold shock of demand."""
-    return _pressures(spark, sf_dir).select("node", "kind", F.round("required", 9).alias("required"), "supply", F.round("sub", 9).alias("sub"), F.round("pressure", 9).alias("pressure"))
+    return _pressures(spark, sf_dir).select("node", "kind", _short("required").alias("required"), "supply", _short("sub").alias("sub"), _short("pressure").alias("pressure"))
 
 
 @query("graph_bottleneck", f"{_PRESSURE} SELECT arg_max(node, struct_pack(p := pressure, n := node)) AS bottleneck, round(max(pressure), 9) AS pressure, arg_max(node, struct_pack(p := pressure, n := node)) FILTER (WHERE kind = 'equipment') AS obvious FROM pr")
@@ -73,10 +78,10 @@ def graph_bottleneck(spark, sf_dir):
     return graph.bottleneck(_pressures(spark, sf_dir)).withColumn("pressure", F.round("pressure", 9))
 
 
-@query("supply_pressure_board", f"{_PRESSURE}, k AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY round(pressure, 9) DESC, node) AS place FROM pr) SELECT chain, node, kind, round(pressure, 9) AS pressure, place FROM k WHERE place <= 5")
+@query("supply_pressure_board", f"{_PRESSURE}, k AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY pressure::FLOAT DESC, node) AS place FROM pr) SELECT chain, node, kind, pressure::FLOAT::DOUBLE AS pressure, place FROM k WHERE place <= 5")
 def supply_pressure_board(spark, sf_dir):
     """The five nodes of each chain under the greatest pressure."""
-    p = _pressures(spark, sf_dir).withColumn("pressure", F.round("pressure", 9))
+    p = _pressures(spark, sf_dir).withColumn("pressure", _short("pressure"))
     return graph.ranked(p, ["chain"], 5).select("chain", "node", "kind", "pressure", "place")
 
 

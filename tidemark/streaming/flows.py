@@ -9,9 +9,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators import series, store
+from ..operators import store
+from ..operators.log_table import LogTable
 from ..session import shared_root
+from ..sources.landed import table_or_empty
 
 
 def root(spark: SparkSession) -> str:
@@ -38,14 +41,19 @@ def drain(stream: DataFrame, where: str, mode: str = "append") -> DataFrame:
     if mode == "append":
         out.format("parquet").option("path", f"{where}/rows").outputMode("append").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{where}/rows")
-    last = []
+    # Two results take turns, so that one of them is whole at any time, and a resumed run without new files finds the last.
+    turn = "batch_"
+    while turn in stream.columns:
+        turn += "_"
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/result-{n}")
-        last[:] = [n]
+        batch.withColumn(turn, F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{where}/result/{n % 2}")
 
     out.outputMode("complete").foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/result-{last[0]}") if last else spark.createDataFrame([], stream.schema)
+    schema = StructType(stream.schema.fields).add(turn, "long")
+    both = table_or_empty(spark, f"{where}/result/0", schema).unionByName(table_or_empty(spark, f"{where}/result/1", schema))
+    newest = both.agg(F.max(turn)).first()[0]
+    return both.filter(F.col(turn) == F.lit(newest)).drop(turn)
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "2 days", by: list[str] = ("event_type",)) -> DataFrame:
@@ -67,51 +75,23 @@ def sliding_net(events: DataFrame, width: str = "30 days", slide: str = "1 day",
 
 
 class Store:
-    """The revision-logged store under a stream: each batch is merged into a new version of the table, a pointer names the current
-    one, and the log only grows. A late or corrected value replaces the old one and leaves it in the log; nothing is dropped for
-    being late. A batch that is run again is merged into the version before it, so the result is the same."""
+    """The revision-logged store under a stream: each batch is committed to a log-structured table, whose manifest names the version. A
+    late or corrected value replaces the old one and leaves it in the log; nothing is dropped for being late. A batch that is run
+    again finds its version and leaves it as it is."""
 
     SCHEMA = "series_id string, x int, value double, uncertainty double, unit string, created timestamp"
-    LOG = "series_id string, x int, old_value double, new_value double, revised_at timestamp"
 
-    def __init__(self, spark: SparkSession, where: str):
-        self.spark, self.where = spark, where
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        from ..sources.landed import table_or_empty
-
-        return table_or_empty(self.spark, f"{self.where}/{name}", schema)
+    def __init__(self, spark: SparkSession, where: str, buckets: int = 64, fan: int = 4):
+        self.where, self.table = where, LogTable(spark, where, buckets=buckets, fan=fan)
 
     def merge(self, batch: DataFrame, n: int) -> None:
-        own = store.last_wins(batch, store.KEY, "created")
-        latest, revisions = store.merge(self._read(f"latest/{n - 1}", self.SCHEMA), own)
-        latest.write.mode("overwrite").parquet(f"{self.where}/latest/{n}")
-        revisions.write.mode("overwrite").parquet(f"{self.where}/log/{n}")
-        self.last = n
+        self.table.commit(store.last_wins(batch, store.KEY, "created"), n)
 
     def run(self, stream: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(latest, log) after all that has landed."""
-        self.last = -1
+        """(latest, log) after all that has landed, whether this run had anything new or not."""
         stream.writeStream.option("checkpointLocation", f"{self.where}/checkpoint").trigger(availableNow=True).foreachBatch(self.merge).start().awaitTermination()
-        return self._read(f"latest/{self.last}", self.SCHEMA), self._read("log/*", self.LOG)
-
-
-def online_verdicts(stream: DataFrame, history, where: str, key: list[str], k: float = 3.0) -> DataFrame:
-    """The detector's verdicts of the series that a batch touched, judged on all their points so far; the last verdict of each series
-    is returned. `history` reads all points (key, x, y) that have landed; only touched series are read from it."""
-    spark, batches = stream.sparkSession, []
-
-    def judge(batch: DataFrame, n: int) -> None:
-        touched = batch.select(*key).distinct()
-        got = series.detect(history().join(touched, key, "left_semi"), key, k).withColumn("batch", F.lit(n))
-        got.write.mode("overwrite").parquet(f"{where}/verdicts/{n}")
-        batches.append(got.schema)
-
-    stream.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(judge).start().awaitTermination()
-    if not batches:
-        return series.detect(history(), key, k).limit(0)
-    every = spark.read.schema(batches[0]).parquet(f"{where}/verdicts/*")
-    return store.last_wins(every, key, "batch").drop("batch")
+        log = self.table.log().withColumnRenamed("at_created", "revised_at").drop("at_unit")
+        return self.table.read(), log
 
 
 def signs(column: Column, up: str) -> Column:
