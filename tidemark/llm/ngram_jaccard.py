@@ -40,8 +40,8 @@ K, NUM, DEN = 5, 80, 100
 FIRST, FIRST_PARTS = 64, 4096
 #: Documents of one key in a block, documents that meet one anchor in one task, and rows that are searched together.
 BLOCK, FAN, SEARCHED = 256, 128, 4096
-#: Rows of ids (24 bytes each) that may be broadcast.
-ASKED = 1 << 20
+#: Rows of ids (24 bytes each) that may be broadcast; texts that are verified in one task; keys of a document, about.
+ASKED, VERIFIED, KEYS = 1 << 20, 512, 300
 _TRI = 0x5851F42D4C957F2D
 
 
@@ -138,25 +138,28 @@ def _verify_fan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.full(len(out), a, np.int64), "b": np.array(out, np.int64)})
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(anchor, doc_id) pairs, anchor <> doc_id -> the linked ones as (a, b), by the exact sets. An anchor of many documents
-    is dealt to one task for each FAN of them. Up to ASKED rows of ids go to the texts; more are joined with them by a shuffle."""
-    pairs = materialize(pairs.select("anchor", "doc_id").distinct())
+def verified(pairs: DataFrame, texts: DataFrame, rows: int | None = None) -> DataFrame:
+    """(anchor, doc_id) pairs (`rows` at most, where that is known), anchor <> doc_id -> the linked ones as (a, b), by the exact sets. An
+    anchor of many documents is dealt to one task for each FAN of them. Up to ASKED rows of ids go to the texts; more are joined
+    with them by a shuffle."""
+    pairs = materialize(pairs.select("anchor", "doc_id").distinct(), rows)
     size = pairs.groupBy("anchor").agg(F.count("*").alias("fans"))
     dealt = pairs.join(size, "anchor").withColumn("fan", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("fans") / FAN)))
     anchors = dealt.select("anchor", "fan").distinct().withColumn("doc_id", F.col("anchor"))
-    asked = materialize(dealt.select("anchor", "fan", "doc_id").unionByName(anchors))
-    few = F.broadcast(asked) if asked.count() <= ASKED else asked
-    got = materialize(texts.join(few, "doc_id").groupBy("anchor", "fan").applyInPandas(_verify_fan, "a long, b long"))
+    asked = materialize(dealt.select("anchor", "fan", "doc_id").unionByName(anchors), rows)
+    n = asked.count()
+    few = F.broadcast(asked) if n <= ASKED else asked
+    got = materialize(texts.join(few, "doc_id").groupBy("anchor", "fan").applyInPandas(_verify_fan, "a long, b long"), n, VERIFIED)
     discard(pairs, asked)
     return got
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(a, b) links -> (node, component): the smallest node reachable. Large-star and small-star rounds, each written to the
-    shared folder; rounds grow with the logarithm of a component's length, and a hub's edges are never gathered."""
+    shared folder; rounds grow with the logarithm of a component's length, and a hub's edges are never gathered. rows: the most
+    links, where that is known (no round has more)."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    edges = materialize(edges)
+    edges = materialize(edges, rows)
     before = None
     while True:
         # Large star: each node's larger neighbours are hung on the smallest of its neighbourhood.
@@ -166,7 +169,7 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: each node and its smaller neighbours are hung on the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        former, edges = edges, materialize(small)
+        former, edges = edges, materialize(small, rows)
         discard(former)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -224,7 +227,7 @@ def _search_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(list(out), columns=["anchor", "doc_id"], dtype=np.int64)
 
 
-def _open(rows: DataFrame, need: DataFrame, seed: int) -> DataFrame:
+def _open(rows: DataFrame, need: DataFrame, seed: int, about: int) -> DataFrame:
     """(key, doc_id, component) -> those of keys that hold several components, for documents with at least `need` such keys,
     with the key's anchor under a seed and the anchor's component. Aggregated before the shuffle, and joined: a common key's
     rows need not lie in one task."""
@@ -232,7 +235,7 @@ def _open(rows: DataFrame, need: DataFrame, seed: int) -> DataFrame:
     several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), least.alias("a")).filter("lo < hi").select("key", "a.anchor", "a.other")
     mixed = rows.select("key", "doc_id", "component").join(several, "key")
     enough = mixed.groupBy("doc_id").agg(F.count("*").alias("has")).join(need, "doc_id").filter("has >= need").select("doc_id")
-    return materialize(mixed.join(enough, "doc_id", "left_semi"))
+    return materialize(mixed.join(enough, "doc_id", "left_semi"), about)
 
 
 def _commonest(votes: DataFrame, need: DataFrame) -> DataFrame:
@@ -245,7 +248,7 @@ def _votes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "anchor").agg(F.count("*").alias("n"))
 
 
-def _looked_up(rows: DataFrame, need: DataFrame) -> DataFrame:
+def _looked_up(rows: DataFrame, need: DataFrame, about: int) -> DataFrame:
     """(key, doc_id, component) -> (near, doc_id, component): the neighbourhoods where a document is searched, each named by the
     smallest component of a key that it looks up. Two documents that share `need` of their keys share one of the first (number -
     need + 1) in any order common to all: here the rarest first. A key is its count and half of its bits; those that only seem
@@ -253,9 +256,9 @@ def _looked_up(rows: DataFrame, need: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     place = F.shiftleft(F.least("many", F.lit((1 << 31) - 1)), 32) + F.shiftrightunsigned("key", 32)
     ordered = rows.join(sizes, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("keys"), F.count("*").alias("has"), F.min("component").alias("component")).join(need, "doc_id").filter("has >= need")
-    keys = materialize(ordered.select("doc_id", "component", F.explode(F.slice("keys", 1, F.greatest(F.lit(0), F.col("has") - F.col("need") + 1))).alias("key")))
+    keys = materialize(ordered.select("doc_id", "component", F.explode(F.slice("keys", 1, F.greatest(F.lit(0), F.col("has") - F.col("need") + 1))).alias("key")), about)
     least = keys.groupBy("key").agg(F.min("component").alias("near"), F.max("component").alias("hi")).filter("near < hi").select("key", "near")
-    got = materialize(keys.join(least, "key").select("near", "doc_id", "component").distinct())
+    got = materialize(keys.join(least, "key").select("near", "doc_id", "component").distinct(), keys.count())
     discard(keys)
     return got
 
@@ -305,52 +308,53 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     known = docs.filter("doc_id IS NOT NULL")
     measured = materialize(docs.mapInArrow(_measure, "doc_id long, n_shingles long, h1 long, h2 long, need int, sure boolean"))
-    parted = _parted(docs, measured)
+    parted, total = _parted(docs, measured), measured.count()
     known, measured, siblings = parted or (known, measured.withColumn("owner", F.col("doc_id")), None)
     reps = measured.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("owner").alias("class"))
     # Rows of a hot class all meet one row of reps; Spark splits such a join.
-    member = materialize(measured.join(reps, ["n_shingles", "h1", "h2"], "left").select("doc_id", "owner", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("class", "owner").alias("class")))
+    member = materialize(measured.join(reps, ["n_shingles", "h1", "h2"], "left").select("doc_id", "owner", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("class", "owner").alias("class")), total)
     need = measured.groupBy("doc_id").agg(F.min("need").alias("need"))
-    same = materialize(member.filter("rep <> doc_id AND n_shingles > 0").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
-    same = materialize(same.unionByName(siblings).distinct()) if parted else same
+    same = materialize(member.filter("rep <> doc_id AND n_shingles > 0").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), total)
+    same = materialize(same.unionByName(siblings).distinct(), 2 * total) if parted else same
     # The window's rows are a key's classes, once for each task that saw them.
     group = Window.partitionBy("key")
     met = known.mapInArrow(_keys, "doc_id long, key long").withColumn("anchor", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
     shared = materialize(met.filter("anchor < most").select("key", "doc_id", "anchor"))
     votes = materialize(_votes(shared))
     asked = _commonest(votes.filter("doc_id <> anchor"), need).join(same.select(F.col("a").alias("anchor"), F.col("b").alias("doc_id")), ["anchor", "doc_id"], "left_anti")
-    links = verified(asked, known)
+    links = verified(asked, known, total)
     # Only a document that shares enough of its keys with others can link to any.
-    able = materialize(votes.groupBy("doc_id").agg(F.sum("n").alias("has")).join(need, "doc_id").filter("has >= need").select("doc_id"))
-    first = materialize(components(links.unionByName(same)))
+    able = materialize(votes.groupBy("doc_id").agg(F.sum("n").alias("has")).join(need, "doc_id").filter("has >= need").select("doc_id"), total)
+    first = materialize(components(links.unionByName(same), 2 * total), total)
     named = first.withColumnRenamed("node", "doc_id")
     able = able.join(named, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    able = F.broadcast(able) if able.count() <= ASKED else able
-    seed, rows = 1, _open(shared.select("key", "doc_id").join(able, "doc_id"), need, 1)
+    n_able = able.count()
+    able = F.broadcast(able) if n_able <= ASKED else able
+    seed, rows = 1, _open(shared.select("key", "doc_id").join(able, "doc_id"), need, 1, KEYS * n_able)
     discard(shared, votes)
     while True:
-        found = verified(_commonest(_votes(rows.filter("component <> other")), need), known)
+        found = verified(_commonest(_votes(rows.filter("component <> other")), need), known, n_able)
         n, still, old = found.count(), rows.agg(F.count_distinct("doc_id")).first()[0], rows
         if n:
             links = links.unionByName(found)
             of = rows.select("doc_id", "component").distinct()
             ends = found.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            renamed = components(ends).toDF("component", "now")
+            renamed = components(ends, 2 * n).toDF("component", "now")
             rows = rows.select("key", "doc_id", "component").join(renamed, "component", "left").select("key", "doc_id", F.coalesce("now", "component").alias("component"))
         seed += 1
-        rows = _open(rows.select("key", "doc_id", "component"), need, seed)
+        rows = _open(rows.select("key", "doc_id", "component"), need, seed, old.count())
         discard(old)
         if 20 * n <= still:
             break
     opened = rows
-    rows = _looked_up(rows, need)
+    rows = _looked_up(rows, need, rows.count())
     discard(opened)
     size = rows.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     tasks = max(1, rows.count() // SEARCHED)
     blocked = rows.join(size, "near").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("near", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    left = materialize(rows.select("doc_id").distinct())
-    sketched = materialize(known.join(F.broadcast(left) if left.count() <= ASKED else left, "doc_id", "left_semi").mapInArrow(_sketches, "doc_id long, n long, sketch binary").dropDuplicates(["doc_id"]))
+    left = materialize(rows.select("doc_id").distinct(), total)
+    sketched = materialize(known.join(F.broadcast(left) if left.count() <= ASKED else left, "doc_id", "left_semi").mapInArrow(_sketches, "doc_id long, n long, sketch binary").dropDuplicates(["doc_id"]), total, SEARCHED)
     near = meets.join(sketched, "doc_id").groupBy(F.pmod(F.xxhash64("near", "i", "j"), F.lit(tasks)).alias("task")).applyInPandas(_search_blocks, "anchor long, doc_id long")
     more = verified(near, known)
     # Sets without the pigeonhole guarantee (next to none): all their shingles against everybody's.
@@ -359,10 +363,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         weak = known.join(unsure, "doc_id", "left_semi").mapInArrow(_all_shingles, "doc_id long, keys array<long>").select(F.col("doc_id").alias("anchor"), F.explode("keys").alias("key"))
         every = known.mapInArrow(_all_shingles, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
         more = more.unionByName(verified(every.join(weak, "key").filter("doc_id <> anchor").select("anchor", "doc_id"), known))
-    labels = components(links.unionByName(more).unionByName(same))
+    labels = components(links.unionByName(more).unionByName(same), 3 * total + more.count())
     got = member.join(labels, member["doc_id"] == labels["node"], "left").select("doc_id", "owner", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "class")
     if parted:  # a component is named by its least true id
-        got = materialize(got)
+        got = materialize(got, total)
         least = got.groupBy("component").agg(F.min("owner").alias("least"))
         got = got.join(least, "component", "left").withColumn("component", F.col("least"))
     return got.select(F.col("owner").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("class").alias("class_id"))

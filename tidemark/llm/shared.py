@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -14,34 +16,42 @@ _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 #: Bytes of text hashed at a time; bounds the temporary arrays (about 40 bytes per byte of text).
 SLICE_BYTES = 1 << 20
-#: Texts sent to Python in one batch.
-BATCH_ROWS = 500
+#: Texts sent to Python in one batch; rows of ids in a file, where their number is known.
+BATCH_ROWS, FILE_ROWS = 500, 8192
+#: The folder of each materialised frame.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Only where that is unset (tests) a local folder is set."""
+    """A new folder below spark.checkpoint.dir. Only where that is unset and all runs in one process (local mode, as in tests) a local
+    folder is set; a cluster without the setting is refused, since each executor has its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes to the shared folder and reads again, so lost executors cost no recomputation."""
+def materialize(df: DataFrame, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+    """Cuts the lineage: writes to the shared folder and reads again, so lost executors cost no recomputation. rows: about how many
+    there are at most, where that is known; one task writes `each` of them (there are no more tasks than the frame has)."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    small = df if rows is None else df.coalesce(rows // each + 1)
+    small.write.parquet(path)
+    got = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[got] = path
+    return got
 
 
 def discard(*frames: DataFrame) -> None:
-    """Removes what materialize wrote for these frames. Only for frames that nothing reads any more: not for those that a lazy result
-    rests on."""
+    """Empties the folders that materialize wrote for these very frames. Only for frames that nothing reads any more: not for those that a
+    lazy result rests on."""
     for df in frames:
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for folder in folders:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path = _FOLDERS.pop(df, None)
+        if path:
+            df.sparkSession.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
