@@ -2,8 +2,9 @@
 
 A block starts from nothing, so it can be decoded alone. Order 2 and order 1 each predict one id for the context at hand; how
 often each was right under its confidence gives its probability, and a mixing weight learns which order to trust. Where both
-are wrong, the id's magnitude class is coded under adaptive order-0 counts and its remaining bits as they are. All blocks
-advance in step, one id each, so every step is a few numpy operations over all blocks.
+are wrong, order 0 predicts: the ids that the block had so far by their counts, which are turned into frequencies at steps that
+lie further and further apart. An id that it doesn't know yet is coded by its magnitude class under adaptive counts and its
+remaining bits as they are. All blocks advance in step, one id each, so every step is a few numpy operations over all blocks.
 
 A stored block is: crc32 of its ids as little-endian 32-bit unsigned integers, then 32-bit words of code.
 """
@@ -14,12 +15,14 @@ import zlib
 
 import numpy as np
 
-#: Ids in a block, log2 of the slots of the order-1 and order-2 tables, greatest id + 1.
-BLOCK, SLOTS1, SLOTS2, LIMIT = 4096, 10, 11, 1 << 16
-#: Blocks that are coded side by side; bounds memory to about 50 KB a block.
-LANES = 2048
+#: Ids in a block, log2 of the slots of the tables of orders 0 to 2, greatest id + 1.
+BLOCK, SLOTS0, SLOTS1, SLOTS2, LIMIT = 4096, 12, 10, 11, 1 << 16
+#: Blocks that are coded side by side; bounds memory to about 150 KB a block.
+LANES = 1024
+#: Steps after which order 0 takes up the counts so far.
+RENEWED = frozenset([64, 192, 448, 832, 1408, 2176, 3072])
 #: log2 of the total of frequencies, steps between two refreshes of the class probabilities, classes.
-TOTAL, REFRESH, CLASSES = 22, 64, 34
+TOTAL, REFRESH, CLASSES = 26, 64, 34
 _ONE = 1 << TOTAL
 _TOP, _LOW = 62, 30  # bits of the coder's range, and where its 32-bit words begin
 # Class of each id: 0, 1, then two classes for each further bit length (by the second highest bit).
@@ -44,7 +47,12 @@ class _Model:
         self.o1, self.o2 = (np.tile(np.array(p), lanes) for p in ([64, 9000, 22000, 40000], [64, 26000, 42000, 52000]))
         self.trust = np.full(lanes, 40000)
         self.counts = np.full((lanes, CLASSES), 2)
-        self.slot = lane * CLASSES
+        self.row0 = lane * CLASSES
+        # Order 0: the id that came first into each slot, its count, and the frequencies as they were last taken up.
+        self.ids0, self.counts0 = np.full(lanes << SLOTS0, -1, np.int32), np.zeros((lanes, 1 << SLOTS0), np.int32)
+        self.cum0 = np.zeros((lanes, (1 << SLOTS0) + 1), np.int32)
+        self.base0, self.from0 = lane << SLOTS0, lane * ((1 << SLOTS0) + 1)
+        self.share0, self.some = np.full(lanes, 32768), np.zeros(lanes, bool)
         self.a = self.b = np.zeros(lanes, np.int64)
         self.step = 0
 
@@ -54,6 +62,11 @@ class _Model:
             cum = np.cumsum(self.counts, axis=1)
             self.cum = np.zeros((len(cum), CLASSES + 1), np.int64)
             self.cum[:, 1:] = (cum << 16) // cum[:, -1:]
+        if self.step in RENEWED:
+            cum = np.cumsum(self.counts0, axis=1, dtype=np.int32)
+            # Of 65536 a known id has 15 at least. Whole numbers below 2^53 times a double: the same on every machine.
+            self.cum0[:, 1:] = cum * (65536.0 / np.maximum(cum[:, -1:], 1))
+            self.some = cum[:, -1] > 0
         self.step += 1
         self.i2 = self.base2 + (((self.a * 40503 + self.b * 30011) >> 3) & ((1 << SLOTS2) - 1))
         self.i1 = self.base1 + ((self.b * 40503 >> 2) & ((1 << SLOTS1) - 1))
@@ -67,14 +80,32 @@ class _Model:
         f1 = np.where(same, 0, ((_ONE - (_ONE >> 6) - f2) * self.q1 >> 16) + 1)
         return p2, p1, f2, f1
 
-    def learn(self, x, right2, right1, missed):
+    def left(self, said, k):
+        """For lanes k where both are wrong: order 0's frequencies in all, and those of ids that are new to it."""
+        rest = _ONE - said[k]
+        part = np.where(self.some[k], rest * self.share0[k] >> 16, 0)
+        return part, rest - part
+
+    def place(self, x, k):
+        """Where order 0 keeps ids in lanes k: places in the table and in the frequencies."""
+        s = ((x * 40503) & 0xFFFF) >> (16 - SLOTS0)
+        return self.base0[k] + s, self.from0[k] + s
+
+    def learn(self, x, right2, right1, k, place, known):
+        """k: the lanes where both orders were wrong; place, known: where order 0 keeps their ids, and whether it knew them."""
+        xk, kept0 = x[k], self.ids0[place]
+        mine = (kept0 == xk) | (kept0 < 0)
+        self.ids0[place] = np.where(mine, xk, kept0)
+        self.counts0.reshape(-1)[place] += mine
+        share = self.share0[k]
+        self.share0[k] = np.clip(share + (((known.astype(np.int64) << 16) - share) >> 5), 4096, 61440)
+        self.counts.reshape(-1)[self.row0[k] + _CLASS[xk]] += np.where(known, 0, 24)
         self.o2[self.r2] = self.q2 + (((right2 << 16) - self.q2) >> 5)
         self.o1[self.r1] = self.q1 + (((right1 << 16) - self.q1) >> 5)
         self.trust = np.clip(self.trust + (right2 - right1) * 1024, 4096, 61440)
         kept = x << 2
         self.t2[self.i2] = kept + (right2 * np.minimum(self.c2, 2) + 1)
         self.t1[self.i1] = kept + (right1 * np.minimum(self.c1, 2) + 1)
-        self.counts.reshape(-1)[self.slot + _CLASS[x]] += missed * 24
         self.a, self.b = self.b, x
 
 
@@ -97,7 +128,7 @@ def _encode(blocks):
     m = _Model(lanes)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << _TOP) - 1)
     out, size = np.zeros((lanes, steps + 8), np.int64), np.zeros(lanes, np.int64)
-    short = n.min(initial=0)
+    short, every = n.min(initial=0), np.arange(lanes)
 
     def shift(k):
         out[k, size[k]] = low[k] >> _LOW  # bit 32 is a carry into the word before
@@ -117,22 +148,27 @@ def _encode(blocks):
     for t in range(steps):
         x = ids[t]
         p2, p1, f2, f1 = m.predict()
-        right2, right1 = (x == p2).astype(np.int64), (x == p1).astype(np.int64)
-        missed = (1 - right2) * (1 - right1)
-        c, rest = _CLASS[x], _ONE - f2 - f1
-        at = m.slot + c + np.arange(lanes)  # rows of cum have one entry more
-        cum = m.cum.reshape(-1)
+        is2, is1 = x == p2, x == p1
+        right2, right1, said = is2.astype(np.int64), is1.astype(np.int64), f2 + f1
+        start, width, bits = (1 - right2) * f2, np.where(is2, f2, f1), np.zeros(lanes, np.int64)
+        k = np.flatnonzero(~(is2 | is1))
+        part, rest = m.left(said, k)
+        place, at0 = m.place(x[k], k)
+        cum0, cum = m.cum0.reshape(-1), m.cum.reshape(-1)
+        low0, high0 = part * cum0[at0] >> 16, part * cum0[at0 + 1] >> 16
+        known = (m.ids0[place] == x[k]) & (high0 > low0)
+        c = _CLASS[x[k]]
+        at = m.row0[k] + c + k  # rows of cum have one entry more
         lo = rest * cum[at] >> 16
-        start = np.where(missed, f2 + f1 + lo, (1 - right2) * f2)
-        width = np.where(missed, (rest * cum[at + 1] >> 16) - lo, np.where(right2, f2, f1))
-        bits = np.where(missed, _BITS[c], 0)
+        start[k] = said[k] + np.where(known, low0, part + lo)
+        width[k] = np.where(known, high0 - low0, (rest * cum[at + 1] >> 16) - lo)
+        bits[k] = np.where(known, 0, _BITS[c])
         if t >= short:
             live = t < n
             start, width, bits = np.where(live, start, 0), np.where(live, width, _ONE), np.where(live, bits, 0)
         put(start, width, TOTAL)
-        put(np.where(bits, x - _FIRST[c], 0), 1, bits)
-        m.learn(x, right2, right1, missed)
-    every = np.arange(lanes)
+        put(np.where(bits, x - _FIRST[_CLASS[x]], 0), 1, bits)
+        m.learn(x, right2, right1, k, place, known)
     for _ in range(2):
         shift(every)
     for c in range(out.shape[1] - 1, 0, -1):
@@ -179,15 +215,29 @@ def _decode(coded, n):
         p2, p1, f2, f1 = m.predict()
         r = span >> TOTAL
         v = np.minimum(quotient(r), _ONE - 1)
-        known, rest = f2 + f1, _ONE - f2 - f1
-        missed = (v >= known).astype(np.int64)
-        lows = rest[:, None] * m.cum[:, 1:] >> 16
-        c = np.minimum((lows <= (v - known)[:, None]).sum(1), CLASSES - 1)
-        lo = np.where(c > 0, lows[every, np.maximum(c - 1, 0)], 0)
-        first = (v < f2).astype(np.int64)
-        start = np.where(missed, known + lo, (1 - first) * f2)
-        width = np.where(missed, lows[every, c] - lo, np.where(first, f2, f1))
-        bits = np.where(missed, _BITS[c], 0)
+        said, first = f2 + f1, v < f2
+        start, width = np.where(first, 0, f2), np.where(first, f2, f1)
+        bits, x = np.zeros(lanes, np.int64), np.where(first, p2, p1)
+        k = np.flatnonzero(v >= said)
+        part, rest = m.left(said, k)
+        u = v[k] - said[k]
+        known = u < part
+        old, new = np.flatnonzero(known), np.flatnonzero(~known)
+        if len(old):
+            lane, w, f = k[old], u[old], part[old]
+            row, s, cum0 = m.from0[lane], np.zeros(len(old), np.int64), m.cum0.reshape(-1)  # s: the last slot that begins at or below w
+            for b in range(SLOTS0 - 1, -1, -1):
+                s += ((f * cum0[row + s + (1 << b)] >> 16) <= w).astype(np.int64) << b
+            low0 = f * cum0[row + s] >> 16
+            start[lane], width[lane] = said[lane] + low0, (f * cum0[row + s + 1] >> 16) - low0
+            x[lane] = m.ids0[m.base0[lane] + s]
+        if len(new):
+            lane, ahead = k[new], said[k[new]] + part[new]
+            lows = rest[new, None] * m.cum[lane, 1:] >> 16
+            c = np.minimum((lows <= (v[lane] - ahead)[:, None]).sum(1), CLASSES - 1)
+            own = np.arange(len(new))
+            lo = np.where(c > 0, lows[own, np.maximum(c - 1, 0)], 0)
+            start[lane], width[lane], bits[lane] = ahead + lo, lows[own, c] - lo, _BITS[c]
         if t >= short:
             live = t < n
             start, width, bits = np.where(live, start, 0), np.where(live, width, _ONE), np.where(live, bits, 0)
@@ -195,11 +245,19 @@ def _decode(coded, n):
         r = span >> bits
         tail = np.where(bits, quotient(r), 0)
         take(r, tail, 1)
-        x = np.where(missed, _FIRST[c] + tail, np.where(first, p2, p1))
+        if len(new):
+            x[lane] = _FIRST[c] + tail[lane]
         if t >= short:
             x = np.where(live, x, 0)
-        right2, right1 = (x == p2).astype(np.int64), (x == p1).astype(np.int64)
-        m.learn(x, right2, right1, (1 - right2) * (1 - right1))
+        is2, is1 = x == p2, x == p1
+        if t >= short:  # lanes that have ended go on as the encoder's do
+            k = np.flatnonzero(~(is2 | is1))
+            place, at0 = m.place(x[k], k)
+            part, cum0 = m.left(said, k)[0], m.cum0.reshape(-1)
+            known = (m.ids0[place] == x[k]) & ((part * cum0[at0 + 1] >> 16) > (part * cum0[at0] >> 16))
+        else:
+            place = m.place(x[k], k)[0]
+        m.learn(x, is2.astype(np.int64), is1.astype(np.int64), k, place, known)
         ids[t] = x
     out = [ids[: n[k], k].astype(np.uint32) for k in every]
     for k, b in enumerate(out):
