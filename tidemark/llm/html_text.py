@@ -2,7 +2,8 @@
 
 The page is cut into blocks at block tags. First pass: a block inside furniture (navigation, footers, asides, forms, blocks
 named as adverts, comments and the like, but for an article inside them if there is none elsewhere) or mostly made of links is bad; one that is long enough and dense enough in stop words
-is good; the rest is undecided. The stop words are of four languages, so a long block in another than the Latin script is good
+is good; the rest is undecided. A name that only has a piece of furniture beside words of its own ("market-share") tells little: such an
+element is furniture if no block in it is long, dense and not made of links. The stop words are of four languages, so a long block in another than the Latin script is good
 without them, as is any long block of a page whose long blocks are for the greater part not dense. Second pass: undecided blocks take the label of the nearest decided block of their region
 (an article, or what lies outside), a heading preferring the one below it; with none decided, an article's blocks are good and
 others bad.
@@ -38,11 +39,16 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: of a page's layout or an article's subject); and names that tell of a state.
 _NAMED = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|alert|popup|modal|overlay|newsletter|subscribe|signup|widget|menu|navbar|breadcrumbs?|pagination|pager|share|sharing|recommend\w*|comments?|comment-\w+|replies|reply|respond|disqus|footer|masthead|site-header|page-header|topbar|toolbar|copyright|disclaimer|login)(?=$|[_-])", re.IGNORECASE)
 _WHOLE = re.compile(r"^(?:side-?bar|nav\w*|legal|social|search|related|notice|(?:main|site|top|primary|secondary|left|right)[_-](?:nav\w*|side-?bar)|related[_-](?:posts?|articles?|stories|links|items?)|social[_-](?:links|media|icons|bar)|search[_-](?:form|box|bar)|legal[_-](?:notice|links))$", re.IGNORECASE)
+#: Pieces that name furniture whatever stands beside them, and pieces that only tell of layout.
+_CLEAR = re.compile(r"advert\w*|adbox|sponsor\w*|cookies?|consent|popup|modal|newsletter|navbar|breadcrumbs?|pagination|comments|replies|respond|disqus|masthead|topbar", re.IGNORECASE)
+_LAYOUT = frozenset("bar box block wrapper wrap container section area list item items inner outer top bottom left right site page main primary secondary header unit slot module panel form link links button buttons icon icons text title body content meta row col column grid group nav search social".split())
+_QUOTED = frozenset("blockquote pre h1 h2 h3 h4 h5 h6 td th".split())  # text of an article's own, whatever their names
 _REPLY = re.compile(r"(?:^|[_-])(?:comments?|replies|reply)(?=$|[_-])", re.IGNORECASE)
 _STATE = re.compile(r"(?:has|with|without|no)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled)", re.IGNORECASE)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: An attribute: its name, and a value in double quotes (and the closing one), in single quotes, or bare.
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\s>]*)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _BETWEEN = re.compile(r"[\s/]*")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"\w+")
@@ -51,24 +57,27 @@ _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3
 _LETTERS, _FOREIGN = re.compile(r"[^\W\d_]"), re.compile("[^\\W\\d_\u0000-\u024f\u1e00-\u1eff]")
 
 
-def _attributes(page: str, at: int) -> tuple[list[str], int]:
-    """The names in class, id and role of a tag whose attributes begin at a place, and the place behind its '>' (the page's end
-    without one). A quote that nothing closes ends the tag at the next '>'. Each character is looked at a bounded number of times:
+def _attributes(page: str, at: int) -> tuple[list[str], bool, int]:
+    """The names in class, id and role of a tag whose attributes begin at a place, whether it is hidden (by that attribute or its own
+    style), and the place behind its '>' (the page's end without one). A quote that nothing closes ends the tag at the next '>'. Each character is looked at a bounded number of times:
     a kind of quote can be left open once a page."""
-    names, start, end = [], at, len(page)
+    names, hidden, start, end = [], False, at, len(page)
     while True:
         at = _BETWEEN.match(page, at).end()
         if at >= end:
-            return names, end
+            return names, hidden, end
         if page[at] == ">":
-            return names, at + 1
+            return names, hidden, at + 1
         m = _ATTRIBUTE.match(page, at)
         at = m.end()
         if m[3] == "" or m[5] == "":
             over = page.find(">", start)
-            return names, over + 1 if over >= 0 else end
-        if m[1].lower() in ("class", "id", "role"):
-            names += (m[2] or m[4] or m[6] or "").split()
+            return names, hidden, over + 1 if over >= 0 else end
+        name, value = m[1].lower(), m[2] or m[4] or m[6] or ""
+        if name in ("class", "id", "role"):
+            names += value.split()
+        elif name == "hidden" or name == "style" and _UNSEEN.search(value):
+            hidden = True
 
 
 def _named(names: list[str], *names_of: re.Pattern) -> bool:
@@ -76,6 +85,23 @@ def _named(names: list[str], *names_of: re.Pattern) -> bool:
     return any(not _STATE.fullmatch(t) and any(x.search(t) for x in names_of) for t in names)
 
 
+def _furniture(names: list[str], quoted: bool) -> int:
+    """2 if a name of class, id or role is furniture's, 1 if only a piece of one may be, else 0."""
+    found = 0
+    for t in names:
+        if _STATE.fullmatch(t):
+            continue
+        if _WHOLE.search(t):
+            return 2
+        if _NAMED.search(t):
+            pieces = [p for p in re.split("[_-]", t.lower()) if p]
+            own = [p for p in pieces if not (p in _LAYOUT or p.isdigit() or _NAMED.search(p))]
+            if any(_CLEAR.fullmatch(p) for p in pieces) or not quoted and (not own or pieces[0] == "comment"):
+                return 2
+            found = 1
+    return found
+
+
 @dataclass
 class Block:
     text: str
@@ -83,6 +109,7 @@ class Block:
     region: int  # 0: outside articles
     heading: bool
     link_chars: int
+    doubt: int = 0  # the outermost element around it whose name may be furniture's
     label: int = 0  # after the first pass: 1 good, -1 bad, 0 undecided
     final: int = 0
 
@@ -90,19 +117,19 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks, in order, with decoded and squeezed text."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # open elements: tag, inside furniture (1 by name, 2 by tag), region
+    stack: list[tuple[str, int, int, int]] = []  # open elements: tag, inside furniture (1 by name, 2 by tag), region, doubt
     parts: list[str] = []
     linked = links = 0
     regions = 0
     wrapped: set[int] = set()  # articles inside elements that only their name makes furniture
     heading = False
-    bad, region = 0, 0
+    bad, region, doubt, doubts = 0, 0, 0, 0
 
     def close() -> None:
         nonlocal parts, linked, heading
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(text, bad > 0, region, heading, linked))
+            out.append(Block(text, bad > 0, region, heading, linked, doubt))
         parts, linked, heading = [], 0, False
 
     def say(piece: str) -> None:
@@ -128,7 +155,7 @@ def blocks(page: str) -> list[Block]:
                 at = end if over < 0 else over + len(mark)
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        names, at = _attributes(page, m.end())
+        names, hidden, at = _attributes(page, m.end())
         if tag in _RAW and not closing:
             over = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
             if over is None and tag not in _SWALLOWS:  # its start tag stands alone
@@ -152,7 +179,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-            _, bad, region = stack[-1] if stack else ("", 0, 0)
+            _, bad, region, doubt = stack[-1] if stack else ("", 0, 0, 0)
         elif tag in _BLOCK and tag not in _VOID:
             if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # these end their like without an end tag
                 for k in range(len(stack) - 1, -1, -1):
@@ -161,18 +188,22 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[k][0] not in ("p", "b", "span", "em", "i"):
                         break
-                _, bad, region = stack[-1] if stack else ("", 0, 0)
+                _, bad, region, doubt = stack[-1] if stack else ("", 0, 0, 0)
             if tag in ("article", "main") and not region:
                 regions += 1
                 region = regions
                 if bad == 1 and not (tag == "article" and _named(names, _REPLY)):  # a comment may be an article too
                     bad = 0
                     wrapped.add(region)
-            if tag in _FURNITURE or tag == "header" and not region:
+            named = 0 if tag in _PAGE else _furniture(names, tag in _QUOTED)
+            if hidden or tag in _FURNITURE or tag == "header" and not region:
                 bad = 2
-            elif not bad and tag not in _PAGE and _named(names, _NAMED, _WHOLE):
+            elif not bad and named == 2:
                 bad = 1
-            stack.append((tag, bad, region))
+            elif named == 1 and not doubt:
+                doubts += 1
+                doubt = doubts
+            stack.append((tag, bad, region, doubt))
         if tag in _HEADING and not closing:
             heading = True
     close()
@@ -185,10 +216,13 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block]) -> list[Block]:
     """Gives every block its final label, 1 (good) or -1 (bad)."""
+    cleared: set[int] = set()  # elements of a doubtful name that hold text of the page
     dull, chars = [], [0, 0]  # long blocks that are not dense; code points of long blocks that are not, that are
     for b in found:
         words = _WORDS.findall(b.text)
         dense = sum(w.lower() in STOP_WORDS for w in words) / max(1, len(words))
+        if b.doubt and len(words) >= LONG and (dense >= DENSE or b.region) and 5 * b.link_chars <= len(b.text):
+            cleared.add(b.doubt)
         if b.bad or b.link_chars > LINKED * len(b.text):
             b.label = -1
         elif len(words) >= LONG or not b.text.isascii() and len(_UNSPACED.findall(b.text)) >= 2 * LONG:  # about two letters a word
@@ -200,6 +234,9 @@ def classify(found: list[Block]) -> list[Block]:
     if chars[0] > chars[1]:
         for b in dull:
             b.label = 1
+    for b in found:
+        if b.doubt and b.doubt not in cleared:
+            b.label = -1
     # Nearest decided blocks above and below, by one walk each way. What is bad inside an article is an island there and
     # decides nothing about its neighbours.
     above, below = _nearest(found, range(len(found))), _nearest(found, range(len(found) - 1, -1, -1))
