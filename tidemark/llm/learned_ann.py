@@ -148,24 +148,30 @@ def _best(k: int):
         x, ids = np.stack(left["embedding"].to_numpy()).astype(np.float64), left["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
+        head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         qs, qids = np.stack(right["embedding"].to_numpy()).astype(np.float64), right["query_id"].to_numpy()
         out = []
         for i in range(0, len(qs), 256):
             s = qs[i : i + 256] @ x.T
+            single = len(head) == len(ids)
             for r in range(len(s)):
                 q = i + r
                 own = np.searchsorted(ids, qids[q])
                 while own < len(ids) and ids[own] == qids[q]:
                     s[r, own] = -np.inf
                     own += 1
-                if len(ids) > k:
-                    bar = np.partition(s[r], len(ids) - k)[len(ids) - k]
+                near = s[r] if single else np.maximum.reduceat(s[r], head)  # of an id its nearest vector
+                if len(near) > k:
+                    bar = np.partition(near, len(near) - k)[len(near) - k]
                     c = np.flatnonzero(s[r] >= bar - 1e-9 * (1 + abs(bar)))
                 else:
                     c = np.arange(len(ids))
                 c = c[s[r, c] > -np.inf]
                 e = _exact(qs[q], x[c])
-                best = np.lexsort((ids[c], -e))[:k]
+                best = np.lexsort((ids[c], -e))
+                if not single:
+                    best = best[np.sort(np.unique(ids[c][best], return_index=True)[1])]
+                best = best[:k]
                 out.append((np.full(len(best), qids[q]), ids[c][best], e[best]))
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
@@ -178,7 +184,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     ties to smaller ids.
 
     Rows without id, and vectors that are null, empty, zero, or hold null or non-finite components take no part; nor do those
-    whose length isn't the commonest. A repeated (vec_id, vector) counts once. No valid rows, no result; fewer than k others,
+    whose length isn't the commonest. A repeated (vec_id, vector) counts once; an id with several vectors
+    is one item, as near to another as the nearest two of their vectors. No valid rows, no result; fewer than k others,
     all of those found. Other columns are ignored."""
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
@@ -219,6 +226,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     left = spread(filed, "vec_id", "nb", "nq", "b", "q")
     right = spread(asked, "query_id", "nq", "nb", "q", "b")
     found = left.groupBy("part", "b", "q").cogroup(right.groupBy("part", "b", "q")).applyInPandas(_best(k), "query_id long, vec_id long, score double")
+    if not rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
