@@ -14,13 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, fold, mix
+from .shared import bounded_batches, fold, mix, unused
 
 #: Hash buckets, embedding width, n-gram lengths.
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
-#: Labelled documents fitted on, at most, for each language (the least hashes of their ids) and in all, and the longest text among
-#: them. Many languages get fewer documents each; none is left out.
-PER_LANG, FIT_ROWS, FIT_CHARS = 1200, 240_000, 100_000
+#: Labelled documents fitted on, at most, for each language (the least hashes of their ids) and in all, and their characters in all:
+#: each brings its equal share of them at most, from its beginning. Many languages get fewer documents each; none is left out.
+PER_LANG, FIT_ROWS, FIT_CHARS = 1200, 240_000, 1 << 25
 #: Characters hashed at a time.
 SLICE = 1 << 17
 
@@ -147,9 +147,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: float
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG, held_out=None) -> list[tuple[str, str]]:
     """At most per_lang labelled documents of each language, those with the least id hashes outside the held-out fold. First
     ids alone are chosen (with a limit before the shuffle), then their texts are fetched: at most FIT_ROWS rows, or one for each
-    language, of at most FIT_CHARS characters."""
+    language, and FIT_CHARS characters in all. Long texts are cut for the fit, not left out."""
     held_out = fold("doc_id", 4) == 2 if held_out is None else held_out
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out & (F.char_length("text") <= FIT_CHARS))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     counts = known.groupBy("lang").count()
     langs = max(1, counts.count())
     per_lang = max(1, min(per_lang, FIT_ROWS // langs))
@@ -159,7 +159,8 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG, held_out=None) -> l
     near = known.select("doc_id", "lang", place.alias("place")).join(counts, "lang").filter(F.col("place") * F.col("count") < 2 * per_lang + 100)
     chosen = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("doc_id").distinct().limit(langs * per_lang)
     # The bound on the broadcast side is FIT_ROWS ids, or one for each language.
-    got = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").dropDuplicates(["doc_id"])
+    most = max(256, FIT_CHARS // (langs * per_lang))
+    got = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, most).alias("text"), "lang").dropDuplicates(["doc_id"])
     return [(r.text, r.lang) for r in sorted(got.toLocalIterator(), key=lambda r: r.doc_id)]
 
 
@@ -181,10 +182,12 @@ def identify(docs: DataFrame, model: LangModel | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LangModel | None = None) -> DataFrame:
-    """The rows whose language is not rejected, columns unchanged."""
+    """The rows whose language is not rejected, columns unchanged. Null and letterless texts go; repeated rows stay as they are; no rows give
+    none, and a table without labelled rows is judged by a model that knows no language."""
     bounded_batches(docs.sparkSession)
     model = model or fit(training_rows(docs))
-    return docs.withColumn("__lang_id", _predictor(model)(F.col("text"))).filter(~F.col("__lang_id.rejected")).drop("__lang_id")
+    found = unused(docs, "found")
+    return docs.withColumn(found, _predictor(model)(F.col("text"))).filter(~F.col(found)["rejected"]).drop(found)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

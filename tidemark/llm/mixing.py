@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, unused
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Weights of the sources in code-point order (null last), repeating.
@@ -83,14 +83,17 @@ def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The documents as the mix takes them: each row as often as its copies, columns unchanged.
 
-    Rows are matched to their copies by id and by their number among the rows of that id, so repeated ids are safe."""
-    numbered = lambda d, *by: d.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", *by).orderBy(F.lit(0))))
+    Rows are matched to their copies by id, source and size, and by their number among such rows: of rows that only differ in their
+    text the one of least text hash gets most copies, so reruns agree. Null ids, sources and texts count as such; no rows give none."""
+    nth, size, copy = (unused(docs, c) for c in ("nth", "size", "copy"))
+    numbered = lambda d, order: d.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(order)))
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    left = numbered(docs.withColumn("__size", words), "source", "__size")
-    right = numbered(systematic_mix(docs, seed=seed).filter("copies > 0").select("doc_id", "source", "size", "copies").withColumnsRenamed({"size": "__size"}), "source", "__size")
-    right = right.select(*[F.col(c).alias(f"__r_{c.strip('_')}") for c in right.columns])
-    on = F.col("doc_id").eqNullSafe(F.col("__r_doc_id")) & F.col("source").eqNullSafe(F.col("__r_source")) & (F.col("__size") == F.col("__r_size")) & (F.col("__nth") == F.col("__r_nth"))
-    return left.join(right, on).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__r_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = numbered(docs.withColumn(size, words), F.xxhash64("text")).alias("l")
+    taken = systematic_mix(docs, seed=seed).filter("copies > 0").select("doc_id", "source", F.col("size").alias(size), F.col("copies").alias(copy))
+    right = numbered(taken, F.desc(copy)).alias("r")
+    same = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in ("doc_id", "source")] + [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (size, nth)]
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"r.{copy}")))
+    return left.join(right, same).select(*[F.col(f"l.`{c}`") for c in docs.columns], each.alias(copy)).drop(copy)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -18,10 +18,10 @@ BUCKETS, BUDGET, BITS = 8, 65536, 7
 SLICES = 4096
 
 
-def _bin(length):
-    """Lengths up to 2^BITS keep their own bin, longer ones their leading BITS bits: under 2^(BITS-1) * 57 bins in all."""
-    spare = F.greatest(F.lit(0), F.length(F.bin(length)) - BITS)
-    return F.expr(f"shiftright(__len, cast(greatest(0, length(bin(__len)) - {BITS}) as int))") * F.pow(F.lit(2.0), spare).cast("long")
+def _bin(bits: int):
+    """Lengths up to 2^bits keep their own bin, longer ones their leading bits: under 2^(bits-1) * (64 - bits) bins in all."""
+    spare = f"cast(greatest(0, length(bin(__len)) - {bits}) as int)"
+    return F.expr(f"shiftleft(shiftright(__len, {spare}), {spare})")
 
 
 def bucket_bounds(bins: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[int]:
@@ -53,16 +53,18 @@ def bucket_bounds(bins: list[tuple[int, int, int]], buckets: int = BUCKETS) -> l
     return out[::-1]
 
 
-def pack(docs: DataFrame, length=None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(docs: DataFrame, length=None, buckets: int = BUCKETS, budget: int = BUDGET, bits: int = BITS) -> DataFrame:
     """doc_id, length, bucket (from 0), bucket_len (padded length), batch (number within its bucket), slot (place in it).
 
     A batch holds budget // bucket_len rows, one at least (a document longer than the budget is a batch of its own). Length is
     the number of words unless a column is given; null counts as 0 and shares the lowest bucket with padding as any row. Rows
-    go to batches in the order of the id's hash, so batches mix sources; repeated rows are separate rows. No rows, no result."""
+    go to batches in the order of the hash of id and text (where there is one), so batches mix sources; repeated rows are separate
+    rows. No rows, no result. bits: how exactly the histogram keeps lengths; with the bits of the longest length (up to 63) the
+    bounds are the best ones, at a bin for each length."""
     length = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)) if length is None else length, F.lit(0)).cast("long")
-    rows = docs.select("doc_id", length.alias("__len"))
-    rows = materialize(rows.withColumn("__key", F.xxhash64(F.col("doc_id"))))
-    hist = rows.groupBy(_bin(F.col("__len")).alias("b")).agg(F.max("__len").alias("top"), F.count("*").alias("n"), F.sum("__len").alias("s"))
+    key = F.xxhash64("doc_id", *(["text"] if "text" in docs.columns else []))
+    rows = materialize(docs.select("doc_id", length.alias("__len"), key.alias("__key")))
+    hist = rows.groupBy(_bin(bits).alias("b")).agg(F.max("__len").alias("top"), F.count("*").alias("n"), F.sum("__len").alias("s"))
     bounds = bucket_bounds(sorted((r.top, r.n, r.s) for r in hist.collect()), buckets)
     bound = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
     bucket = F.size(F.filter(bound, lambda b: b < F.col("__len")))

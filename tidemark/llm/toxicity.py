@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Hasher, bounded_batches, fold, materialize, runs, slices, text_buffers
+from .shared import SPACE, Hasher, bounded_batches, fold, materialize, runs, slices, text_buffers, unused
 
 #: What a character of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -357,7 +357,8 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that score below one half, columns unchanged."""
     model = fit(docs, labels)
-    return docs.withColumn("__toxic_score", _scorer(docs.sparkSession, model)(F.col("text"))).filter(F.col("__toxic_score") < 0.5).drop("__toxic_score")
+    found = unused(docs, "found")
+    return docs.withColumn(found, _scorer(docs.sparkSession, model)(F.col("text"))).filter(F.col(found) < 0.5).drop(found)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
