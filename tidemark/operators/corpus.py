@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import occurrences
+
 
 def category_series(papers: DataFrame, min_papers: int = 300, min_years: int = 8) -> DataFrame:
     """category, year, n, sigma (root of n) of the categories with enough papers in enough years, stamped at the first of December."""
@@ -13,19 +15,17 @@ def category_series(papers: DataFrame, min_papers: int = 300, min_years: int = 8
     return per.join(enough, "category", "left_semi").select("category", "year", "n", F.sqrt(F.greatest("n", F.lit(1))).alias("sigma"), F.make_date("year", F.lit(12), F.lit(1)).alias("as_of"))
 
 
-def term_signals(papers: DataFrame, terms: list[str], current: str, since: str = "2010-01", drop: int = 2) -> DataFrame:
+def term_signals(papers: DataFrame, terms: DataFrame, current: str, since: str = "2010-01", drop: int = 2) -> DataFrame:
     """term, month, matched, total, share, se, breadth (distinct categories), talent (distinct authors) for whole-word matches of each
-    term in the months before the current one, less the last `drop` of the timeline.
+    term (terms: term) in the months before the current one, less the last `drop` of the timeline.
 
-    One pass: a text is scanned once per term, and only matches are exploded; distinct counts are exact."""
+    A text is read once, however many terms there are, and only matches come out; distinct counts are exact."""
     dated = papers.filter(F.col("month").between(since, current) & (F.col("month") < current))
     totals = dated.groupBy("month").agg(F.count("*").alias("total"))
     newest = Window.orderBy(F.desc("month"))  # a row for each month
     kept = totals.withColumn("age", F.row_number().over(newest)).filter(F.col("age") > drop).drop("age")
-    quoted = lambda t: r"\b" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in t.lower()).replace(" ", r"\s+") + r"\b"
-    low = F.lower("text")
-    hits = F.filter(F.array(*[F.when(low.rlike(quoted(t)), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
-    found = dated.select("month", F.coalesce("category", F.lit("?")).alias("category"), "authors", F.explode(hits).alias("term"))
+    texts = dated.select("month", F.coalesce("category", F.lit("?")).alias("category"), "authors", "text")
+    found = occurrences(texts, "text", terms, "term")
     matched = found.groupBy("term", "month").agg(F.count("*").alias("matched"), F.count_distinct("category").alias("breadth"))
     people = found.select("term", "month", F.explode(F.split("authors", ";")).alias("a")).select("term", "month", F.trim("a").alias("a")).filter("a <> ''").groupBy("term", "month").agg(F.count_distinct("a").alias("talent"))
     df = matched.join(kept, "month").join(people, ["term", "month"], "left")
@@ -33,6 +33,23 @@ def term_signals(papers: DataFrame, terms: list[str], current: str, since: str =
     return df.select("term", "month", "matched", "total", p.alias("share"), F.greatest(F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) / F.col("total")), F.lit(1e-6)).alias("se"), "breadth", F.coalesce("talent", F.lit(0)).alias("talent"))
 
 
+def trailing_distinct(rows: DataFrame, cut, width: int = 12) -> DataFrame:
+    """term, month, n: of rows (term, month as yyyy-MM, who) how many different ones there are in the `width` months up to and with each
+    month that the term has. Exact: whoever there is gets a number, a month's are bits of a few words of 32768, and a window is the
+    union of its months' words, so nobody is counted or moved again for each window. cut(frame) writes a frame and reads it again:
+    the numbers must not change."""
+    known = rows.filter("term IS NOT NULL AND month IS NOT NULL AND who IS NOT NULL")
+    numbered = cut(known.select("who").distinct().withColumn("number", F.monotonically_increasing_id()))
+    index = (F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int") - 1).alias("at")
+    bits = known.select("term", index, "who").join(numbered, "who").groupBy("term", "at", F.bitmap_bucket_number("number").alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    bits = cut(bits)
+    months = bits.select("term", "at").distinct()
+    spread = bits.withColumn("at", F.explode(F.sequence(F.col("at"), F.col("at") + width - 1))).join(months, ["term", "at"], "left_semi")
+    whole = spread.groupBy("term", "at", "word").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    month = F.concat(F.floor(F.col("at") / 12).cast("string"), F.lit("-"), F.lpad((F.col("at") % 12 + 1).cast("string"), 2, "0"))
+    return whole.groupBy("term", "at").agg(F.sum("n").alias("n")).select("term", month.alias("month"), "n")
+
+
 def squeezed(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 

@@ -54,3 +54,20 @@ def pre_consensus(evidence: DataFrame, saturation: DataFrame, tickers: DataFrame
     order = Window.partitionBy("class").orderBy("coarse_only", F.coalesce("saturation", F.lit(1.0)), F.desc("lead_sigma"), "entity")
     first = e.filter("class = 'EARLY'").withColumn("place", F.row_number().over(order)).select("entity", "place")
     return e.join(first, "entity", "left").select("entity", "class", "lead_sigma", "coarse_only", "n_lead", "n_lag", "n_unclassified", "saturation", "demoted", F.coalesce("ticker", F.lit(False)).alias("has_ticker"), "place")
+
+
+def instruments(proposals: DataFrame, filers: DataFrame) -> DataFrame:
+    """Candidates from proposals (entity, layer, symbol, name, confidence): entity, symbol, layer, cik, label, confidence of those whose symbol
+    is a filer's (filers: ticker, cik); what is not is dropped as invented. A symbol is compared in upper case; confidence is 0.7 at
+    most, as a proposal is no measurement; of repeated proposals of an entity's layer and symbol the most confident holds."""
+    p = proposals.withColumn("symbol", F.upper(F.trim("symbol"))).join(filers.select(F.col("ticker").alias("symbol"), "cik"), "symbol")
+    label = F.concat("symbol", F.lit(" ["), "layer", F.lit("] "), F.substring("name", 1, 40))
+    return p.groupBy("entity", "symbol", "layer", "cik").agg(F.max_by(label, F.struct("confidence", "name")).alias("label"), F.least(F.max("confidence"), F.lit(0.7)).alias("confidence"))
+
+
+def pairs(accepted: DataFrame) -> DataFrame:
+    """entity, inelastic, inelastic_cik, elastic, elastic_cik of the entities that have an accepted instrument in both layers (of several the
+    least symbol): what the consensus gate prices."""
+    of = lambda layer: F.min(F.when(F.col("layer") == layer, F.struct("symbol", "cik"))).alias(layer)
+    both = accepted.groupBy("entity").agg(of("inelastic"), of("elastic")).filter("inelastic IS NOT NULL AND elastic IS NOT NULL")
+    return both.select("entity", F.col("inelastic.symbol").alias("inelastic"), F.col("inelastic.cik").alias("inelastic_cik"), F.col("elastic.symbol").alias("elastic"), F.col("elastic.cik").alias("elastic_cik"))

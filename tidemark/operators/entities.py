@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import occurrences
+
 #: Words that tell nothing about an entity.
 STOP = ("the", "a", "of", "and", "for", "in", "to", "system", "model", "method", "technology")
 
@@ -22,21 +24,25 @@ def index(entities: DataFrame) -> DataFrame:
     return df.withColumn("words", F.array_distinct(F.flatten(F.transform("surfaces", tokens))))
 
 
+def _even(text: Column) -> Column:
+    """Runs of white space as one space: surfaces and labels are compared so."""
+    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+
+
 def candidates(series: DataFrame, entities: DataFrame, linked: DataFrame, proposed: DataFrame, least: float = 0.5) -> DataFrame:
     """entity, series_id, generator, confidence for series (series_id, label) that no link names: 'exact_id' (0.9) where the label
     holds a surface or the reverse, else 'string_block' where at least half of all words are shared; pairs already proposed by
     that generator are left out.
 
     Words are an inverted index: pairs that share a word meet in an equi-join. A surface inside a longer word shares no whole
-    word; its first three letters' places are the index for those, so nothing compares every label with every entity."""
+    word: all surfaces are searched in the labels at once, and the labels in the surfaces."""
     open_ = series.join(linked.select("series_id").distinct(), "series_id", "left_anti").select("series_id", "label", F.lower("label").alias("norm"), tokens(F.col("label")).alias("own")).filter(F.size("own") > 0)
     idx = index(entities)
     block = open_.select("series_id", F.explode("own").alias("w")).join(idx.select("entity", F.explode("words").alias("w")), "w").select("series_id", "entity").distinct()
-    grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substr(s, i, F.lit(3))))
-    surf = idx.select("entity", F.explode("surfaces").alias("s"))
-    heads = surf.select("entity", "s", F.substring("s", 1, 3).alias("g"))
-    inside = open_.select("series_id", "norm", F.explode(grams(F.col("norm"))).alias("g")).join(heads, "g").filter(F.col("norm").contains(F.col("s")))
-    around = surf.select("entity", "s", F.explode(grams(F.col("s"))).alias("g")).join(open_.select("series_id", "norm", F.substring("norm", 1, 3).alias("g")), "g").filter(F.col("s").contains(F.col("norm")))
+    surf = idx.select("entity", F.explode("surfaces").alias("s")).withColumn("s", _even(F.col("s"))).filter("s <> ''")
+    named = open_.select("series_id", _even(F.col("norm")).alias("label")).filter("label <> ''")
+    inside = occurrences(named, "label", surf, "s", whole_words=False).join(surf, "s")
+    around = occurrences(surf, "s", named, "label", whole_words=False).join(named, "label")
     exact = inside.select("series_id", "entity").unionByName(around.select("series_id", "entity")).distinct().withColumn("exact", F.lit(True))
     pairs = block.unionByName(exact.select("series_id", "entity")).distinct().join(exact, ["series_id", "entity"], "left").join(open_, "series_id").join(idx, "entity")
     jac = F.size(F.array_intersect("own", "words")) / F.size(F.array_union("own", "words"))

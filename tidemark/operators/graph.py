@@ -10,25 +10,144 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Greatest share of a node's demand that substitutes take; nodes whose parameters may go to every task.
-MOST_SUBSTITUTED, NODES = 0.95, 20000
-
-
-def required(edges: DataFrame, start: Column, shock: float, nodes: DataFrame, cut) -> DataFrame:
+#: Greatest share of a node's demand that substitutes take; nodes whose parameters may go to every task; edges that one task walks, and
+#: edges of one strongly connected component.
+MOST_SUBSTITUTED, NODES, LOCAL, MEMBERS = 0.95, 20000, 100_000, 1_000_000
+
+
+def _trimmed(edges: DataFrame, cut) -> tuple[DataFrame, int]:
+    """Edges whose ends both have an edge that comes in and one that goes out, again and again; how many are left."""
+    n = edges.count()
+    while n:
+        live = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges, before = cut(live.select("src", "dst")), n
+        n = edges.count()
+        if n == before:
+            break
+    return edges, n
+
+
+def strongly_connected(edges: DataFrame, cut) -> DataFrame:
+    """node, component of the nodes that lie on a cycle; a component is named by its greatest node.
+
+    Forward and backward colouring: every node takes the greatest name that reaches it, and of each colour those that reach the node
+    of that name form a component; it is taken out, what can lie on no cycle any more is trimmed, and the rest is coloured anew.
+    Rounds follow the lengths of paths in what is left. cut(frame) writes a frame and reads it again."""
+    live, n = _trimmed(cut(edges.select("src", "dst").filter("src <> dst").distinct()), cut)
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    found = None
+    while n:
+        colour = cut(live.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
+        changed = 1
+        while changed:
+            ahead = live.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("new"))
+            colour = cut(colour.join(ahead, "node", "left").select("node", F.greatest("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") > F.col("colour")).alias("up")))
+            changed = colour.filter("up").count()
+            colour = colour.drop("up")
+        inside = cut(live.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst", F.col("a").alias("colour")))
+        reached = cut(colour.filter("node = colour"))
+        front = reached
+        while not front.isEmpty():
+            back = inside.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "colour").distinct()
+            front = cut(back.join(reached, "node", "left_anti"))
+            reached = cut(reached.unionByName(front))
+        part = reached.select("node", F.col("colour").alias("component"))
+        found = part if found is None else found.unionByName(part)
+        gone = part.select("node")
+        live, n = _trimmed(cut(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")), cut)
+    return loops if found is None else loops.join(found, "node", "left_anti").unionByName(found)
+
+
+def _gain(edges) -> list | None:
+    """A cycle whose weights multiply to more than 1, as its nodes in order, of (src, dst, weight) rows: Bellman and Ford's rounds over
+    logarithms, from everywhere at once."""
+    nodes = {v for s, d, _ in edges for v in (s, d)}
+    height, via = dict.fromkeys(nodes, 0.0), {}
+    last = None
+    for _ in range(len(nodes) + 1):
+        last = None
+        for s, d, w in edges:
+            if w > 0 and height[s] + np.log(w) > height[d] + 1e-12:
+                height[d], via[d], last = height[s] + np.log(w), s, d
+        if last is None:
+            return None
+    for _ in range(len(nodes)):
+        last = via[last]
+    cycle, v = [last], via[last]
+    while v != last:
+        cycle.append(v)
+        v = via[v]
+    return cycle[::-1]
+
+
+def gaining_cycles(edges: DataFrame, cut) -> DataFrame:
+    """component, cycle: of each strongly connected component that has one, a cycle whose weights multiply to more than 1, named by its
+    nodes. A component's own edges are a group: MEMBERS of them at most."""
+    parts = strongly_connected(edges, cut)
+    own = edges.join(parts.toDF("src", "component"), "src").join(parts.toDF("dst", "other"), "dst").filter("component = other").select("component", "src", "dst", "weight")
+    own = cut(own)
+    largest = own.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if largest > MEMBERS:
+        raise ValueError(f"a strongly connected component has {largest} edges, over {MEMBERS}")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        cycle = _gain(sorted(zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True)))
+        return pd.DataFrame({"component": [key[0]], "cycle": [" > ".join(map(str, [*cycle, cycle[0]])) if cycle else None]})
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return own.groupBy("component").applyInPandas(run, f"component {kind}, cycle string").filter("cycle IS NOT NULL")
+
+
+def _relaxed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Start nodes and dependencies of a small graph: the greatest requirement of each node, or a cycle that raises it without end."""
+    best = dict(zip(left["node"], left["required"], strict=True))
+    after: dict = {}
+    for s, d, w in zip(right["src"], right["dst"], right["weight"], strict=True):
+        after.setdefault(s, []).append((d, w))
+    most = len({*best, *right["src"], *right["dst"]})
+    front = set(best)
+    for _ in range(most + 1):
+        new: dict = {}
+        for s in front:
+            for d, w in after.get(s, ()):
+                v = best[s] * w
+                if v > new.get(d, best.get(d, -np.inf)):
+                    new[d] = v
+        front = set(new)
+        best.update(new)
+        if not front:
+            return pd.DataFrame({"node": list(best), "required": list(best.values()), "cycle": None})
+    cycle = _gain(sorted(zip(right["src"], right["dst"], right["weight"], strict=True))) or ["?"]
+    return pd.DataFrame({"node": [cycle[0]], "required": [0.0], "cycle": [" > ".join(map(str, [*cycle, cycle[0]]))]})
+
+
+def required(edges: DataFrame, start: Column, shock: float, nodes: DataFrame, cut, local: int = LOCAL) -> DataFrame:
     """node, required: the shock times the greatest product of weights over all dependency paths from the start nodes.
 
-    Rounds of joins until nothing rises any more; `cut` (a function of a DataFrame) writes each round down and reads it again. A
-    cycle whose weights multiply to more than 1 has no greatest path: after as many rounds as there are nodes it is refused."""
-    deps = edges.filter("rel = 'depends_on'").select(F.col("src").alias("node"), "dst", "weight")
-    reached = cut(nodes.filter(start).select("node", F.lit(float(shock)).alias("required")))
-    front, most = reached, nodes.count()
-    for _ in range(most + 1):
-        step = front.join(deps, "node").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("required") * F.col("weight")).alias("new"))
+    Up to `local` edges (counted) are walked in one task. Larger graphs take rounds of joins until nothing rises any more; `cut` (a
+    function of a DataFrame) writes each round down and reads it again. A cycle whose weights multiply to more than 1 has no
+    greatest path: it is refused, and the error names it."""
+    deps = cut(edges.filter("rel = 'depends_on'").select("src", "dst", "weight"))
+    begin = nodes.filter(start).select("node", F.lit(float(shock)).alias("required"))
+    small = deps.count() <= local
+    if small:
+        one = F.lit(0).alias("one")
+        kind = nodes.schema["node"].dataType.simpleString()
+        got = cut(begin.groupBy(one).cogroup(deps.groupBy(one)).applyInPandas(_relaxed, f"node {kind}, required double, cycle string"))
+        cycle = got.filter("cycle IS NOT NULL").first()
+    else:
+        cycle = gaining_cycles(deps, cut).first()
+    if cycle:
+        raise ValueError(f"dependencies form a cycle whose weights multiply to more than 1: {cycle['cycle']}")
+    if small:
+        return got.drop("cycle")
+    reached = front = cut(begin)
+    while True:
+        step = front.join(deps.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("required") * F.col("weight")).alias("new"))
         front = cut(step.join(reached, "node", "left").filter("required IS NULL OR new > required").select("node", F.col("new").alias("required")))
         if front.isEmpty():
             return reached
         reached = cut(reached.join(front.select("node"), "node", "left_anti").unionByName(front))
-    raise ValueError("dependencies form a cycle whose weights multiply to more than 1")
 
 
 def substitutability(edges: DataFrame) -> DataFrame:

@@ -167,23 +167,49 @@ def block_permutation(blocks: DataFrame, reps: int = 2000, seed: int = 20240) ->
     return drawn.groupBy().agg(F.max(lift(F.col("sa"))).alias("lift"), ((F.count_if(lift(F.col("hits")) >= lift(F.col("sa"))) + 1) / (reps + 1)).alias("p_block"), F.max("n_blocks").alias("n_blocks"))
 
 
-def block_bootstrap(blocks: DataFrame, reps: int = 2000, seed: int = 20241, alpha: float = 0.10) -> DataFrame:
-    """lift_lo, lift_hi: whole blocks resampled. A block's multiplicity over the repetitions is drawn as Poisson(1) in its own
-    task, the distributed form of resampling with replacement."""
+#: Blocks of one group of the bootstrap, about.
+GROUP = 256
 
-    def draw(pdfs):
-        for pdf in pdfs:
-            total = np.zeros((4, reps))
-            for r in pdf.itertuples(index=False):
-                times = _rng(seed, *[getattr(r, c) for c in pdf.columns]).poisson(1.0, reps)
-                total += np.array([r.a, r.b, r.c, r.d])[:, None] * times
-            yield pd.DataFrame({"rep": np.arange(reps), **dict(zip("abcd", total.astype(np.int64), strict=True))})
 
-    s = blocks.mapInPandas(draw, "rep int, a long, b long, c long, d long").groupBy("rep").agg(*(F.sum(x).alias(x) for x in "abcd"))
-    fired, wins, n = F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("a") + F.col("b") + F.col("c") + F.col("d")
-    lifts = s.select(F.when((fired > 0) & (wins > 0), (F.col("a") / fired) / (wins / n)).otherwise(0.0).alias("l"))
+def resampled(blocks: DataFrame, reps: int = 2000, seed: int = 20241) -> DataFrame:
+    """rep, a, b, c, d, times: the counts of `reps` resamples of whole blocks with replacement, each of as many blocks as there are (times).
+
+    A resample is a multinomial draw. It is split over tasks without being drawn in one: blocks belong to groups by the hash of their
+    names, and the groups are the leaves of a binary tree. At each node the draws that reached it go left with a binomial draw of the
+    left half's share of the node's blocks. These draws belong to the node, so every group finds its own number of draws by walking
+    down from the root, and the groups' numbers add up to the blocks in every repetition. Inside a group the draws fall evenly."""
+    names = [c for c in blocks.columns if c not in "abcd"]
+    keyed = blocks.select(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in names]).alias("block"), *"abcd")
+    total = keyed.count()
+    depth = max(0, (max(1, total) // GROUP).bit_length())
+    keyed = keyed.withColumn("group", F.shiftrightunsigned(F.xxhash64("block"), 64 - depth).cast("int") if depth else F.lit(0))
+    sizes = np.zeros(1 << depth, np.int64)
+    for r in keyed.groupBy("group").count().collect():  # a row for each group
+        sizes[r["group"]] = r["count"]
+    levels = [sizes]
+    while len(levels[0]) > 1:
+        levels.insert(0, levels[0][0::2] + levels[0][1::2])
+
+    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        group, here = int(key[0]), np.full(reps, total, np.int64)
+        for k in range(depth):
+            node = group >> (depth - k)
+            left = _rng(seed, "node", k, node).binomial(here, levels[k + 1][2 * node] / max(1, levels[k][node]))
+            here = here - left if (group >> (depth - k - 1)) & 1 else left
+        own = pdf.sort_values("block")
+        times = _rng(seed, "leaf", group).multinomial(here, np.full(len(own), 1 / len(own)))
+        return pd.DataFrame({"rep": np.arange(reps), **{c: times @ own[c].to_numpy(np.int64) for c in "abcd"}, "times": here})
+
+    drawn = keyed.groupBy("group").applyInPandas(draw, "rep int, a long, b long, c long, d long, times long")
+    return drawn.groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("a", "b", "c", "d", "times")))
+
+
+def block_bootstrap(blocks: DataFrame, reps: int = 2000, seed: int = 20241, alpha: float = 0.10) -> DataFrame:
+    """lift_lo, lift_hi: the percentiles of the lift over resamples of whole blocks."""
     from ..functions.stats import pct_nearest
 
+    fired, wins, n = F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    lifts = resampled(blocks, reps, seed).select(F.when((fired > 0) & (wins > 0), (F.col("a") / fired) / (wins / n)).otherwise(0.0).alias("l"))
     return lifts.agg(F.sort_array(F.collect_list("l")).alias("ls")).select(pct_nearest(F.col("ls"), alpha / 2).alias("lift_lo"), pct_nearest(F.col("ls"), 1 - alpha / 2).alias("lift_hi"))
 
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import half_even, mean_of, normal_cdf, settled
+from ..functions.stats import half_even, mean_of, normal_cdf, normal_quantile, settled
 from .series import gather
 
 #: First origin, steps ahead, steps between origins, least volatility, resolved rungs a fit needs.
 TRAIL, AHEAD, EVERY, FLOOR, MIN_TRAIN = 6, 2, 1, 0.02, 150
+#: Financial terms that a card's question must not ask of a ticker.
+FINANCIAL = "revenue|revenues|EPS|earnings per share|net income|gross margin|share price|stock price|market cap"
 FEATURES = ("drift", "vol", "last", "accel", "drawdown")
 
 
@@ -24,22 +26,25 @@ def eligible(points: DataFrame, health: DataFrame, trail: int = TRAIL, ahead: in
 
 def candidates(points: DataFrame, trail: int = TRAIL, ahead: int = AHEAD, every: int = EVERY) -> DataFrame:
     """series_id, i (index of the origin), origin, resolves, threshold, the five features of the history up to the origin, mu, sigma,
-    n_rets, y (did the value hold). Origins run from `trail` to the last that has `ahead` later points. A series is gathered once;
-    its origins are expressions over the array."""
-    g = gather(points, ["series_id"]).withColumn("n", F.size("pts")).filter(F.col("n") > trail + ahead)
-    g = g.withColumn("i", F.explode(F.sequence(F.lit(trail), F.col("n") - ahead - 1, F.lit(every))))
-    at = lambda k: F.element_at("pts", (k + 1).cast("int"))
-    g = g.withColumn("h", F.slice("pts", 1, F.col("i") + 1)).withColumn("now", at(F.col("i"))["y"]).filter("now > 0")
-    step = lambda p, k: F.when((p["y"] > 0) & (F.element_at("h", k + 2)["y"] > 0), F.log(F.element_at("h", k + 2)["y"] / p["y"]))
-    g = g.withColumn("rets", F.filter(F.transform(F.slice("h", F.lit(1), F.col("i")), step), lambda r: r.isNotNull())).withColumn("m", F.size("rets")).filter("m >= 3")
-    g = g.withColumn("mu", mean_of(F.col("rets")))
-    sd = F.sqrt(F.aggregate("rets", F.lit(0.0), lambda a, r: a + (r - F.col("mu")) * (r - F.col("mu"))) / (F.col("m") - 1))
-    peak = F.array_max(F.transform("h", lambda p: p["y"]))
-    g = g.withColumn("sd", sd)
-    return settled(
-        g, ["series_id", "i"], origin=at(F.col("i"))["x"], resolves=at(F.col("i") + ahead)["x"], threshold=F.col("now"), drift=F.col("mu"), vol=F.greatest(F.lit(1e-6), F.col("sd")), last=F.element_at("rets", -1),
-        accel=mean_of(F.slice("rets", -3, 3)) - F.col("mu"), drawdown=F.when(peak > 0, (F.col("now") - peak) / peak).otherwise(0.0), mu=F.col("mu"), sigma=F.greatest(F.lit(FLOOR), F.col("sd")), n_rets=F.col("m"),
-        y=F.when(at(F.col("i") + ahead)["y"] >= F.col("now"), 1.0).otherwise(0.0),
+    n_rets, y (did the value hold). Origins run from `trail` to the last that has `ahead` later points.
+
+    What the history says is a running aggregate over the series in order: each point is looked at a bounded number of times."""
+    own = Window.partitionBy("series_id").orderBy("x")
+    sofar = own.rowsBetween(Window.unboundedPreceding, 0)
+    p = points.select("series_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    before = F.lag("y").over(own)
+    p = p.withColumn("r", F.when((F.col("y") > 0) & (before > 0), F.log(F.col("y") / before))).withColumn("i", F.row_number().over(own) - 1)
+    p = p.withColumn("resolves", F.lead("x", ahead).over(own)).withColumn("later", F.lead("y", ahead).over(own)).withColumn("peak", F.max("y").over(sofar))
+    p = p.withColumn("mu", F.avg("r").over(sofar)).withColumn("sd", F.stddev_samp("r").over(sofar)).withColumn("m", F.count("r").over(sofar).cast("int"))
+    # The mean of the newest three returns there are, carried on over steps that have none.
+    three = F.avg("r").over(Window.partitionBy("series_id", F.col("r").isNotNull()).orderBy("x").rowsBetween(-2, 0))
+    p = p.withColumn("three", F.when(F.col("r").isNotNull(), three))
+    p = p.withColumn("recent", F.last("three", ignorenulls=True).over(sofar)).withColumn("newest", F.last("r", ignorenulls=True).over(sofar))
+    p = p.filter((F.col("i") >= trail) & ((F.col("i") - trail) % every == 0) & F.col("resolves").isNotNull() & (F.col("y") > 0) & (F.col("m") >= 3))
+    return p.select(
+        "series_id", "i", F.col("x").alias("origin"), "resolves", F.col("y").alias("threshold"), F.col("mu").alias("drift"), F.greatest(F.lit(1e-6), "sd").alias("vol"), F.col("newest").alias("last"),
+        (F.col("recent") - F.col("mu")).alias("accel"), F.when(F.col("peak") > 0, (F.col("y") - F.col("peak")) / F.col("peak")).otherwise(0.0).alias("drawdown"), "mu", F.greatest(F.lit(FLOOR), "sd").alias("sigma"), F.col("m").alias("n_rets"),
+        F.when(F.col("later") >= F.col("y"), 1.0).otherwise(0.0).alias("y"),
     )
 
 
@@ -84,22 +89,35 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, iters: int = 2500, rate: float =
 def expanding_base_rate(rungs: DataFrame) -> DataFrame:
     """origin, n_known, base: the outcomes of the rungs that had resolved by each origin (one half if none had). Counts are added
     per step first; only steps are ordered."""
-    per = rungs.groupBy(F.col("resolves").alias("at")).agg(F.count("*").alias("n"), F.sum("y").alias("yes"))
-    origins = rungs.select(F.col("origin").alias("o")).distinct()
-    g = origins.join(per, F.col("at") <= F.col("o"), "left").groupBy("o").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_known"), F.sum("yes").alias("yes"))
-    return g.select(F.col("o").alias("origin"), "n_known", F.coalesce(F.col("yes") / F.col("n_known"), F.lit(0.5)).alias("base"))
+    per = rungs.groupBy(F.col("resolves").alias("at")).agg(F.count("*").alias("n"), F.sum("y").alias("yes"), F.lit(False).alias("asked"))
+    steps = per.unionByName(rungs.select(F.col("origin").alias("at")).distinct().select("at", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("yes"), F.lit(True).alias("asked")))
+    upto = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)  # a row or two for each step
+    g = steps.withColumn("n_known", F.sum("n").over(upto)).withColumn("all", F.sum("yes").over(upto)).filter("asked")
+    return g.select(F.col("at").alias("origin"), "n_known", F.when(F.col("n_known") > 0, F.col("all") / F.col("n_known")).otherwise(0.5).alias("base"))
 
 
 def price(rungs: DataFrame, min_train: int = MIN_TRAIN, sample: int = 200_000) -> DataFrame:
     """rungs with price: per origin, a logistic model of the features fitted on the rungs that had resolved by then; under
     `min_train` of them, their base rate. An origin is a task; it fits on `sample` rungs at most, those of least id hashes (a
-    documented bound on the fit alone), and the rungs of the origin are priced by a join with the fitted weights."""
+    documented bound on the fit alone), and the rungs of the origin are priced by a join with the fitted weights.
+
+    A rung teaches all origins from its resolution on, but with a chance that leaves about `sample` for each, and that chance falls with
+    the origins: so it goes to neighbouring ones, from the first after its resolution to the last that may still take it, and meets
+    them by their numbers."""
     base = expanding_base_rate(rungs)
-    known = rungs.select(F.col("resolves"), "y", F.array(*FEATURES).alias("f"), F.xxhash64("series_id", "i").alias("h"))
-    due = base.filter(F.col("n_known") >= min_train).select("origin", "n_known")
-    # A rung reaches the origins after its resolution with a chance that leaves about `sample` for each.
+    order = Window.orderBy("origin")  # a row for each step, here and below
+    due = base.filter(F.col("n_known") >= min_train).select("origin", "n_known", F.row_number().over(order).alias("nth"))
+    steps = rungs.select(F.col("resolves").alias("at")).distinct().withColumn("nth", F.lit(None).cast("int")).unionByName(due.select(F.col("origin").alias("at"), "nth"))
+    first = steps.withColumn("first", F.min("nth").over(Window.orderBy("at").rangeBetween(0, Window.unboundedFollowing))).filter("nth IS NULL").select(F.col("at").alias("resolves"), "first")
+    # The last origin that takes rungs of a chance of 2^-(level + 1) or more: one row for each level.
+    chance = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n_known"))
+    last = due.select(F.explode(F.sequence(F.lit(0), F.lit(53))).alias("level"), "nth", chance.alias("chance")).filter(F.col("chance") >= F.pow(F.lit(2.0), -(F.col("level") + 1.0))).groupBy("level").agg(F.max("nth").alias("final"))
     place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    train = due.join(known, F.col("resolves") <= F.col("origin")).filter(place * F.col("n_known") <= sample).select("origin", "f", "y", "h")
+    known = rungs.select("resolves", "y", F.array(*FEATURES).alias("f"), F.xxhash64("series_id", "i").alias("h")).withColumn("place", place)
+    level = F.least(F.lit(53), F.floor(-F.log2(F.greatest("place", F.lit(2.0**-53)))).cast("int"))
+    near = known.withColumn("level", level).join(F.broadcast(first), "resolves").join(F.broadcast(last), "level").filter("first <= final")
+    met = near.withColumn("nth", F.explode(F.sequence("first", "final"))).join(F.broadcast(due), "nth")
+    train = met.filter(F.col("place") * F.col("n_known") <= sample).select("origin", "f", "y", "h")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h")
@@ -112,6 +130,31 @@ def price(rungs: DataFrame, min_train: int = MIN_TRAIN, sample: int = 200_000) -
     return df.withColumn("price", F.when(F.col("w").isNotNull(), 1 / (1 + F.exp(-z))).otherwise(F.col("base"))).drop("w", "b", "base", "n_known")
 
 
+def resolved(rungs: DataFrame, points: DataFrame, span: float) -> DataFrame:
+    """rungs with due, seen_x, outcome: what the series showed `span` steps of time after the origin, which is another thing than the label
+    a given number of observations on. The value is that of the last point up to the due time (seen_x its own time); a rung whose
+    series ends before that is open (nulls).
+
+    As-of join: points and due times of a series are one ordered sequence, and a due time takes the last value before it."""
+    due = rungs.select("series_id", "i", (F.col("origin") + span).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v"))
+    have = points.select("series_id", F.lit(None).cast("int").alias("i"), F.col("x").cast("double").alias("t"), F.lit(0).alias("kind"), F.col("y").cast("double").alias("v"))
+    own = Window.partitionBy("series_id").orderBy("t", "kind")
+    carried = F.last(F.when(F.col("kind") == 0, F.struct("t", "v")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    every = have.unionByName(due).withColumn("seen", carried).withColumn("end", F.max(F.when(F.col("kind") == 0, F.col("t"))).over(Window.partitionBy("series_id")))
+    at = every.filter("kind = 1").select("series_id", "i", F.col("t").alias("due"), F.when(F.col("end") >= F.col("t"), F.col("seen")).alias("seen"))
+    df = rungs.join(at, ["series_id", "i"])
+    return df.withColumn("seen_x", F.col("seen.t")).withColumn("outcome", F.when(F.col("seen").isNotNull(), (F.col("seen.v") >= F.col("threshold")).cast("int"))).drop("seen")
+
+
+def issued(priced: DataFrame, ahead: int = AHEAD) -> DataFrame:
+    """Priced rungs with low, median, high: the 10th, 50th and 90th percentile of the log-normal projection, all moved by what gives the
+    threshold the price as its probability, so that price and interval are one posterior."""
+    wide = F.col("sigma") * F.sqrt(F.lit(float(ahead)))
+    at = lambda z: F.col("threshold") * F.exp(F.col("mu") * ahead + z * wide)
+    df = priced.withColumn("shift", F.col("threshold") - at(normal_quantile(1 - F.col("price"))))
+    return df.withColumns({n: at(F.lit(z)) + F.col("shift") for n, z in (("low", -1.2815515655446004), ("median", 0.0), ("high", 1.2815515655446004))})
+
+
 # Quantities of cards: samples are arrays, ascending.
 def quantile_grid(samples: Column, n: int = 1001) -> Column:
     """n order statistics that stand for the sample."""
@@ -153,10 +196,9 @@ def grow(cards: DataFrame, draws: int = 20_000, seed: int = 3) -> DataFrame:
 
 
 def refused_cards(cards: DataFrame, health: DataFrame) -> DataFrame:
-    """Cards that must not be issued, with the reason: a question about an instrument's price or a position's profit, a seed series
-    whose audit failed, probability and interval that contradict each other."""
-    low = F.lower("question")
-    trade = low.rlike(r"\b(p&l|pnl|profit|share price|stock price|ticker|buy|sell|short|long position)\b") | F.col("question").rlike(r"\$[A-Z]{1,5}\b")
+    """Cards that must not be issued, with the reason: a question about one company's figures (a ticker in brackets and a financial term
+    together), a seed series whose audit failed, probability and interval that contradict each other."""
+    trade = F.col("question").rlike(r"\([A-Z]{2,5}\)") & F.col("question").rlike(rf"(?i)\b({FINANCIAL})\b")
     failed = health.filter("status = 'fail'").select(F.col("series_id").alias("seed"), F.lit(True).alias("bad"))
     df = cards.join(failed, "seed", "left")
     edge = F.lit(1e-9) + F.lit(0.02) * (F.col("high") - F.col("low"))

@@ -42,19 +42,18 @@ def emerging(papers: DataFrame, last: str, min_docs: int = 40, top: int = TOP, w
     slow. A share is the mean of the monthly shares of a window; the windows are the newest, second and third `window` months that
     have papers, up to and with `last` (yyyy-MM).
 
-    First the candidates: phrases of `min_docs` papers in the last `recent_months` months; only they are counted over the full
-    history (a semi-join before the shuffle, by broadcast where they are few). No cap on candidates."""
+    A text is split once: a paper adds one over its month's papers to the share of its window, so all that a phrase needs is added up in
+    one aggregation, in each task before the shuffle. No cap on candidates."""
     dated = papers.filter(F.col("month") <= last)
     # A row for each month.
-    totals = dated.groupBy("month").agg(F.count("*").alias("total")).withColumn("age", F.row_number().over(Window.orderBy(F.desc("month"))) - 1).filter(F.col("age") < 3 * window)
+    totals = dated.groupBy("month").agg(F.count("*").alias("total")).withColumn("age", F.row_number().over(Window.orderBy(F.desc("month"))) - 1)
     low = F.date_format(F.add_months(F.to_date(F.lit(f"{last}-01")), 1 - recent_months), "yyyy-MM")
-    terms = dated.select("month", F.explode(phrases(F.col("text"))).alias("term"))
-    few = terms.filter(F.col("month") >= low).groupBy("term").agg(F.count("*").alias("seen")).filter(F.col("seen") >= min_docs).select("term")
-    counts = terms.join(few, "term", "left_semi").groupBy("term", "month").agg(F.count("*").alias("c")).join(totals, "month")
     sizes = totals.agg(*(F.count_if((F.col("age") >= i * window) & (F.col("age") < (i + 1) * window)).alias(f"m{i}") for i in range(3)))
-    of = lambda i, v: F.sum(F.when((F.col("age") >= i * window) & (F.col("age") < (i + 1) * window), v).otherwise(0))
-    g = counts.groupBy("term").agg(of(0, F.col("c")).alias("n"), *(of(i, F.col("c") / F.col("total")).alias(f"s{i}") for i in range(3)))
-    df = g.filter(F.col("n") >= min_docs).join(F.broadcast(sizes))  # one row
+    part = totals.select("month", (F.lit(1.0) / F.col("total")).alias("part"), F.floor(F.col("age") / window).cast("int").alias("win"))
+    terms = dated.join(F.broadcast(part), "month").filter((F.col("win") < 3) | (F.col("month") >= low)).select("win", "part", (F.col("month") >= low).alias("late"), F.explode(phrases(F.col("text"))).alias("term"))
+    of = lambda i, v: F.sum(F.when(F.col("win") == i, v).otherwise(0))
+    g = terms.groupBy("term").agg(F.count_if("late").alias("seen"), of(0, F.lit(1)).alias("n"), *(of(i, F.col("part")).alias(f"s{i}") for i in range(3)))
+    df = g.filter((F.col("seen") >= min_docs) & (F.col("n") >= min_docs)).join(F.broadcast(sizes))  # one row
     df = df.select("term", "n", *((F.col(f"s{i}") / F.greatest(F.col(f"m{i}"), F.lit(1))).alias(name) for i, name in enumerate(("recent", "prior", "older"))))
     rise = F.col("recent") - F.col("prior")
     df = df.filter((rise > 1e-12) & (rise - (F.col("prior") - F.col("older")) >= -1e-12) & (F.col("recent") <= COMMON))

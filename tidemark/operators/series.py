@@ -31,7 +31,19 @@ def detect(points: DataFrame, key: list[str], k: float = 3.0, log: bool = False)
 
     Series under 8 points (or under 4 early ones) are left out. The hold-out is round-half-even(0.3 n), 2 at least. sigma is the MAD
     scale, or, where that is 0, the largest of the residuals' deviation, 5 % of the early scale and 1e-9."""
-    df = gather(points, key).withColumn("n", F.size("pts")).filter(F.col("n") >= MIN_POINTS)
+    return judged(gather(points, key), key, k, log)
+
+
+def detect_at(points: DataFrame, key: list[str], cutoffs: dict, k: float = 3.0, log: bool = False, origin: str = "origin") -> DataFrame:
+    """The detector on what was known at several origins (origin -> greatest x): a series is gathered once, and its array is cut at each."""
+    at = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(x)).alias("x")) for o, x in cutoffs.items()]))
+    df = gather(points, key).withColumn("at", at).withColumn(origin, F.col("at.o")).withColumn("pts", F.filter("pts", lambda p: p["x"] <= F.col("at.x")))
+    return judged(df.select(*key, origin, "pts"), [*key, origin], k, log)
+
+
+def judged(df: DataFrame, key: list[str], k: float = 3.0, log: bool = False) -> DataFrame:
+    """The detector on gathered series: key, pts (ordered by x)."""
+    df = df.withColumn("n", F.size("pts")).filter(F.col("n") >= MIN_POINTS)
     if log:
         df = df.withColumn("pts", F.transform("pts", lambda p: F.struct(p["x"].alias("x"), F.log(F.greatest(p["y"], F.lit(LOG_FLOOR))).alias("y"))))
     df = df.withColumn("holdout", F.greatest(F.lit(2), F.bround(F.lit(HOLDOUT) * F.col("n"), 0).cast("int"))).withColumn("split", F.col("n") - F.col("holdout")).filter("split >= 4")

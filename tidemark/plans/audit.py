@@ -56,10 +56,10 @@ def meta(spark, sf_dir):
     return p.select(F.concat_ws("|", "p_brand", "p_type").alias("series_id"), F.col("p_brand").alias("entity"), provider.alias("provider"), F.lit("units").alias("unit"), F.when(F.col("p_brand") != "Brand#5", F.concat(F.lit("s-"), "p_type")).alias("source_id"), (F.col("p_brand") != "Brand#7").alias("source_ok"), F.lit(True).alias("is_count"))
 
 
-def observations(spark, sf_dir):
+def observations(points):
     m = F.col("x") - 1
     odd = F.col("series_id").startswith("Brand#9|") & (F.col("x") == 1998 * 12 + 3)
-    return domain.monthly(spark, sf_dir).select("series_id", F.make_date(F.floor(m / 12).cast("int"), (m % 12).cast("int") + 1, F.lit(1)).alias("x"), "y", F.when(odd, "kg").otherwise("units").alias("unit"), F.when(F.col("series_id").startswith("Brand#11|L"), -1.0).otherwise(F.sqrt("y")).alias("uncertainty"))
+    return points.select("series_id", F.make_date(F.floor(m / 12).cast("int"), (m % 12).cast("int") + 1, F.lit(1)).alias("x"), "y", F.when(odd, "kg").otherwise("units").alias("unit"), F.when(F.col("series_id").startswith("Brand#11|L"), -1.0).otherwise(F.sqrt("y")).alias("uncertainty"))
 
 
 def links(spark, sf_dir):
@@ -74,8 +74,10 @@ def revisions(spark, sf_dir):
     return g.filter("old <> new").select("series_id")
 
 
-def health(spark, sf_dir):
-    return quality.audit(meta(spark, sf_dir), observations(spark, sf_dir), links(spark, sf_dir), revisions(spark, sf_dir), F.lit(TODAY).cast("date"))
+def health(spark, sf_dir, points=None):
+    """The audit of every series; points: domain.monthly, where a run has it already."""
+    points = cut(domain.monthly(spark, sf_dir)) if points is None else points  # the audit's checks each read them
+    return quality.audit(meta(spark, sf_dir), observations(points), links(spark, sf_dir), revisions(spark, sf_dir), F.lit(TODAY).cast("date"))
 
 
 @query("quality_audit", f"WITH {HEALTH} SELECT series_id, status, fresh, complete, valid, prov, recon, days_stale::INT AS days_stale, gaps::INT AS gaps, outliers::INT AS outliers, n_revisions, score FROM health")
@@ -118,10 +120,11 @@ bh AS MATERIALIZED (SELECT *, (SELECT count(*) FROM pv o WHERE o.p <= pv.p) AS r
 scan AS MATERIALIZED (SELECT *, p <= coalesce((SELECT max(p) FROM bh WHERE p <= rnk / m * 0.5::DOUBLE), -1) AS survive FROM bh)"""
 
 
-def scan(spark, sf_dir, q: float = 0.5):
+def scan(spark, sf_dir, q: float = 0.5, points=None):
     """Detect on every series that is live and did not fail its audit, with p, rank and survival at rate q."""
-    live = discovery.live_series(meta(spark, sf_dir), health(spark, sf_dir)).select("series_id", "entity", "provider")
-    det = series.detect(domain.monthly(spark, sf_dir).join(live.select("series_id"), "series_id", "left_semi"), ["series_id"], k=1.5).join(live, "series_id")
+    points = cut(domain.monthly(spark, sf_dir)) if points is None else points
+    live = discovery.live_series(meta(spark, sf_dir), health(spark, sf_dir, points)).select("series_id", "entity", "provider")
+    det = series.detect(points.join(live.select("series_id"), "series_id", "left_semi"), ["series_id"], k=1.5).join(live, "series_id")
     return inference.benjamini_hochberg(cut(discovery.mirrored_p(cut(det))), "p", q)
 
 
@@ -179,5 +182,33 @@ def series_board(spark, sf_dir):
 @query("detector_run", f"""WITH {_SCAN} SELECT (SELECT count(DISTINCT series_id) FROM meta)::BIGINT AS series, (SELECT count(*) FROM health WHERE status = 'fail')::BIGINT AS failed, count(*) AS judged, count(*) FILTER (WHERE fired) AS fired FROM scan""")
 def detector_run(spark, sf_dir):
     """A detector run's summary: series that failed their audit are skipped."""
-    h = health(spark, sf_dir).agg(F.count("*").alias("series"), F.count_if(F.col("status") == "fail").alias("failed"))
-    return h.crossJoin(scan(spark, sf_dir).agg(F.count("*").alias("judged"), F.count_if("fired").alias("fired")))  # one row each
+    points = cut(domain.monthly(spark, sf_dir))
+    h = health(spark, sf_dir, points).agg(F.count("*").alias("series"), F.count_if(F.col("status") == "fail").alias("failed"))
+    return h.crossJoin(scan(spark, sf_dir, points=points).agg(F.count("*").alias("judged"), F.count_if("fired").alias("fired")))  # one row each
+
+
+_FILERS = """fl AS (SELECT upper('t' || s_suppkey) AS ticker, 1000 + s_suppkey AS cik FROM supplier WHERE s_suppkey % 5 <> 0),
+pr AS (SELECT p_brand AS entity, CASE WHEN p_partkey % 2 = 0 THEN 'elastic' ELSE 'inelastic' END AS layer, ' t' || p_partkey % 23 AS symbol, p_name AS name, (p_partkey % 10) / 10.0::DOUBLE AS confidence FROM part),
+ins AS (SELECT entity, ticker AS symbol, layer, cik, arg_max(ticker || ' [' || layer || '] ' || substr(name, 1, 40), struct_pack(c := confidence, n := name)) AS label, least(max(confidence), 0.7::DOUBLE) AS confidence FROM pr JOIN fl ON upper(trim(symbol)) = ticker GROUP BY ALL)"""
+
+
+def _instruments(spark, sf_dir):
+    s, part = domain.table(spark, sf_dir, "supplier"), domain.table(spark, sf_dir, "part")
+    filers = s.filter("s_suppkey % 5 <> 0").select(F.upper(F.concat(F.lit("t"), F.col("s_suppkey").cast("string"))).alias("ticker"), (1000 + F.col("s_suppkey")).alias("cik"))
+    key = F.col("p_partkey")
+    proposals = part.select(F.col("p_brand").alias("entity"), F.when(key % 2 == 0, "elastic").otherwise("inelastic").alias("layer"), F.concat(F.lit(" t"), (key % 23).cast("string")).alias("symbol"), F.col("p_name").alias("name"), (key % 10 / F.lit(10.0)).alias("confidence"))
+    return discovery.instruments(proposals, filers)
+
+
+@query("instrument_candidates", f"WITH {_FILERS} SELECT * FROM ins")
+def instrument_candidates(spark, sf_dir):
+    """Proposed instruments of entities whose symbols are filers'."""
+    return _instruments(spark, sf_dir)
+
+
+@query("instrument_pairs", f"""WITH {_FILERS}, a AS (SELECT * FROM ins WHERE confidence >= 0.5::DOUBLE),
+b AS (SELECT entity, min(symbol) FILTER (WHERE layer = 'inelastic') AS inelastic, min(symbol) FILTER (WHERE layer = 'elastic') AS elastic FROM a GROUP BY ALL)
+SELECT entity, inelastic, x.cik AS inelastic_cik, elastic, y.cik AS elastic_cik FROM b JOIN fl x ON x.ticker = inelastic JOIN fl y ON y.ticker = elastic""")
+def instrument_pairs(spark, sf_dir):
+    """Entities with an accepted instrument (those of at least one half) in both layers."""
+    return discovery.pairs(_instruments(spark, sf_dir).filter("confidence >= 0.5"))

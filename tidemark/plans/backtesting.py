@@ -49,15 +49,18 @@ _KNOWN = f"""{MONTHLY}, o AS (SELECT unnest([7991, 7995, 7999]) AS origin),
 pit AS (SELECT series_id, origin, x, y FROM pts, o WHERE x <= (origin // 4) * 12 + 12)"""
 
 
-def _known(spark, sf_dir):
-    months = domain.monthly(spark, sf_dir).withColumn("origin", F.explode(F.array(*[F.lit(o) for o in ORIGINS])))
-    return months.filter(F.col("x") <= F.floor(F.col("origin") / 4) * 12 + 12)
+#: The last month known at each origin, a quarter.
+_MONTHS = {o: o // 4 * 12 + 12 for o in ORIGINS}
+
+
+def _judged(spark, sf_dir, k: float = 3.0):
+    return series.detect_at(domain.monthly(spark, sf_dir), ["series_id"], _MONTHS, k)
 
 
 @query("point_in_time_verdicts", f"WITH {_KNOWN}, {detect_sql('pit', 'series_id, origin')} SELECT series_id, origin, n, round(surprise, 6) AS surprise, fired FROM det")
 def point_in_time_verdicts(spark, sf_dir):
     """The detector at every origin, on what was known then: one pass for all origins."""
-    return series.detect(_known(spark, sf_dir), ["series_id", "origin"]).select("series_id", "origin", "n", F.round("surprise", 6).alias("surprise"), "fired")
+    return _judged(spark, sf_dir).select("series_id", "origin", "n", F.round("surprise", 6).alias("surprise"), "fired")
 
 
 _EVENTS = f"{_KNOWN}, {detect_sql('pit', 'series_id, origin', 1.5)}, {_GAINS.replace('o AS (SELECT unnest([7991, 7995, 7999]) AS origin),', '')}, ev AS (SELECT series_id, cohort, origin, surprise, fired, winner FROM det JOIN gain USING (series_id, origin))"
@@ -69,7 +72,7 @@ _RATES = """a, b, c, d, a + b + c + d AS n, round(CASE WHEN a + b + c + d > 0 TH
 
 
 def _events(spark, sf_dir):
-    det = series.detect(_known(spark, sf_dir), ["series_id", "origin"], k=1.5).select("series_id", "origin", "surprise", "fired")
+    det = _judged(spark, sf_dir, 1.5).select("series_id", "origin", "surprise", "fired")
     return det.join(_gains(spark, sf_dir).select("series_id", "cohort", "origin", "winner"), ["series_id", "origin"])
 
 
@@ -141,14 +144,13 @@ cases AS (SELECT series_id, origin, ev.surprise, multiple, diffusion, talent FRO
 
 def _channel(spark, sf_dir, column, name):
     part = domain.table(spark, sf_dir, "part").select("p_partkey", domain.series_name().alias("series_id"))
-    items = domain.table(spark, sf_dir, "lineitem").select("l_partkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("x"), column)
+    items = domain.table(spark, sf_dir, "lineitem").select("l_partkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("x"), column).distinct()
     pts = items.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("series_id", "x").agg(F.count_distinct(column).alias("y"))
-    known = pts.withColumn("origin", F.explode(F.array(*map(F.lit, ORIGINS)))).filter(F.col("x") <= F.floor(F.col("origin") / 4) * 12 + 12)
-    return series.detect(known, ["series_id", "origin"], log=True).select("series_id", "origin", F.col("surprise").alias(name))
+    return series.detect_at(pts, ["series_id"], _MONTHS, log=True).select("series_id", "origin", F.col("surprise").alias(name))
 
 
 def _cases(spark, sf_dir):
-    det = series.detect(_known(spark, sf_dir), ["series_id", "origin"]).select("series_id", "origin", "surprise")
+    det = _judged(spark, sf_dir).select("series_id", "origin", "surprise")
     df = det.join(_gains(spark, sf_dir).select("series_id", "origin", "multiple"), ["series_id", "origin"]).filter("multiple IS NOT NULL")
     for column, name in (("l_suppkey", "diffusion"), ("l_orderkey", "talent")):
         df = df.join(_channel(spark, sf_dir, column, name), ["series_id", "origin"], "left")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, entities
+from ..operators import corpus, entities, matching
 from ..sources import domain
+from ..streaming.flows import cut
 from .catalog import PAPERS, query
 
 _STOP = ", ".join(f"'{w}'" for w in entities.STOP)
@@ -167,7 +168,26 @@ SELECT term, month, matched, total, round(matched / total, 9) AS share, round(gr
 def term_signals(spark, sf_dir):
     """Share, breadth and talent of terms per month; source and language stand in for authors."""
     p = domain.papers(spark, sf_dir).withColumn("authors", F.concat("category", F.lit(";"), "lang"))
-    return corpus.term_signals(p, _TERMS, "2021-12").withColumns({c: F.round(c, 9) for c in ("share", "se")})
+    return corpus.term_signals(p, spark.createDataFrame([(t,) for t in _TERMS], "term string"), "2021-12").withColumns({c: F.round(c, 9) for c in ("share", "se")})
+
+
+@query("pattern_counts", r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS term FROM benchmark),
+w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS term FROM w)
+SELECT term, count(*) AS texts FROM u JOIN t USING (term) GROUP BY ALL""")
+def pattern_counts(spark, sf_dir):
+    """Texts that hold each word of the benchmark as a whole word: thousands of patterns in one pass."""
+    terms = domain.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("term"))
+    texts = domain.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return matching.occurrences(texts, "text", terms, "term").groupBy("term").agg(F.count("*").alias("texts"))
+
+
+@query("trailing_talent", f"""WITH {PAPERS}, r AS (SELECT lang AS term, month, substr(month, 1, 4)::INT * 12 + substr(month, 6, 2)::INT AS mth, unnest([category, 'a' || doc_id % 97, 'b' || doc_id % 41]) AS who FROM papers),
+m AS (SELECT DISTINCT term, month, mth FROM r WHERE term IS NOT NULL) SELECT m.term, m.month, count(DISTINCT who) AS n FROM m JOIN r ON r.term = m.term AND r.mth BETWEEN m.mth - 11 AND m.mth GROUP BY ALL""")
+def trailing_talent(spark, sf_dir):
+    """Different authors of each language's papers over the trailing twelve months."""
+    p = domain.papers(spark, sf_dir)
+    who = F.explode(F.array(F.col("category"), F.concat(F.lit("a"), (F.col("doc_id") % 97).cast("string")), F.concat(F.lit("b"), (F.col("doc_id") % 41).cast("string"))))
+    return corpus.trailing_distinct(p.select(F.col("lang").alias("term"), "month", who.alias("who")), cut)
 
 
 @query("span_grounding", r"""WITH c AS (SELECT doc_id, item_id, d.text AS text, b.text AS span FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40) SELECT doc_id, item_id, coalesce(trim(span) <> '' AND contains(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))), lower(trim(regexp_replace(span, '[ \t\n\x0B\f\r]+', ' ', 'g')))), false) AS found FROM c""")

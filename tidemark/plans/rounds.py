@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.stats import _ERFC
 from ..operators import benchmark as bm
 from ..sources import domain
@@ -20,6 +21,16 @@ def phi_sql(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
+def quantile_sql(p: str) -> str:
+    """DuckDB: the inverse of the standard normal distribution function, by the same approximation."""
+    poly = lambda cs, x: " + ".join(f"({c}::DOUBLE) * pow({x}, {len(cs) - 1 - k})" if k < len(cs) - 1 else f"({c}::DOUBLE)" for k, c in enumerate(cs))
+    q = f"greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, {p}))"
+    tail = lambda t: f"(({poly(stats._C, f'sqrt(-2 * ln({t}))')}) / ({poly((*stats._D, 1.0), f'sqrt(-2 * ln({t}))')}))"
+    r = f"({q} - 0.5::DOUBLE)"
+    middle = f"(({poly(stats._A, f'({r} * {r})')}) * {r} / ({poly((*stats._B, 1.0), f'({r} * {r})')}))"
+    return f"(CASE WHEN {q} < 0.02425 THEN {tail(q)} WHEN {q} > 1 - 0.02425 THEN -{tail(f'(1 - {q})')} ELSE {middle} END)"
+
+
 DUE, RESOLVES = "1999-12-31", ("2000-02-28", "2000-09-30")
 _QUOTES = f"""quotes AS (SELECT p_brand AS series_id, l_shipdate::DATE AS d, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 qs AS (SELECT DISTINCT series_id || '|' || r AS question, series_id, DATE '{DUE}' AS due, r::DATE AS resolves FROM quotes, (SELECT unnest(['{RESOLVES[0]}', '{RESOLVES[1]}']) AS r)),

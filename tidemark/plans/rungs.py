@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ladder, scoring, series
 from ..sources import domain
 from .catalog import BRANDS, MONTHLY, med, query
-from .rounds import phi_sql
+from .rounds import phi_sql, quantile_sql
 
 _FAILED = "hl AS (SELECT DISTINCT p_brand AS series_id FROM part WHERE p_brand LIKE 'Brand#2%')"
 _RUNGS = f"""{BRANDS}, {_FAILED},
@@ -63,6 +63,27 @@ def ladder_prices(spark, sf_dir):
     return ladder.price(rungs(spark, sf_dir)).select("series_id", "i", "origin", F.round("price", 6).alias("price"), "y")
 
 
+_TWO_PASS = f"""WITH {_RUNGS}, o AS (SELECT DISTINCT origin FROM rungs),
+b AS (SELECT origin, coalesce((SELECT avg(y) FROM rungs WHERE resolves <= o.origin), 0.5) AS p FROM o),
+z AS (SELECT *, sigma * sqrt(2.0::DOUBLE) AS wide, {quantile_sql("(1 - p)")} AS z FROM rungs JOIN b USING (origin)),
+m AS (SELECT *, threshold - threshold * exp(drift * 2 + z * wide) AS shift FROM z),
+en AS (SELECT series_id, max(x) AS last_x FROM pts GROUP BY ALL),
+sn AS (SELECT series_id, i, max(pts.x) AS seen_x, arg_max(pts.y, pts.x) AS seen_y FROM m JOIN pts USING (series_id) WHERE pts.x <= m.origin + 24 GROUP BY ALL)
+SELECT series_id, i::INT AS i, origin, origin + 24 AS due, p::FLOAT::DOUBLE AS price, (threshold * exp(drift * 2 - 1.2815515655446004::DOUBLE * wide) + shift)::FLOAT::DOUBLE AS low, (threshold * exp(drift * 2) + shift)::FLOAT::DOUBLE AS median, (threshold * exp(drift * 2 + 1.2815515655446004::DOUBLE * wide) + shift)::FLOAT::DOUBLE AS high,
+  y AS label, CASE WHEN last_x >= origin + 24 THEN seen_x END AS seen_x, CASE WHEN last_x >= origin + 24 THEN (seen_y >= threshold)::INT END AS outcome
+FROM m JOIN en USING (series_id) JOIN sn USING (series_id, i)"""
+
+
+@query("ladder_two_pass", _TWO_PASS)
+def ladder_two_pass(spark, sf_dir):
+    """Every rung priced by what had resolved by its origin (the base rate), issued with an interval that fits the price, and resolved by
+    the calendar, two years on: another date than the label's, two observations on."""
+    priced = ladder.issued(ladder.price(rungs(spark, sf_dir), min_train=1 << 40))
+    got = ladder.resolved(priced, domain.monthly(spark, sf_dir, fine=False), 24.0)
+    short = lambda c: F.col(c).cast("float").cast("double").alias(c)
+    return got.select("series_id", "i", "origin", "due", short("price"), short("low"), short("median"), short("high"), F.col("y").alias("label"), "seen_x", "outcome")
+
+
 @query("ladder_projection")
 def ladder_projection(spark, sf_dir):
     """Projection of each rung with honest tails (Monte Carlo, so no SQL)."""
@@ -96,15 +117,19 @@ def crossing_forecasts(spark, sf_dir):
     return got.filter("p > 0.05 AND p < 0.99")
 
 
-@query("refused_cards", """WITH c AS (SELECT o_orderkey AS card_id, CASE o_orderkey % 5 WHEN 0 THEN 'Will we buy $ACME?' WHEN 1 THEN 'Is the share price up?' ELSE 'Does supply hold?' END AS question, CASE WHEN o_orderkey % 9 = 0 THEN 'bad' ELSE 'good' END AS seed,
+@query("refused_cards", r"""WITH c AS (SELECT o_orderkey AS card_id, CASE o_orderkey % 5 WHEN 0 THEN 'Will Acme (ACME) revenue exceed 5?' WHEN 1 THEN 'Is the share price up?' WHEN 2 THEN 'Will (ACME) end the short supply?' WHEN 3 THEN 'Acme (AC) EPS over 1?' ELSE 'Does supply hold?' END AS question, CASE WHEN o_orderkey % 9 = 0 THEN 'bad' ELSE 'good' END AS seed,
   10.0::DOUBLE AS low, 20.0::DOUBLE AS high, 5.0::DOUBLE + o_orderkey % 21 AS threshold, (o_orderkey % 10) / 10.0::DOUBLE AS p, o_orderkey % 2 = 0 AS rising FROM orders),
-w AS (SELECT card_id, CASE WHEN question LIKE '%buy%' OR question LIKE '%share price%' THEN 'instrument' WHEN seed = 'bad' THEN 'seed failed its audit'
+w AS (SELECT card_id, CASE WHEN regexp_matches(question, '\([A-Z]{2,5}\)') AND regexp_matches(question, '(?i)\b(revenue|EPS|share price)\b') THEN 'instrument' WHEN seed = 'bad' THEN 'seed failed its audit'
   WHEN CASE WHEN rising THEN threshold < low - 0.200000001 ELSE threshold > high + 0.200000001 END AND p < 0.90::DOUBLE - 0.05::DOUBLE THEN 'probability against interval'
   WHEN CASE WHEN rising THEN threshold > high + 0.200000001 ELSE threshold < low - 0.200000001 END AND p > 0.10::DOUBLE + 0.05::DOUBLE THEN 'probability against interval' END AS why FROM c)
 SELECT card_id, why FROM w WHERE why IS NOT NULL""")
 def refused_cards(spark, sf_dir):
+    """Cards at one company's figures, on a failed series, or at odds with themselves."""
     i = F.col("o_orderkey")
-    q = F.when(i % 5 == 0, "Will we buy $ACME?").when(i % 5 == 1, "Is the share price up?").otherwise("Does supply hold?")
+    asked = {0: "Will Acme (ACME) revenue exceed 5?", 1: "Is the share price up?", 2: "Will (ACME) end the short supply?", 3: "Acme (AC) EPS over 1?"}
+    q = F.lit("Does supply hold?")
+    for k, text in asked.items():
+        q = F.when(i % 5 == k, text).otherwise(q)
     cards = domain.table(spark, sf_dir, "orders").select(i.alias("card_id"), q.alias("question"), F.when(i % 9 == 0, "bad").otherwise("good").alias("seed"), F.lit(10.0).alias("low"), F.lit(20.0).alias("high"), (F.lit(5.0) + i % 21).alias("threshold"), (i % 10 / F.lit(10.0)).alias("p"), (i % 2 == 0).alias("rising"))
     return ladder.refused_cards(cards, spark.createDataFrame([("bad", "fail")], "series_id string, status string"))
 

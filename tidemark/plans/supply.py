@@ -149,3 +149,14 @@ def graph_variance_budget(spark, sf_dir):
     n = nodes(spark, sf_dir).filter("kind <> 'consumable'")
     e = edges(spark, sf_dir).filter("rel = 'depends_on'")
     return graph.variance_budget(n, e, _needs(spark, sf_dir))
+
+
+@query("supply_cycles", """WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey % 4 = 0 UNION SELECT n_nationkey, n_nationkey FROM nation WHERE n_nationkey = 9),
+reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst)
+SELECT a.src AS node, max(a.dst) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src""")
+def supply_cycles(spark, sf_dir):
+    """Nations that supply each other round a circle, and the circles' names."""
+    n = domain.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"))
+    edge = lambda d, dst: d.select("src", dst.cast("int").alias("dst"))
+    e = edge(n, (F.col("src") * 7 + 3) % 25).unionByName(edge(n.filter("src % 4 = 0"), (F.col("src") + 5) % 25)).unionByName(edge(n.filter("src = 9"), F.col("src")))
+    return graph.strongly_connected(e, cut)
