@@ -45,7 +45,7 @@ def stream_sliding_net(spark, sf_dir):
 @query("stream_store", """WITH e AS (SELECT event_type || '|' || user_id % 20 AS series_id, dayofyear(ts) AS x, event_id % 4 AS d, ts, value FROM events),
 l AS (SELECT series_id, x, d, arg_max(value, (ts, value)) AS v FROM e GROUP BY ALL),
 r AS (SELECT *, lag(v) OVER (PARTITION BY series_id, x ORDER BY d) AS p FROM l)
-SELECT series_id, x::INT AS x, arg_max(v, d) AS value, 'u' || min(d) AS unit, count_if(v <> p) AS revisions FROM r GROUP BY series_id, x""")
+SELECT series_id, x::INT AS x, arg_max(v, d) AS value, 'u' || min(d) AS unit, count(*) FILTER (WHERE v <> p) AS revisions FROM r GROUP BY series_id, x""")
 def stream_store(spark, sf_dir):
     """The revision-logged store under a stream whose files land in four drops, taken in by a run after each: values as they stand, the unit
     of each key's first commit, and how often it was revised."""
