@@ -51,7 +51,7 @@ def stream_store(spark, sf_dir):
     of each key's first commit, and how often it was revised."""
     e = domain.table(spark, sf_dir, "events").select(F.concat_ws("|", "event_type", (F.col("user_id") % 20).cast("string")).alias("series_id"), F.dayofyear("ts").alias("x"), "value", F.lit(0.1).alias("uncertainty"), F.concat(F.lit("u"), (F.col("event_id") % 4).cast("string")).alias("unit"), F.col("ts").cast("timestamp").alias("created"))
     where = flows.root(spark)
-    kept = flows.Store(spark, f"{where}/store")
+    kept = flows.Store(spark, f"{where}/store", buckets=8)
     for d in range(4):
         e.filter(F.col("unit") == f"u{d}").write.mode("append").parquet(f"{where}/landed")
         latest, log = kept.run(flows.landing(spark, f"{where}/landed", flows.Store.SCHEMA))

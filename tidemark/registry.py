@@ -1,6 +1,6 @@
 """All registered queries of the library (without the training-data operators) and their SQL."""
 
-from .plans import audit, backtesting, boards, cases, catalog, collected, detection, discovery, markets, paper, people, rounds, rungs, scores, streams, supply  # noqa: F401
+from .plans import audit, backtesting, boards, cases, catalog, collected, detection, discovery, landings, markets, paper, people, rounds, rungs, scores, streams, supply  # noqa: F401
 
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,16 +48,22 @@ def yearly_hits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("phrase string, year int, total long").json(path).groupBy("phrase", "year").agg(F.max("total").alias("n"))
 
 
+def _called() -> Column:
+    """What a CSV file is called: by its folder's value where that is a partition (name=value), else by its own name."""
+    part = F.regexp_extract(F.input_file_name(), r"/[a-z]+=([^/]+)/[^/]+\.csv$", 1)
+    return F.when(part != "", part).otherwise(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+
+
 def quotes(spark: SparkSession, path: str) -> DataFrame:
-    """symbol, d, close from daily CSV (Date,Open,High,Low,Close,Volume), the symbol being the file's name; rows without a number
-    ('N/D') are dropped."""
+    """symbol, d, close from daily CSV (Date,Open,High,Low,Close,Volume), the symbol being the file's or its partition's name; rows
+    without a number ('N/D') are dropped."""
     raw = spark.read.option("header", True).schema("Date string, Open string, High string, Low string, Close string, Volume string").csv(path)
-    return raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("symbol"), F.col("Date").try_cast("date").alias("d"), F.col("Close").try_cast("double").alias("close")).filter("d IS NOT NULL AND close IS NOT NULL")
+    return raw.select(_called().alias("symbol"), F.col("Date").try_cast("date").alias("d"), F.col("Close").try_cast("double").alias("close")).filter("d IS NOT NULL AND close IS NOT NULL")
 
 
 def annual_averages(spark: SparkSession, path: str) -> DataFrame:
     """series, year, value: means of a two-column CSV (date, value; '.' where missing) by year."""
-    raw = spark.read.option("header", True).schema("d string, v string").csv(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("series"), F.col("d").try_cast("date").alias("d"), F.col("v").try_cast("double").alias("v"))
+    raw = spark.read.option("header", True).schema("d string, v string").csv(path).select(_called().alias("series"), F.col("d").try_cast("date").alias("d"), F.col("v").try_cast("double").alias("v"))
     return raw.filter("d IS NOT NULL AND v IS NOT NULL").groupBy("series", F.year("d").alias("year")).agg(F.avg("v").alias("value"))
 
 
@@ -105,3 +111,17 @@ def tickers(spark: SparkSession, path: str) -> DataFrame:
 def raw_documents(spark: SparkSession, path: str) -> DataFrame:
     """content_hash, path, length of landed files, whatever they hold."""
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("content_hash"), "path", "length")
+
+
+#: The common character references of plain text, and what they stand for.
+_MARKS = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "amp": "&"}
+
+
+def plain_text(page: Column) -> Column:
+    """What a page shows, without regard to what is its main text: scripts, styles and comments out, tags as spaces, the common
+    character references decoded, white space squeezed. Null for null."""
+    for gone in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<[^>]*>"):
+        page = F.regexp_replace(page, gone, " ")
+    for name, mark in _MARKS.items():
+        page = F.replace(page, F.lit(f"&{name};"), F.lit(mark))
+    return F.trim(F.regexp_replace(page, r"[ \t\n\x0B\f\r]+", " "))
