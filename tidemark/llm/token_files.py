@@ -57,24 +57,30 @@ class WordTokenizer:
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Remembers words with their ids, one word's after another's."""
+        k, m = len(self.known), len(words)
+        while k + m > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k : k + m], self.size[k : k + m] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.known.update(zip(words, range(k, k + m), strict=True))
+
     def _add(self, words: list[str]) -> None:
+        """Encodes words that are not known, each once in the list."""
         plain = [w for w in words if "<|" not in w]
-        found: list[tuple[str, np.ndarray]] = [(w, np.array(self.tok.encode(w, add_special_tokens=False).ids, np.int64)) for w in words if "<|" in w]
+        for w in words if len(plain) < len(words) else ():
+            if "<|" in w:
+                ids = np.array(self.tok.encode(w, add_special_tokens=False).ids, np.int64)
+                self._keep([w], ids, np.array([len(ids)]))
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
-            ids = np.array(self.tok.encode(f" {self.apart} ".join(some), add_special_tokens=False).ids, np.int64)
-            found += zip(some, np.split(ids, np.flatnonzero(ids == self.apart_id)), strict=True)
-        for w, ids in found:
-            ids = ids[1:] if len(ids) and ids[0] == self.apart_id and "<|" not in w else ids
-            k = len(self.known)
-            while k >= len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[w] = k
+            ids = np.array(self.tok.encode_batch_fast([f" {self.apart} ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            between = np.flatnonzero(ids == self.apart_id)
+            self._keep(some, ids[ids != self.apart_id], np.diff(between, prepend=-1, append=len(ids)) - 1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none) one after another, and the number of each text's."""
