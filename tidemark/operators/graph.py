@@ -253,3 +253,24 @@ def cross_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def ranked(p: DataFrame, by: list[str], top: int) -> DataFrame:
     """The top nodes of each group by pressure."""
     return p.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("pressure"), "node"))).filter(F.col("place") <= top)
+
+
+def verification(p: DataFrame, by: str, decisions: DataFrame) -> DataFrame:
+    """The question that must be answered before a chain's shock is propagated: by, prompt, options, recommendation, blocks, for every
+    chain of p (node, kind, pressure) with a bottleneck; not where the same prompt is open already (decisions: prompt, status).
+
+    The critical assumption is named: the bottleneck, and the piece of equipment under the greatest pressure, which one would think of
+    first."""
+    top = lambda c: F.max_by(F.when(c, F.col("node")), F.when(c, F.struct("pressure", "node")))
+    g = p.groupBy(by).agg(F.max_by("node", F.struct("pressure", "node")).alias("tight"), top(F.col("kind") == "equipment").alias("obvious"))
+    prompt = F.concat(F.lit("Verify "), by, F.lit(": is "), "tight", F.lit(" the binding constraint"), F.when(F.col("obvious").isNotNull() & (F.col("obvious") != F.col("tight")), F.concat(F.lit(", not "), "obvious")).otherwise(""), F.lit("?"))
+    asked = g.select(by, prompt.alias("prompt"), F.array(F.lit("confirm"), F.lit("adjust"), F.lit("reject")).alias("options"), F.lit("confirm").alias("recommendation"), F.concat(F.lit("propagation of "), by).alias("blocks"))
+    return asked.join(decisions.filter("status = 'open'").select("prompt"), "prompt", "left_anti")
+
+
+def recorded(decisions: DataFrame, answers: DataFrame) -> DataFrame:
+    """decisions with status, chosen and decided: the first answer to an open prompt closes it, later ones change nothing."""
+    first = answers.groupBy("prompt").agg(F.min_by(F.struct("choice", "at"), F.struct("at", "choice")).alias("said"))
+    d = decisions.join(first, "prompt", "left")
+    closes = (F.col("status") == "open") & F.col("said").isNotNull()
+    return d.withColumns({"chosen": F.when(closes, F.col("said.choice")).otherwise(F.col("chosen")), "decided": F.when(closes, F.col("said.at")).otherwise(F.col("decided")), "status": F.when(closes, "decided").otherwise(F.col("status"))}).drop("said")

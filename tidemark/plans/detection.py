@@ -122,3 +122,12 @@ def run_lengths_and_returns(spark, sf_dir):
     g = l.withColumn("rise", F.col("diff") > 0).withColumn("rn", F.row_number().over(w)).withColumn("island", F.col("rn") - F.row_number().over(Window.partitionBy("series_id", "rise").orderBy("x")))
     part = g.groupBy("series_id", "rise", "island").agg(F.count("*").alias("len"), F.min(F.col("y") / F.col("peak") - 1).alias("low"))
     return part.groupBy("series_id").agg(F.max(F.when(F.col("rise"), F.col("len"))).alias("longest_rise"), F.min("low").alias("deepest"), F.sum("len").alias("steps"))
+
+
+@query("control_is_silent", f"""WITH {MONTHLY.replace("pts AS (", "own AS (")}, pts AS (SELECT * FROM own UNION ALL SELECT 'control', 24000 + k, [{", ".join(f"{v}.0" for v in domain.CONTROL)}][k + 1]::DOUBLE FROM range({len(domain.CONTROL)}) t(k)), {detect_sql()}
+SELECT series_id = 'control' AS control, count(*) AS series, count(*) FILTER (WHERE fired) AS fired, round(max(CASE WHEN series_id = 'control' THEN surprise END), 6) AS surprise FROM det GROUP BY ALL""")
+def control_is_silent(spark, sf_dir):
+    """How many series fire, and that the flat control among them does not."""
+    got = series.detect(domain.with_control(domain.monthly(spark, sf_dir)), ["series_id"])
+    own = F.col("series_id") == "control"
+    return got.groupBy(own.alias("control")).agg(F.count("*").alias("series"), F.count_if("fired").alias("fired"), F.round(F.max(F.when(own, F.col("surprise"))), 6).alias("surprise"))

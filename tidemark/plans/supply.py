@@ -160,3 +160,26 @@ def supply_cycles(spark, sf_dir):
     edge = lambda d, dst: d.select("src", dst.cast("int").alias("dst"))
     e = edge(n, (F.col("src") * 7 + 3) % 25).unionByName(edge(n.filter("src % 4 = 0"), (F.col("src") + 5) % 25)).unionByName(edge(n.filter("src = 9"), F.col("src")))
     return graph.strongly_connected(e, cut)
+
+
+_ASKED = """top AS (SELECT chain, arg_max(node, struct_pack(p := pressure, n := node)) AS tight, arg_max(node, struct_pack(p := pressure, n := node)) FILTER (WHERE kind = 'equipment') AS obvious FROM pr GROUP BY chain),
+asked AS (SELECT chain, 'Verify ' || chain || ': is ' || tight || ' the binding constraint' || CASE WHEN obvious IS NOT NULL AND obvious <> tight THEN ', not ' || obvious ELSE '' END || '?' AS prompt FROM top)"""
+
+
+@query("verification_prompts", f"{_PRESSURE}, {_ASKED} SELECT chain, prompt, 'confirm,adjust,reject' AS options, 'confirm' AS recommendation, 'propagation of ' || chain AS blocks FROM asked WHERE chain <> 'ASIA'")
+def verification_prompts(spark, sf_dir):
+    """What must be verified before each chain's shock flows; one prompt is open already."""
+    p = cut(_pressures(spark, sf_dir))
+    none = spark.createDataFrame([], "prompt string, status string")
+    known = graph.verification(p.filter("chain = 'ASIA'"), "chain", none).select("prompt", F.lit("open").alias("status"))
+    got = graph.verification(p, "chain", known)
+    return got.select("chain", "prompt", F.array_join("options", ",").alias("options"), "recommendation", "blocks")
+
+
+@query("verification_record", f"{_PRESSURE}, {_ASKED} SELECT prompt, CASE WHEN chain = 'EUROPE' THEN 'open' ELSE 'decided' END AS status, CASE WHEN chain <> 'EUROPE' THEN 'confirm' END AS chosen FROM asked")
+def verification_record(spark, sf_dir):
+    """The record after answers: the first closes a prompt."""
+    asked = graph.verification(cut(_pressures(spark, sf_dir)), "chain", spark.createDataFrame([], "prompt string, status string"))
+    opened = cut(asked.select("chain", "prompt", F.lit("open").alias("status"), F.lit(None).cast("string").alias("chosen"), F.lit(None).cast("int").alias("decided")))
+    said = opened.filter("chain <> 'EUROPE'").select("prompt", F.explode(F.array(F.struct(F.lit("confirm").alias("choice"), F.lit(1).alias("at")), F.struct(F.lit("reject").alias("choice"), F.lit(2).alias("at")))).alias("a")).select("prompt", "a.*")
+    return graph.recorded(opened, said).select("prompt", "status", "chosen")

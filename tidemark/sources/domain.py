@@ -25,6 +25,17 @@ def monthly(spark: SparkSession, sf_dir: str, fine: bool = True) -> DataFrame:
     return items.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("series_id", "x").agg(F.sum("q").alias("y"))
 
 
+#: A yearly series from 2000 on that is flat but for noise; nothing may ever fire on it.
+CONTROL = (100, 103, 98, 101, 99, 102, 100, 97, 101, 100, 103, 98, 100, 99, 102, 100, 101, 98, 100, 103, 99, 100, 102, 98, 101)
+
+
+def with_control(points: DataFrame) -> DataFrame:
+    """points (series_id, x, y) and the control series beside them, its years as their steps 24000, 24001, ..."""
+    spark = points.sparkSession
+    flat = spark.createDataFrame([(float(k), float(v)) for k, v in enumerate(CONTROL)], "x double, y double").select(F.lit("control").alias("series_id"), (F.col("x") + 24000).alias("x"), "y")
+    return points.select("series_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).unionByName(flat)
+
+
 def quarterly(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
     """series_id, cohort (p_type), x (quarter: year * 4 + 0 to 3), y (quantity)."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_type").alias("series_id"), F.col("p_type").alias("cohort"))
