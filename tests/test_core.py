@@ -291,10 +291,45 @@ def test_panel_effects_by_least_squares(spark):
     assert max(abs(got[f] - (a[f] - a.mean())) for f in range(4)) < 1e-6
     same = {r.forecaster: r.alpha for r in panels.adjusted_effects(df, -F.pow(F.col("p") - F.col("y"), 2), flows.cut).collect()}
     assert max(abs(got[f] - same[f]) for f in got) < 1e-6  # the price drops out
-    c = panels.contribution(df).first()
+    c = panels.contribution(df, flows.cut).first()
     assert c.dll >= -1e-9 and abs(c.dll - c.dll_adj - 1 / (2 * c.n)) < 1e-12
 
 
+def test_contributions_by_newton_steps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for f in range(5):
+        for q in range(160):
+            ref = float(rng.uniform(0.05, 0.95))
+            rows.append((f"f{f}", q, 0, float(np.clip(ref + rng.normal(0, 0.05 * (f + 1)), 0.01, 0.99)), ref, int(rng.random() < ref) if f < 4 else 1))
+    df = spark.createDataFrame(rows, "forecaster string, question long, round int, p double, ref double, y int")
+    half = {r.question: r.h for r in df.select("question", F.pmod(F.xxhash64("question"), F.lit(2)).alias("h")).distinct().collect()}
+    logit = lambda v: np.log(v / (1 - v))
+
+    def fit(x, y):
+        b = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-(x @ b)))
+            b = b + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 2e-9 * np.eye(len(b)), x.T @ (y - p) - 2e-9 * b)
+        return b
+
+    gain = lambda x, y, b: float((y * (x @ b) - np.logaddexp(0, x @ b)).sum())
+    for r in panels.contribution(df.repartition(5), flows.cut).collect():
+        own = [t for t in rows if t[0] == r.forecaster]
+        y = np.array([t[5] for t in own], float)
+        if not 0 < y.sum() < len(y):
+            assert r.beta is None and r.dll is None and r.dll_cross is None
+            continue
+        zr, zf, h = logit(np.array([t[4] for t in own])), logit(np.array([t[3] for t in own])), np.array([half[t[1]] for t in own])
+        full, base = np.column_stack([np.ones(len(y)), zr, zf]), np.column_stack([np.ones(len(y)), zr])
+        b = fit(full, y)
+        dll = (gain(full, y, b) - gain(base, y, fit(base, y))) / len(y)
+        cross = [(gain(full[h != k], y[h != k], fit(full[h == k], y[h == k])) - gain(base[h != k], y[h != k], fit(base[h == k], y[h == k]))) / (h != k).sum() for k in (0, 1)]
+        assert np.allclose([r.n, r.beta, r.dll, r.dll_adj, r.dll_cross], [len(y), b[2], dll, dll - 1 / (2 * len(y)), np.mean(cross)], atol=1e-7)
+
+
 def test_tree_of_any_depth(spark):
     rows = [(0, None, 1.0)] + [(k, k - 1, 0.99) for k in range(1, 100)] + [(200, 201, 0.5), (201, 200, 0.5)]
     got = {r.card_id: (r.depth, r.marginal) for r in scoring.marginals(spark.createDataFrame(rows, "card_id int, parent_id int, p double"), flows.cut).collect()}

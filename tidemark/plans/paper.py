@@ -41,7 +41,7 @@ def adjusted_effects(spark, sf_dir):
 @query("contributions")
 def contributions(spark, sf_dir):
     """Encompassing weight and gain of log-likelihood beyond the price, raw, corrected and cross-fitted (Newton steps, so no SQL)."""
-    return panels.contribution(panel(spark, sf_dir))
+    return panels.contribution(panel(spark, sf_dir), cut)
 
 
 @query("split_half_reliability")
