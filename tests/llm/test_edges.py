@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import html_text, lang_id, learned_ann, mixing, packing, shared, toxicity
+from tidemark.llm import html_text, lang_id, learned_ann, matroska, mixing, packing, shared, toxicity
 
 SF = "/root/testdata/sf0.001"
 #: A table's own columns by the names that operators use.
@@ -134,3 +134,44 @@ def test_second_pass_by_a_naive_walk():
                         near[side] = j
             best = [(abs(j - k) - (0.5 if b.heading and side else 0), -done[j].label) for side, j in near.items()]
             assert b.final == (-min(best)[1] if best else 1 if b.region else -1)
+
+
+def test_media_by_plain_arithmetic(spark):
+    import hashlib
+    import zlib
+
+    texts = [(1, None), (2, ""), (3, "a" * 63), (4, "a" * 64), (5, "héé " * 5000), (6, "a" * 64), (None, "x")]
+    files = matroska.text_media(spark.createDataFrame(texts, "doc_id long, text string").withColumn("data", F.lit(1)))
+    data = {r.doc_id: r.data for r in files.collect()}
+    for r in matroska.describe(files).collect():
+        raw = (dict(texts)[r.doc_id] or "").encode()
+        raw += bytes(-len(raw) % 64 or (0 if raw else 64))
+        x = [b - 128 for b in raw]
+        modes = [raw.count(v) for v in range(256)]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(data[r.doc_id]), hashlib.sha256(data[r.doc_id]).hexdigest())
+        crossings = sum((a < 0) != (b < 0) for a, b in itertools.pairwise(x))
+        assert r.feature == f"sum={sum(x)};energy={sum(v * v for v in x)};crossings={crossings};mode={modes.index(max(modes))}"
+    assert data[4] == data[6]
+    odd = spark.createDataFrame([(1, 5, None), (2, 5, bytearray(b"no such file"))], "doc_id long, n_bytes long, data binary")
+    got = {r.doc_id: r for r in matroska.describe(odd).collect()}
+    assert got[1].payload_sha256 is None and got[1].media_bytes is None and got[2].feature is None and got[2].media_bytes == 12
+    assert matroska.describe(odd.limit(0)).count() == 0
+
+
+def test_lattices_by_enumeration():
+    """The decoder's reading of small lattices costs what the cheapest of all paths costs."""
+    rng = np.random.default_rng(3)
+    costs = toxicity.char_costs(rng.integers(0, 50, toxicity.LETTERS**3).astype(float))
+    kind = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26
+    for token, end in [("1d10t", np.inf), ("h3ll0", np.inf), ("s.t.u", np.inf), ("coool", np.inf), ("f u n", 2.0), ("a$$", 4.0), ("@ b c", np.inf), ("x+y!", np.inf)]:
+        best = {}
+        for path in itertools.product(*toxicity._readings(token, end)):
+            total, a, b = sum(extra for _, extra in path), 26, 26
+            for letter, _ in path:
+                if letter:
+                    total, a, b = total + costs[a, b, kind(letter)], b, kind(letter)
+            total += costs[a, b, 26]
+            text = "".join(letter for letter, _ in path)
+            best[text] = min(total, best.get(text, np.inf))
+        assert abs(best[toxicity.restore(token, costs, end)] - min(best.values())) < 1e-9

@@ -272,7 +272,8 @@ def feature(samples: bytes) -> str:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, data: every whole text stored as a PCM file."""
+    """doc_id, n_bytes, data: every whole text stored as a PCM file. A null or empty text has 64 bytes of silence (n_bytes 0); repeated
+    rows are repeated, equal texts have equal files, a null id stays null. No rows, no files; other columns are ignored."""
 
     def run(batches):
         for batch in batches:
@@ -284,7 +285,8 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, data -> what is read back through the packets' byte ranges, and its feature."""
+    """doc_id, n_bytes, data -> what is read back through the packets' byte ranges, and its feature; a row for each row. Null data and
+    files that are malformed have null in all that is read back (of the latter the stored form's size and hash are known)."""
 
     def run(batches):
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets"]
@@ -292,7 +294,14 @@ def describe(media: DataFrame) -> DataFrame:
             rows = []
             for data in batch.column(2):
                 data = data.as_py()
-                m = parse(data)
+                if data is None:
+                    rows.append((None,) * 7)
+                    continue
+                try:
+                    m = parse(data)
+                except (ValueError, IndexError):
+                    rows.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, None))
+                    continue
                 got = b"".join([data[o : o + n] for o, n in zip(m.offset, m.size, strict=True)])
                 rows.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(got), len(m.size)))
             cols = list(zip(*rows, strict=True)) or [()] * 7

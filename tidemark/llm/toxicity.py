@@ -348,14 +348,16 @@ def _scorer(spark, model: ToxicModel):
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. Null and empty texts hold no term and get the score of no evidence;
-    repeated rows are repeated; other columns are ignored."""
+    """doc_id, held_out, score, predicted for every row. The evidence of a text is that of its strongest different words: the first whole, the
+    second half, the third a quarter (DECAY), so that length alone raises no score. Null and empty texts hold no term and get the
+    score of no evidence; repeated rows are repeated; other columns are ignored. No rows, no scores."""
     scored = docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), _scorer(docs.sparkSession, model)(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that score below one half, columns unchanged."""
+    """The rows that score below one half, columns unchanged. Null and empty texts stay, repeated rows stay as they are; without labelled
+    rows, or labels of one kind only, nothing tells toxic texts apart. No rows give none."""
     model = fit(docs, labels)
     found = unused(docs, "found")
     return docs.withColumn(found, _scorer(docs.sparkSession, model)(F.col("text"))).filter(F.col(found) < 0.5).drop(found)
