@@ -156,7 +156,8 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG, held_out=None) -> l
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))  # uniform in [0, 1)
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     # A language's share of places that holds about twice the rows wanted, so that no language gathers in one task.
-    near = known.select("doc_id", "lang", place.alias("place")).join(counts, "lang").filter(F.col("place") * F.col("count") < 2 * per_lang + 100)
+    sizes = F.broadcast(counts) if langs <= FIT_ROWS else counts  # a row for each language, counted
+    near = known.select("doc_id", "lang", place.alias("place")).join(sizes, "lang").filter(F.col("place") * F.col("count") < 2 * per_lang + 100)
     chosen = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("doc_id").distinct().limit(langs * per_lang)
     # The bound on the broadcast side is FIT_ROWS ids, or one for each language.
     most = max(256, FIT_CHARS // (langs * per_lang))
