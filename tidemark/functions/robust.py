@@ -111,6 +111,33 @@ def median_slope(x: np.ndarray, y: np.ndarray, at_once: int = AT_ONCE, seed: int
     return float((s[middle[0] - below - 1] + s[middle[1] - below - 1]) / 2)
 
 
+def median_slopes(x: np.ndarray, y: np.ndarray, size: np.ndarray, at_once: int = AT_ONCE) -> np.ndarray:
+    """median_slope of many series, one after another in x and y, each of `size` points. Those of one length are taken together, as many
+    as have `at_once` slopes."""
+    first = np.cumsum(size) - size
+    out = np.zeros(len(size))
+    for n in np.unique(size[size > 1]).tolist():
+        rows, pairs = np.flatnonzero(size == n), n * (n - 1) // 2
+        if pairs > at_once:
+            for r in rows.tolist():
+                out[r] = median_slope(x[first[r] : first[r] + n], y[first[r] : first[r] + n], at_once)
+            continue
+        i, j = np.triu_indices(n, 1)
+        for k in range(0, len(rows), max(1, at_once // pairs)):
+            some = rows[k : k + max(1, at_once // pairs)]
+            at = first[some][:, None] + np.arange(n)
+            xs, ys = x[at], y[at]
+            dx, dy = xs[:, j] - xs[:, i], ys[:, j] - ys[:, i]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = np.where(dx != 0, dy / dx, np.inf)
+            m = (dx != 0).sum(1)
+            s.sort(axis=1)  # pairs of one x come last
+            own, some_left = np.arange(len(some)), m > 0
+            low, high = np.maximum((m + 1) // 2 - 1, 0), np.minimum(m // 2, pairs - 1)
+            out[some] = np.where(some_left, (s[own, low] + s[own, high]) / 2, 0.0)
+    return out
+
+
 def _median(v: np.ndarray) -> float:
     s = np.sort(v)
     return float((s[(len(s) + 1) // 2 - 1] + s[len(s) // 2]) / 2)

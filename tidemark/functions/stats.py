@@ -1,18 +1,17 @@
-"""Statistical expressions: all but long_slope stay in the JVM."""
+"""Statistical expressions: all but median_slope_of stay in the JVM."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .robust import median_slope
-
-#: Points up to which all pairwise slopes of a series are held at once, as an array in the JVM (131,000 slopes).
-LONG = 512
+from .robust import median_slopes
 
 
 def let(value: Column, body) -> Column:
@@ -41,15 +40,17 @@ def theil_sen_slope(points: Column) -> Column:
     return let(slopes, lambda s: F.coalesce(median_of(s), F.lit(0.0)))
 
 
-def long_slope(points: Column) -> Column:
-    """theil_sen_slope of series of any length: those of over LONG points go to Python as Arrow arrays, where the middle slope is selected
-    by counting; shorter ones stay in the JVM."""
+@F.arrow_udf(DoubleType())
+def _slopes(points: pa.Array) -> pa.Array:
+    x, y = (points.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    size = pc.list_value_length(points).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array(median_slopes(x, y, size), pa.float64())
 
-    def run(series: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else median_slope(np.array([q["x"] for q in p], float), np.array([q["y"] for q in p], float)) for p in series], dtype="float64")
 
-    n = F.size(points)
-    return F.when(n <= LONG, theil_sen_slope(points)).otherwise(F.pandas_udf(run, "double")(F.when(n > LONG, points)))
+def median_slope_of(points: Column) -> Column:
+    """theil_sen_slope of series of any length. Arrays go to Python as Arrow columns: no row holds the n^2 / 2 slopes of its series in the
+    JVM, series of one length are computed together, and the middle slope of long ones is selected by counting."""
+    return _slopes(points)
 
 
 def mad_sigma(values: Column) -> Column:

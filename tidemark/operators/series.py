@@ -1,12 +1,12 @@
 """Detectors over series of points. A series is gathered once by its key, and every statistic is an expression over its array:
-one shuffle, no join; only slopes of series of over 512 points are selected in Python."""
+one shuffle, no join; only the middle of a series' slopes is found in Python."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import long_slope, longest_run, mad_sigma, mean_of, median_of, pstdev_of, settled, theil_sen_slope
+from ..functions.stats import median_slope_of, longest_run, mad_sigma, mean_of, median_of, pstdev_of, settled, theil_sen_slope
 
 MIN_POINTS, HOLDOUT, LOG_FLOOR, CAP = 8, 0.30, 0.5, 1e6
 
@@ -22,7 +22,7 @@ def _residuals(points: Column, slope: Column, intercept: Column) -> Column:
 
 def fit(df: DataFrame, points: str, prefix: str = "") -> DataFrame:
     """Adds the robust line of an array of points, however many: slope, intercept."""
-    df = df.withColumn(f"{prefix}slope", long_slope(F.col(points)))
+    df = df.withColumn(f"{prefix}slope", median_slope_of(F.col(points)))
     return df.withColumn(f"{prefix}intercept", median_of(F.transform(points, lambda p: p["y"] - F.col(f"{prefix}slope") * p["x"])))
 
 
