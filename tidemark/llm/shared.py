@@ -18,6 +18,8 @@ _PINV = pow(_P, -1, 1 << 64)
 SLICE_BYTES = 1 << 20
 #: Texts sent to Python in one batch; rows of ids in a file, where their number is known.
 BATCH_ROWS, FILE_ROWS = 500, 8192
+#: Intermediate tables need no marker of success: they are read only where the writing returned.
+PLAIN = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 #: The folder of each materialised frame.
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -39,7 +41,7 @@ def materialize(df: DataFrame, rows: int | None = None, each: int = FILE_ROWS) -
     there are at most, where that is known; one task writes `each` of them (there are no more tasks than the frame has)."""
     path = shared_dir(df.sparkSession)
     small = df if rows is None else df.coalesce(rows // each + 1)
-    small.write.parquet(path)
+    small.write.options(**PLAIN).parquet(path)
     got = df.sparkSession.read.schema(df.schema).parquet(path)
     _FOLDERS[got] = path
     return got
@@ -51,7 +53,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = _FOLDERS.pop(df, None)
         if path:
-            df.sparkSession.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
+            df.sparkSession.createDataFrame([], "gone int").coalesce(1).write.options(**PLAIN).mode("overwrite").parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
