@@ -19,8 +19,9 @@ from .shared import bounded_batches, fold, mix, unused
 #: Hash buckets, embedding width, n-gram lengths.
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 #: Labelled documents fitted on, at most, for each language (the least hashes of their ids) and in all, and their characters in all:
-#: each brings its equal share of them at most, from its beginning. Many languages get fewer documents each; none is left out.
-PER_LANG, FIT_ROWS, FIT_CHARS = 1200, 240_000, 1 << 25
+#: each brings its equal share of them at most (or LEAST), from its beginning. Many languages get fewer documents each; none is left
+#: out. The driver holds about 24 bytes for each of these characters while it fits.
+PER_LANG, FIT_ROWS, FIT_CHARS, LEAST = 1200, 24_000, 1 << 22, 256
 #: Characters hashed at a time.
 SLICE = 1 << 17
 
@@ -160,7 +161,7 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG, held_out=None) -> l
     near = known.select("doc_id", "lang", place.alias("place")).join(sizes, "lang").filter(F.col("place") * F.col("count") < 2 * per_lang + 100)
     chosen = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("doc_id").distinct().limit(langs * per_lang)
     # The bound on the broadcast side is FIT_ROWS ids, or one for each language.
-    most = max(256, FIT_CHARS // (langs * per_lang))
+    most = max(LEAST, FIT_CHARS // (langs * per_lang))
     got = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, most).alias("text"), "lang").dropDuplicates(["doc_id"])
     return [(r.text, r.lang) for r in sorted(got.toLocalIterator(), key=lambda r: r.doc_id)]
 
