@@ -130,6 +130,32 @@ def test_harvest_goes_on_after_a_kill(spark, tmp_path):
     assert reader.latestOffset()["a"] == {"page": 10, "token": "", "done": True} and reader.latestOffset()["b"]["page"] == 13
 
 
+def test_harvest_of_many_pages_takes_few_files_batches_and_tasks(tmp_path):
+    def page(n, last):
+        token = "" if n == 1 else f"t{n}"
+        after = "" if n == last else f"t{n + 1}"
+        rows = "".join(f"<record><header><datestamp>2020-01-01</datestamp></header><metadata><id>{n}-{k}</id></metadata></record>" for k in range(2))
+        return f'<?xml version="1.0"?>\n<OAI-PMH><request resumptionToken="{token}"/>\n<ListRecords>{rows}</ListRecords><resumptionToken>{after}</resumptionToken></OAI-PMH>\n'
+
+    # Folders of 300, 1 and 299 answers; the last one was broken off.
+    for first, end in ((1, 301), (301, 302), (302, 601)):
+        (tmp_path / f"set=a/page={first}").mkdir(parents=True)
+        (tmp_path / f"set=a/page={first}/x").write_text("".join(page(n, 601) for n in range(first, end)))
+    reader, at, batches, got = harvest.HarvestReader(str(tmp_path), 10), {}, 0, []
+    while (new := reader.latestOffset()) != at:
+        parts = reader.partitions(at, new)
+        assert all(p.last - p.first < harvest.TASK for p in parts)
+        got += [(r[1], r[2]) for p in parts for r in reader.read(p)]
+        at, batches = new, batches + 1
+    assert batches <= 6 and got == [(n, f"{n}-{k}") for n in range(1, 601) for k in range(2)]
+    assert at["a"] == {"page": 600, "token": "t601", "done": False}
+    (tmp_path / "set=a/page=601").mkdir()
+    (tmp_path / "set=a/page=601/x").write_text(page(601, 601))
+    again = harvest.HarvestReader(str(tmp_path), 10)
+    again.partitions({}, at)  # after a restart
+    assert again.latestOffset()["a"] == {"page": 601, "token": "", "done": True}
+
+
 def test_hash_tree(spark):
     rows = spark.range(300).select("id", (F.col("id") * 3).alias("v"))
     node = lambda d: merkle.tree(d, "id", flows.cut)

@@ -78,9 +78,9 @@ _HARVEST = """SELECT coalesce(source, 'none') AS "set", doc_id::VARCHAR AS exter
   nullif(trim(regexp_replace(substr(text, 1, 200), '[^A-Za-z]+', ' ', 'g')), '') AS title, lang AS categories FROM documents WHERE doc_id % 17 <> 0"""
 
 
-def landed_pages(docs, path: str, size: int = 100) -> None:
-    """Writes documents as the answers of a harvest: a set for each source, pages of ids; the set that comes second lost its token after two
-    pages at most and was begun anew."""
+def landed_pages(docs, path: str, size: int = 100, folder: int = 100) -> None:
+    """Writes documents as the answers of a harvest: a set for each source, pages of ids, `folder` pages in a file; the set that comes second
+    lost its token after two pages at most and was begun anew."""
     d = docs.select(F.coalesce("source", F.lit("none")).alias("set"), "doc_id", (F.col("doc_id") / size).cast("long").alias("cell"), "lang", F.trim(F.regexp_replace(F.substring("text", 1, 200), _TITLE, " ")).alias("title"))
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
     status = F.when(F.col("doc_id") % 17 == 0, ' status="deleted"').otherwise("")
@@ -99,7 +99,10 @@ def landed_pages(docs, path: str, size: int = 100) -> None:
     plain = pages.join(again.select("set").distinct(), "set", "left_anti").unionByName(again.filter(k <= lost))
     failed = again.filter("k = 1")
     every = answer(plain, k, token("-", k), body, after("-")).unionByName(answer(failed, lost + 1, token("-", lost + 1), F.lit('<error code="badResumptionToken"/>'), F.lit("")))
-    every.unionByName(answer(again, lost + 1 + k, token("-again-", k), body, after("-again-"))).write.partitionBy("set", "page").text(path)
+    every = every.unionByName(answer(again, lost + 1 + k, token("-again-", k), body, after("-again-")))
+    first = F.col("page") - (F.col("page") - 1) % folder
+    files = every.groupBy("set", first.alias("first")).agg(F.array_sort(F.collect_list(F.struct("page", "value"))).alias("rows"))
+    files.select("set", F.col("first").alias("page"), F.array_join(F.col("rows")["value"], "\n").alias("value")).write.partitionBy("set", "page").text(path)
 
 
 @query("harvested_papers", _HARVEST)
