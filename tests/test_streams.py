@@ -173,3 +173,24 @@ def test_hash_tree(spark):
     assert merkle.differing(a, node(rows.repartition(3)), flows.cut).isEmpty()
     empty = merkle.seal(node(rows.limit(0))).first()
     assert empty.n == 0 and merkle.differing(a, node(rows.limit(0)), flows.cut).count() > 200
+
+
+def test_proofs_move_no_siblings_of_each_row(spark):
+    rows = spark.range(2000).select("id", (F.col("id") % 7).alias("v"))
+    nodes = merkle.tree(rows, "id", flows.cut, 2)
+    proof = merkle.proofs(rows, "id", nodes, rows.filter("id % 100 = 3"), 2)
+    # Nothing is grouped or joined by what a row has got already, which is up to 256 hashes a level.
+    plan = proof._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "path" in line]
+    got = {r.id: r for r in proof.collect()}
+    assert set(got) == {i for i in range(2000) if i % 100 == 3}
+    hashes, top = {}, {r.prefix: r.hash for r in nodes.filter("level = 1").collect()}
+    for r in merkle.hashed(rows, "id").collect():
+        hashes.setdefault(r.place[:4], []).append((r.place, r.hash))
+    below = {r.prefix: r.hash for r in nodes.filter("level = 2").collect()}
+    for r in got.values():
+        leaf = sorted(hashes[r.place[:4]])
+        assert r.path[0].others == [h for p, h in leaf if p != r.place] and r.path[0].before == [p for p, _ in leaf].index(r.place)
+        for step, (start, table) in zip(r.path[1:], ((2, below), (0, top))):
+            own, near = r.place[start : start + 2], {p[start:]: h for p, h in table.items() if p[:start] == r.place[:start]}
+            assert step.others == [b + near[b] for b in sorted(near) if b != own] and step.before == sorted(near).index(own)

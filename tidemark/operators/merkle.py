@@ -52,21 +52,30 @@ def proofs(rows: DataFrame, key: str, nodes: DataFrame, asked: DataFrame, depth:
     """For rows whose key `asked` holds: key, place, hash, path: an array from the leaf to the root, each step the sorted entries that are
     hashed there (in the leaf the row hashes, above bytes and hashes) with the row's or its node's own left out, and where it belongs."""
     named = rows.join(asked.select(key).distinct(), key, "left_semi")
-    mine = named.select(F.col(key), F.sha2(F.col(key).cast("string"), 256).alias("place"), content_hash(*rows.columns).alias("hash"))
-    beside = hashed(rows, key).select(F.substring("place", 1, 2 * depth).alias("prefix"), F.col("place").alias("at"), F.col("hash").alias("entry"))
-    found = mine.withColumn("prefix", F.substring("place", 1, 2 * depth)).join(beside, "prefix").groupBy(key, "place", "hash").agg(
-        F.array_sort(F.collect_list(F.struct("at", "entry"))).alias("all")
-    )
-    step = F.struct(F.transform(F.filter("all", lambda r: r["at"] != F.col("place")), lambda r: r["entry"]).alias("others"), F.size(F.filter("all", lambda r: r["at"] < F.col("place"))).alias("before"))
-    path = found.select(key, "place", "hash", F.array(step).alias("path"))
+    mine = named.select(F.col(key), F.sha2(F.col(key).cast("string"), 256).alias("place"), content_hash(*rows.columns).alias("hash")).withColumn("prefix", F.substring("place", 1, 2 * depth))
+    beside = hashed(rows, key).withColumn("prefix", F.substring("place", 1, 2 * depth)).join(mine.select("prefix").distinct(), "prefix", "left_semi")
+    # A node's entries are gathered once, for all rows below it. The widest come last, and what a row has got is not moved any more.
+    path = mine.join(_entries(beside, "prefix", F.col("place"), F.col("hash"), "leaf"), "prefix").withColumn("own_leaf", F.col("place"))
+    steps = ["leaf"]
     for k in range(depth - 1, -1, -1):
-        near = nodes.filter(F.col("level") == k + 1).select(F.substring("prefix", 1, 2 * k).alias("above"), F.substring("prefix", 2 * k + 1, 2).alias("byte"), F.col("hash").alias("entry"))
-        here = path.withColumn("above", F.substring("place", 1, 2 * k)).withColumn("mine", F.substring("place", 2 * k + 1, 2)).join(near, "above")
-        here = here.groupBy(key, "place", "hash", "path", "mine").agg(F.array_sort(F.collect_list(F.struct("byte", "entry"))).alias("all"))
-        others = F.transform(F.filter("all", lambda r: r["byte"] != F.col("mine")), lambda r: F.concat(r["byte"], r["entry"]))
-        step = F.struct(others.alias("others"), F.size(F.filter("all", lambda r: r["byte"] < F.col("mine"))).alias("before"))
-        path = here.select(key, "place", "hash", F.concat("path", F.array(step)).alias("path"))
-    return path
+        byte, name = F.substring("prefix", 2 * k + 1, 2), f"level{k}"
+        near = _entries(nodes.filter(F.col("level") == k + 1), F.substring("prefix", 1, 2 * k), byte, F.concat(byte, "hash"), name, f"above{k}")
+        path = path.withColumns({f"above{k}": F.substring("place", 1, 2 * k), f"own_{name}": F.substring("place", 2 * k + 1, 2)})
+        path = path.join(F.broadcast(near) if k < 2 else near, f"above{k}")  # 256 nodes at most, of 256 entries
+        steps.append(name)
+
+    def step(name: str) -> Column:
+        entries, before = F.col(name)["entries"], F.array_position(F.col(name)["marks"], F.col(f"own_{name}")).cast("int") - 1
+        others = F.concat(F.slice(entries, F.lit(1), before), F.slice(entries, before + 2, F.size(entries) - before - 1))
+        return F.struct(others.alias("others"), before.alias("before"))
+
+    return path.select(key, "place", "hash", F.array(*map(step, steps)).alias("path"))
+
+
+def _entries(rows: DataFrame, at: Column | str, mark: Column, entry: Column, name: str, called: str = "prefix") -> DataFrame:
+    """A row for each node: its children's marks and entries, in the order of the marks."""
+    g = rows.select((F.col(at) if isinstance(at, str) else at).alias(called), F.struct(mark.alias("mark"), entry.alias("entry")).alias("r")).groupBy(called).agg(F.array_sort(F.collect_list("r")).alias("all"))
+    return g.select(called, F.struct(F.col("all")["mark"].alias("marks"), F.col("all")["entry"].alias("entries")).alias(name))
 
 
 def proven(proof: DataFrame, depth: int = DEPTH) -> Column:
