@@ -116,11 +116,12 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z]+://([^/?#]+)", 1), r"^www\.", "")
 
 
-def saturation(hits: DataFrame, authority: Column, year: Column) -> DataFrame:
+def saturation(hits: DataFrame, authority: Column, year: Column, dated: Column | None = None) -> DataFrame:
     """hits (topic, url, text) -> topic, n_hits, n_outlets, n_recent, saturation, tier, verdict. Equal urls count once; outlets are
-    distinct hosts of authority; a hit is recent if it names a year from two before `year` on. No hits: no row (unmeasured)."""
+    distinct hosts of authority; a hit is recent if it names a year from two before `year` on, in its url or text unless `dated` says
+    where (urls that end in numbers seem to name years). No hits: no row (unmeasured)."""
     h = hits.filter("url IS NOT NULL AND url <> ''").dropDuplicates(["topic", "url"])
-    years = F.transform(F.regexp_extract_all(F.concat_ws(" ", "url", "text"), F.lit(r"\b(20[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int"))
+    years = F.transform(F.regexp_extract_all(F.concat_ws(" ", "url", "text") if dated is None else dated, F.lit(r"\b(20[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int"))
     g = h.groupBy("topic").agg(F.count("*").alias("n_hits"), F.count_distinct(F.when(authority, host(F.col("url")))).alias("n_outlets"), F.count_if(F.array_max(years) >= year - YEARS).alias("n_recent"))
     s = F.bround(F.lit(OUTLETS) * F.least(F.lit(1.0), F.col("n_outlets") / ENOUGH) + F.lit(RECENT) * F.col("n_recent") / F.col("n_hits"), 3)
     g = g.withColumn("saturation", s)
