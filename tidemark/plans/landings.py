@@ -9,6 +9,15 @@ from ..streaming.flows import root
 from .catalog import query
 
 
+#: Rows of a landed document: more rows are more documents, so none grows with the table.
+ROWS = 5000
+
+
+def _nth(key: str):
+    """The document that a row with this running number lands in."""
+    return F.floor(F.col(key) / ROWS).cast("string").alias("name")
+
+
 def _documents(df, path: str) -> str:
     """(name, value) rows -> a file for each name below the path."""
     df.select("name", "value").repartition("name").write.partitionBy("name").text(path)
@@ -89,7 +98,7 @@ def landed_papers(spark, sf_dir):
     a = tag("authors", F.concat(tag("author", F.concat(tag("keyname", F.concat(F.lit("B"), (i % 5).cast("string"))), tag("forenames", F.lit("A")))), tag("author", tag("keyname", F.lit("C")))))
     body = F.concat(tag("id", i.cast("string")), tag("created", day(0)), F.when(i % 3 == 0, tag("updated", day(30))).otherwise(""), tag("title", F.concat(F.lit("On    "), "lang", F.lit("  "), i.cast("string"))), tag("abstract", F.lit("x")), tag("categories", F.concat("lang", F.lit(" x."), (i % 7).cast("string"))), a)
     record = F.concat(F.lit("<record>"), head, F.when(i % 11 == 0, "").otherwise(tag("metadata", tag("arXiv", body))), F.lit("</record>"))
-    d = domain.table(spark, sf_dir, "documents").select((i % 20).cast("string").alias("name"), record.alias("r"))
+    d = domain.table(spark, sf_dir, "documents").select(_nth("doc_id"), record.alias("r"))
     pages = d.groupBy("name").agg(F.concat(F.lit("<records>"), F.array_join(F.collect_list("r"), ""), F.lit("</records>")).alias("value"))
     return landed.papers_xml(spark, _documents(pages, root(spark))).drop("abstract")
 
@@ -103,7 +112,7 @@ def landed_rounds(spark, sf_dir):
     ident = F.when(combined, F.to_json(F.array(one, two))).otherwise(F.concat(F.lit('"'), one, F.lit('"')))
     row = F.concat(F.lit('{"id":'), ident, F.lit(',"source":"'), "o_orderpriority", F.lit('","direction":'), F.when(combined, "[1,-1]").otherwise("null"), F.lit(',"resolution_date":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('","resolved_to":'), (i % 2).cast("string"), F.lit(',"resolved":'), F.when(i % 5 == 0, "false").otherwise("true"), F.lit("}"))
     asked = F.concat(F.lit('{"id":'), ident, F.lit(',"source":"'), "o_orderpriority", F.lit('","question":"?","freeze_datetime_value":"0.5","resolution_dates":["'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"]}'))
-    doc = lambda kind, c: o.select((i % 8).cast("string").alias("name"), c.alias("r")).groupBy("name").agg(F.concat(F.lit(f'{{"{kind}":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
+    doc = lambda kind, c: o.select(_nth("o_orderkey"), c.alias("r")).groupBy("name").agg(F.concat(F.lit(f'{{"{kind}":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
     q, r = landed.rounds(spark, _documents(doc("questions", asked), root(spark)), _documents(doc("resolutions", row), root(spark)))
     got = r.join(q.select("ids", "source").distinct(), ["ids", "source"], "left_semi")
     return got.select(F.array_join("ids", ",").alias("ids"), "source", "outcome", "resolves", F.array_join(F.transform("direction", lambda d: d.cast("string")), ",").alias("direction"))
@@ -120,7 +129,7 @@ def landed_holdout(spark, sf_dir):
 @query("landed_tickers", "SELECT upper('t' || s_suppkey % 50) AS ticker, min(1000 + s_suppkey) AS cik FROM supplier GROUP BY ALL")
 def landed_tickers(spark, sf_dir):
     """The register of filers: upper-case tickers, the least number of each."""
-    s = domain.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4).cast("string").alias("name"), F.format_string('"%d": {"cik_str": %d, "ticker": "t%d", "title": "x"}', "s_suppkey", F.col("s_suppkey") + 1000, F.col("s_suppkey") % 50).alias("r"))
+    s = domain.table(spark, sf_dir, "supplier").select(_nth("s_suppkey"), F.format_string('"%d": {"cik_str": %d, "ticker": "t%d", "title": "x"}', "s_suppkey", F.col("s_suppkey") + 1000, F.col("s_suppkey") % 50).alias("r"))
     docs = s.groupBy("name").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("r"), ", "), F.lit("}")).alias("value"))
     return landed.tickers(spark, _documents(docs, root(spark))).groupBy("ticker").agg(F.min("cik").alias("cik"))
 

@@ -87,12 +87,15 @@ def indicator(spark: SparkSession, path: str) -> DataFrame:
 
 def rounds(spark: SparkSession, questions: str, resolutions: str) -> tuple[DataFrame, DataFrame]:
     """(questions, resolutions) of a round's two JSON documents. An id is a text or, for combinations, a list: ids holds the list,
-    direction the list of signs (null for single questions)."""
+    direction the list of signs (null for single questions).
+
+    Documents are read once, as texts: the JSON reader opens a file again, from its beginning, for each list that is read as a text."""
+    rows = lambda path, kind, fields: spark.read.text(path, wholetext=True).select(F.inline(F.from_json("value", f"struct<{kind}:array<struct<{fields}>>>")[kind]))
     as_list = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
-    q = spark.read.schema("questions array<struct<id:string,source:string,question:string,freeze_datetime_value:string,resolution_dates:string>>").json(questions, multiLine=True).select(F.inline("questions"))
+    q = rows(questions, "questions", "id:string,source:string,question:string,freeze_datetime_value:string,resolution_dates:string")
     dates = F.when(F.col("resolution_dates").startswith("["), F.from_json("resolution_dates", "array<string>"))
     q = q.select(as_list(F.col("id")).alias("ids"), "source", F.col("question").alias("text"), F.col("freeze_datetime_value").try_cast("double").alias("frozen"), dates.alias("resolution_dates"))
-    r = spark.read.schema("resolutions array<struct<id:string,source:string,direction:string,resolution_date:string,resolved_to:double,resolved:boolean>>").json(resolutions, multiLine=True).select(F.inline("resolutions"))
+    r = rows(resolutions, "resolutions", "id:string,source:string,direction:string,resolution_date:string,resolved_to:double,resolved:boolean")
     r = r.filter("resolved").select(as_list(F.col("id")).alias("ids"), "source", F.from_json("direction", "array<int>").alias("direction"), F.col("resolution_date").alias("resolves"), F.col("resolved_to").alias("outcome"))
     return q, r
 
