@@ -18,6 +18,8 @@ STOP = (
 ).split()
 #: Smoothing of shares, greatest recent share of an emerging phrase, phrases reported.
 EPS, COMMON, TOP = 1e-5, 0.03, 40
+#: Bits that hold the hashes of candidates, a row for each 64 with any (about 20 MB in each task's memory at most).
+BITS = 1 << 25
 
 
 def content_words(text: Column, stop: list[str] = STOP) -> Column:
@@ -37,23 +39,32 @@ def phrases(text: Column) -> Column:
     return let(content_words(text), of)
 
 
-def emerging(papers: DataFrame, last: str, min_docs: int = 40, top: int = TOP, window: int = 12, recent_months: int = 18) -> DataFrame:
+def emerging(papers: DataFrame, last: str, min_docs: int = 40, top: int = TOP, window: int = 12, recent_months: int = 18, cut=lambda d: d) -> DataFrame:
     """term, n (papers of the newest `window` months), recent and prior share, score of the phrases whose share rises and does not
     slow. A share is the mean of the monthly shares of a window; the windows are the newest, second and third `window` months that
     have papers, up to and with `last` (yyyy-MM).
 
-    A text is split once: a paper adds one over its month's papers to the share of its window, so all that a phrase needs is added up in
-    one aggregation, in each task before the shuffle. No cap on candidates."""
+    A text is split once: a paper adds one over its month's papers to the share of its window. The newest window's papers are added up
+    first, since a phrase must be in `min_docs` of them; of the other papers only phrases whose hash is one of those phrases' are moved
+    (BITS bits, so a few others are too, which the join drops). No cap on candidates. cut(frame) writes a frame and reads it again, so that
+    the newest papers are not split twice."""
     dated = papers.filter(F.col("month") <= last)
     # A row for each month.
     totals = dated.groupBy("month").agg(F.count("*").alias("total")).withColumn("age", F.row_number().over(Window.orderBy(F.desc("month"))) - 1)
     low = F.date_format(F.add_months(F.to_date(F.lit(f"{last}-01")), 1 - recent_months), "yyyy-MM")
     sizes = totals.agg(*(F.count_if((F.col("age") >= i * window) & (F.col("age") < (i + 1) * window)).alias(f"m{i}") for i in range(3)))
     part = totals.select("month", (F.lit(1.0) / F.col("total")).alias("part"), F.floor(F.col("age") / window).cast("int").alias("win"))
-    terms = dated.join(F.broadcast(part), "month").filter((F.col("win") < 3) | (F.col("month") >= low)).select("win", "part", (F.col("month") >= low).alias("late"), F.explode(phrases(F.col("text"))).alias("term"))
-    of = lambda i, v: F.sum(F.when(F.col("win") == i, v).otherwise(0))
-    g = terms.groupBy("term").agg(F.count_if("late").alias("seen"), of(0, F.lit(1)).alias("n"), *(of(i, F.col("part")).alias(f"s{i}") for i in range(3)))
-    df = g.filter((F.col("seen") >= min_docs) & (F.col("n") >= min_docs)).join(F.broadcast(sizes))  # one row
+    placed = dated.join(F.broadcast(part), "month").withColumn("late", F.col("month") >= low)
+    split = lambda rows: rows.select("win", "part", "late", F.explode(phrases(F.col("text"))).alias("term"))
+    newest = cut(split(placed.filter("win = 0")).groupBy("term").agg(F.count("*").alias("n"), F.count_if("late").alias("seen"), F.sum("part").alias("s0")).filter(F.col("n") >= min_docs))
+    word, bit = lambda h: F.shiftright(h, 6), lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    h = F.xxhash64("term").bitwiseAND(F.lit(BITS - 1))
+    marks = newest.select(h.alias("h")).groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias("bits"))
+    others = split(placed.filter((F.col("win") > 0) & ((F.col("win") < 3) | F.col("late")))).withColumn("word", word(h)).join(F.broadcast(marks), "word").filter(F.getbit("bits", bit(h)) == 1)
+    of = lambda i: F.sum(F.when(F.col("win") == i, F.col("part")).otherwise(0)).alias(f"s{i}")
+    rest = others.groupBy("term").agg(F.count_if("late").alias("more"), of(1), of(2))
+    g = newest.join(rest, "term", "left").withColumn("seen", F.col("seen") + F.coalesce("more", F.lit(0))).fillna(0.0, ["s1", "s2"])
+    df = g.filter(F.col("seen") >= min_docs).join(F.broadcast(sizes))  # one row
     df = df.select("term", "n", *((F.col(f"s{i}") / F.greatest(F.col(f"m{i}"), F.lit(1))).alias(name) for i, name in enumerate(("recent", "prior", "older"))))
     rise = F.col("recent") - F.col("prior")
     df = df.filter((rise > 1e-12) & (rise - (F.col("prior") - F.col("older")) >= -1e-12) & (F.col("recent") <= COMMON))

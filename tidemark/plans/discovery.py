@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mining
 from ..sources import domain
+from ..streaming.flows import cut
 from .catalog import MONTHLY, PAPERS, med, query
 
 _LAST, _MIN = "2021-12", 3
@@ -24,7 +25,7 @@ k AS (SELECT term, n::BIGINT AS n, recent, prior, round(ln((recent + 1e-5::DOUBL
 SELECT term, n, round(recent, 9) AS recent, round(prior, 9) AS prior, score FROM k ORDER BY score DESC, term LIMIT 40""")
 def corpus_emergence(spark, sf_dir):
     """Phrases of two and three content words whose share of the corpus rises; `min_docs` is 3, as the corpus is small."""
-    got = mining.emerging(domain.papers(spark, sf_dir), _LAST, _MIN)
+    got = mining.emerging(domain.papers(spark, sf_dir), _LAST, _MIN, cut=cut)
     return got.withColumns({c: F.round(c, 9) for c in ("recent", "prior")})
 
 
