@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -57,6 +58,45 @@ def test_coder_round_trip_and_checksum():
         range_coder.encode([np.array([1 << 16])])
 
 
+def test_coder_time_and_size():
+    rng = np.random.default_rng(2)
+    few = np.sort(rng.choice(40000, 600, replace=False))
+    blocks = [few[np.minimum(rng.zipf(1.3, 1024) - 1, 599)] for _ in range(1024)]
+    start = time.process_time()
+    np.argsort(rng.random(1 << 20))
+    sorting, start = time.process_time() - start, time.process_time()
+    coded = range_coder.encode(blocks)
+    for a, b in zip(blocks, range_coder.decode(coded, [1024] * 1024), strict=True):
+        assert (a == b).all()
+    assert time.process_time() - start < 16 * sorting  # for as many ids as were sorted
+    assert sum(map(len, coded)) < sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+
+
+def test_coder_refuses_broken_blocks_without_other_errors():
+    rng = np.random.default_rng(3)
+    coded = range_coder.encode([np.minimum(rng.zipf(1.3, 4096), 65535)])[0]
+    for at in rng.integers(4, len(coded) // 2, 20):
+        bad = bytearray(coded)
+        bad[at] ^= 1 << int(rng.integers(8))
+        with pytest.raises(ValueError):
+            range_coder.decode([bytes(bad)], [4096])
+
+
+def test_words_share_the_ids_of_their_letters():
+    import public_tokenizers
+
+    words = token_files.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Straße, straße; ÉTÉ!! été? ÿ ×a÷ naïve...", "hello world", "Hello, WORLD!! (world) hello's 'hello' hello', wor1d x<|endoftext|> a<b> e\u0301t\u00e9, \u0130x, \u03a3\u03a3. \ufb01x \u00aa \u00b5m \x7f, -- ... ''.", None, ""]
+    ids, n = words.encode(pa.array(texts, pa.large_string()))
+    want = [words.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    asked = []
+    add = words._add_letters
+    words._add_letters = lambda some: (asked.extend(some), add(some))
+    words.encode(pa.array(["HELLO!? wOrld; Naïve, planet. Planet PLANET?"], pa.large_string()))
+    assert asked == ["planet"]
+
+
 def test_token_files_equal_whole_text_encoding(spark, edges, empty):
     import public_tokenizers
 

@@ -1,10 +1,12 @@
 """Adaptive context-mixing range coder of token ids, for many independent blocks at once.
 
-A block starts from nothing, so it can be decoded alone. Order 2 and order 1 each predict one id for the context at hand; how
-often each was right under its confidence gives its probability, and a mixing weight learns which order to trust. Where both
-are wrong, order 0 predicts: the ids that the block had so far by their counts, which are turned into frequencies at steps that
-lie further and further apart. An id that it doesn't know yet is coded by its magnitude class under adaptive counts and its
-remaining bits as they are. All blocks advance in step, one id each, so every step is a few numpy operations over all blocks.
+A block starts from nothing, so it can be decoded alone. Order 2 and order 1 each predict one id for the context at hand, order 0
+the ids that the block had so far by their counts; an id that is new to the block has its magnitude class by counts and its
+remaining bits as they are. How sure orders 2 and 1 are chooses the weights with which the four are
+mixed, learned from who was right there before. A block is coded in stretches, and the model takes up between them what the block
+has shown: so inside a stretch all is looked up. All blocks advance in step, one id each, and a step is a few numpy operations
+over all of them; the encoder, who knows the ids, looks up many steps of a
+lane at once.
 
 A stored block is: crc32 of its ids as little-endian 32-bit unsigned integers, then 32-bit words of code.
 """
@@ -15,14 +17,17 @@ import zlib
 
 import numpy as np
 
-#: Ids in a block, log2 of the slots of the tables of orders 0 to 2, greatest id + 1.
-BLOCK, SLOTS0, SLOTS1, SLOTS2, LIMIT = 4096, 12, 10, 11, 1 << 16
-#: Blocks that are coded side by side; bounds memory to about 150 KB a block.
-LANES = 1024
-#: Steps after which order 0 takes up the counts so far.
-RENEWED = frozenset([64, 192, 448, 832, 1408, 2176, 3072])
-#: log2 of the total of frequencies, steps between two refreshes of the class probabilities, classes.
-TOTAL, REFRESH, CLASSES = 26, 64, 34
+#: Ids in a block, log2 of the slots of the tables of orders 1 and 2, greatest id + 1.
+BLOCK, SLOTS1, SLOTS2, LIMIT = 4096, 10, 11, 1 << 16
+#: Blocks that are coded side by side; bounds memory to about 100 KB a block.
+LANES = 2048
+#: Steps before which the model takes up the stretch since the one before.
+RENEWED = (16, 32, 64, 128, 256, 512, 1024, 1536, 2048, 3072)
+#: Ids that the encoder looks up at once, about: as many lanes as give that.
+AHEAD = 1 << 12
+#: log2 of the total of the weights, and of the frequencies inside the part of order 0 or of new ids; classes of ids.
+WEIGHTS, INNER, CLASSES = 12, 18, 32
+TOTAL = WEIGHTS + INNER
 _ONE = 1 << TOTAL
 _TOP, _LOW = 62, 30  # bits of the coder's range, and where its 32-bit words begin
 # Class of each id: 0, 1, then two classes for each further bit length (by the second highest bit).
@@ -35,78 +40,99 @@ for _c in range(CLASSES):
     _of = np.flatnonzero(_CLASS == _c)
     if len(_of):
         _FIRST[_c], _BITS[_c] = _of[0], (len(_of) - 1).bit_length()
+_LAST, _MOST = (1 << _BITS) - 1, np.uint64((1 << INNER) - 1)
+# The part of new ids is dealt to classes by slots of 2^_SLOT; a class has one at least, and one for each id at least.
+_SLOT = INNER - 8
+_LEAST = np.maximum(1, (1 << _BITS) >> _SLOT)
+# Who may be right: order 0, order 2, order 1, none of them (a new id).
+_ZERO, _TWO, _ONE1, _NEW = range(4)
+# Whose part holds an id, by bits: order 2 is right, order 1 is right, order 0 knows it.
+_ORDER = np.array([_NEW, _TWO, _ONE1, _TWO, _ZERO, _TWO, _ONE1, _TWO], np.int32)
+# An entry of orders 2 and 1 is id << 7 | confidence (0 to 3), at the bits that choose the weights: 4 or 2.
+_SURE2, _SURE1 = 16, 4
+
+
+def _prior() -> np.ndarray:
+    """Counts to begin with, for each choice of the weights: sureness of order 2 and of order 1."""
+    p = np.zeros((4, 4, 4), np.int64)
+    for sure2, two in enumerate((0, 20, 60, 75)):
+        for sure1, q1 in enumerate((0, 6, 20, 40)):
+            one = q1 * (100 - two) // 400
+            p[sure2, sure1] = (100 - two - one) * 4 // 5, two, one, (100 - two - one) // 5
+    return p.reshape(-1, 4) * 4 + 1
+
+
+_PRIOR = _prior()
 
 
 class _Model:
-    """The state of every lane. Both directions show it the same ids, so it predicts the same."""
+    """The state of every lane. Both directions show it the same ids, so it says the same."""
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.t1, self.t2 = np.zeros(lanes << SLOTS1, np.int32), np.zeros(lanes << SLOTS2, np.int32)  # id << 2 | confidence
-        self.base1, self.base2, self.row = lane << SLOTS1, lane << SLOTS2, lane * 4
-        self.o1, self.o2 = (np.tile(np.array(p), lanes) for p in ([64, 9000, 22000, 40000], [64, 26000, 42000, 52000]))
-        self.trust = np.full(lanes, 40000)
+        self.lanes, lane = lanes, np.arange(lanes)
+        self.t1, self.t2 = np.zeros(lanes << SLOTS1, np.int32), np.zeros(lanes << SLOTS2, np.int32)
+        lane = lane[:, None]
+        self.base1, self.base2, self.row = lane << SLOTS1, lane << SLOTS2, (lane * len(_PRIOR) * 4).astype(np.int32)
+        self.won = np.tile(_PRIOR.astype(np.int32), (lanes, 1))
         self.counts = np.full((lanes, CLASSES), 2)
-        self.row0 = lane * CLASSES
-        # Order 0: the id that came first into each slot, its count, and the frequencies as they were last taken up.
-        self.ids0, self.counts0 = np.full(lanes << SLOTS0, -1, np.int32), np.zeros((lanes, 1 << SLOTS0), np.int32)
-        self.cum0 = np.zeros((lanes, (1 << SLOTS0) + 1), np.int32)
-        self.base0, self.from0 = lane << SLOTS0, lane * ((1 << SLOTS0) + 1)
-        self.share0, self.some = np.full(lanes, 32768), np.zeros(lanes, bool)
-        self.a = self.b = np.zeros(lanes, np.int64)
-        self.step = 0
-
-    def predict(self):
-        """Ids of order 2 and order 1 and their frequencies out of 2^TOTAL (order 1 gets none if both say the same)."""
-        if self.step % REFRESH == 0:
-            cum = np.cumsum(self.counts, axis=1)
-            self.cum = np.zeros((len(cum), CLASSES + 1), np.int64)
-            self.cum[:, 1:] = (cum << 16) // cum[:, -1:]
-        if self.step in RENEWED:
-            cum = np.cumsum(self.counts0, axis=1, dtype=np.int32)
-            # Of 65536 a known id has 15 at least. Whole numbers below 2^53 times a double: the same on every machine.
-            self.cum0[:, 1:] = cum * (65536.0 / np.maximum(cum[:, -1:], 1))
-            self.some = cum[:, -1] > 0
-        self.step += 1
-        self.i2 = self.base2 + (((self.a * 40503 + self.b * 30011) >> 3) & ((1 << SLOTS2) - 1))
-        self.i1 = self.base1 + ((self.b * 40503 >> 2) & ((1 << SLOTS1) - 1))
-        e2, e1 = self.t2[self.i2].astype(np.int64), self.t1[self.i1].astype(np.int64)
-        self.c2, self.c1 = e2 & 3, e1 & 3
-        p2, p1 = e2 >> 2, e1 >> 2
-        self.r2, self.r1 = self.row + self.c2, self.row + self.c1
-        self.q2, self.q1 = self.o2[self.r2], self.o1[self.r1]
-        same, w = p1 == p2, self.trust
-        f2 = np.minimum((w * self.q2 + same * ((65536 - w) * self.q1)) >> (32 - TOTAL), _ONE - (_ONE >> 5)) + 1
-        f1 = np.where(same, 0, ((_ONE - (_ONE >> 6) - f2) * self.q1 >> 16) + 1)
-        return p2, p1, f2, f1
-
-    def left(self, said, k):
-        """For lanes k where both are wrong: order 0's frequencies in all, and those of ids that are new to it."""
-        rest = _ONE - said[k]
-        part = np.where(self.some[k], rest * self.share0[k] >> 16, 0)
-        return part, rest - part
-
-    def place(self, x, k):
-        """Where order 0 keeps ids in lanes k: places in the table and in the frequencies."""
-        s = ((x * 40503) & 0xFFFF) >> (16 - SLOTS0)
-        return self.base0[k] + s, self.from0[k] + s
-
-    def learn(self, x, right2, right1, k, place, known):
-        """k: the lanes where both orders were wrong; place, known: where order 0 keeps their ids, and whether it knew them."""
-        xk, kept0 = x[k], self.ids0[place]
-        mine = (kept0 == xk) | (kept0 < 0)
-        self.ids0[place] = np.where(mine, xk, kept0)
-        self.counts0.reshape(-1)[place] += mine
-        share = self.share0[k]
-        self.share0[k] = np.clip(share + (((known.astype(np.int64) << 16) - share) >> 5), 4096, 61440)
-        self.counts.reshape(-1)[self.row0[k] + _CLASS[xk]] += np.where(known, 0, 24)
-        self.o2[self.r2] = self.q2 + (((right2 << 16) - self.q2) >> 5)
-        self.o1[self.r1] = self.q1 + (((right1 << 16) - self.q1) >> 5)
-        self.trust = np.clip(self.trust + (right2 - right1) * 1024, 4096, 61440)
-        kept = x << 2
-        self.t2[self.i2] = kept + (right2 * np.minimum(self.c2, 2) + 1)
-        self.t1[self.i1] = kept + (right1 * np.minimum(self.c1, 2) + 1)
-        self.a, self.b = self.b, x
+        self._weigh(False)
+
+    def _weigh(self, known: bool):
+        """Weights and where their parts begin; order 0 has next to nothing before the first stretch is known."""
+        share = self.won * np.int32((1 << WEIGHTS) - 4) // self.won.sum(1, keepdims=True, dtype=np.int32) + 1
+        most = _ZERO if known else _NEW
+        if not known:
+            share[:] = 1
+        share[:, most] += (1 << WEIGHTS) - share.sum(1, dtype=np.int32)
+        self.weight = share.reshape(-1).astype(np.int64)
+        self.begin = (np.cumsum(share, axis=1) - share).reshape(-1) << INNER
+        # Each id of a class has `each` of 2^INNER. What slots the counts leave over goes to the last class.
+        slots = _LEAST + self.counts * (256 - _LEAST.sum()) // self.counts.sum(1, keepdims=True)
+        slots[:, -1] += 256 - slots.sum(1)
+        self.each = (slots << _SLOT >> _BITS).reshape(-1)
+        self.lows = (np.cumsum(slots, axis=1) - slots << _SLOT).reshape(-1)
+        self.slots = slots.reshape(-1)
+
+    def where(self, a, b, i2, i1, s):
+        """Puts into i2 and i1 where orders 2 and 1 of lanes s keep what follows ids a, b."""
+        np.add(((a * 4027) + b) & ((1 << SLOTS2) - 1), self.base2[s], out=i2)
+        np.add(b & ((1 << SLOTS1) - 1), self.base1[s], out=i1)
+
+    def choose(self, e2, e1, s):
+        """The place of the weights for what orders 2 and 1 of lanes s found."""
+        at = e2 + e1
+        at &= 127
+        at += self.row[s]
+        return at
+
+    def renew(self, x, i2, i1, e2, e1, won):
+        """Takes up a stretch (a row for each lane): its ids, where orders 2 and 1 looked, what they found, and whose part held the id
+        (place and order)."""
+        for i in range(0, self.lanes, 64):
+            s = slice(i, i + 64)
+            for table, at, e, one in ((self.t2, i2[s], e2[s], _SURE2), (self.t1, i1[s], e1[s], _SURE1)):
+                sure = np.minimum(e & 3 * one, 2 * one)
+                sure *= e >> 7 == x[s]
+                sure += one
+                sure += x[s] << 7
+                table[at.reshape(-1)] = sure.reshape(-1)
+        lately = np.bincount(won.reshape(-1), minlength=self.won.size).reshape(self.won.shape)
+        self.won += ((lately << 6) - np.where(lately.sum(1, keepdims=True) > 0, self.won >> 2, 0)).astype(np.int32)
+        new = np.flatnonzero((won & 3) == _NEW)
+        lane = new // x.shape[1] * CLASSES
+        self.counts += np.bincount(lane + _CLASS[x.reshape(-1)[new]], minlength=self.counts.size).reshape(self.counts.shape) * 24
+        self._weigh(True)
+
+
+def _stretches(steps: int):
+    ends = [t for t in RENEWED if t < steps] + [steps]
+    return zip([0, *ends[:-1]], ends, strict=True) if steps else ()
+
+
+def _packed(first: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Order 0's part of ids with so many ids before them and of them, among n: begin and width of 2^INNER in one number (0: unknown)."""
+    lo, end = ((first << INNER) + (n - 1)) // n, ((first + count << INNER) + (n - 1)) // n
+    return np.where(count, (lo << 20) + (end - lo), 0)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -117,63 +143,95 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def _dense(by_lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each id of each lane (ascending by lane, then id), and the lane of each number."""
+    lanes, steps = by_lane.shape
+    code, lane_of, used = np.empty(lanes * steps, np.int32), [], 0
+    for i in range(0, lanes, 64):
+        some = by_lane[i : i + 64]
+        order = np.argsort(some, axis=1, kind="stable")
+        order += (np.arange(len(some)) * steps)[:, None]
+        kept = some.reshape(-1)[order]
+        begins = np.ones(kept.shape, bool)
+        np.not_equal(kept[:, 1:], kept[:, :-1], out=begins[:, 1:])
+        number = np.cumsum(begins.reshape(-1), dtype=np.int32)
+        number += used - 1
+        code[i * steps : (i + len(some)) * steps][order.reshape(-1)] = number
+        lane_of.append(np.flatnonzero(begins) // steps + i)
+        used += len(lane_of[-1])
+    return code.reshape(lanes, steps), np.concatenate(lane_of)
+
+
 def _encode(blocks):
     n = np.array([len(b) for b in blocks])
     steps, lanes = int(n.max(initial=0)), len(blocks)
-    ids = np.zeros((steps, lanes), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    if steps > BLOCK or steps and (ids.max() >= LIMIT or ids.min() < 0):
+    if steps > BLOCK or any(len(b) and (b.max() >= LIMIT or b.min() < 0) for b in blocks):
         raise ValueError(f"blocks hold at most {BLOCK} ids from 0 to {LIMIT - 1}")
+    ids = np.zeros((lanes, steps + 2), np.int32)  # two ids before the first
+    for k, b in enumerate(blocks):
+        ids[k, 2 : 2 + len(b)] = b
     m = _Model(lanes)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << _TOP) - 1)
-    out, size = np.zeros((lanes, steps + 8), np.int64), np.zeros(lanes, np.int64)
+    out, size = np.zeros((steps + 4, lanes), np.int64), np.zeros(lanes, np.int64)
     short, every = n.min(initial=0), np.arange(lanes)
+    if steps:
+        code, lane_of = _dense(ids[:, 2:].astype(np.uint16))
+        count, known = np.zeros(len(lane_of), np.int64), np.zeros(len(lane_of), np.int64)
 
     def shift(k):
-        out[k, size[k]] = low[k] >> _LOW  # bit 32 is a carry into the word before
-        size[k] += 1
-        low[k] = (low[k] & ((1 << _LOW) - 1)) << 32
+        at, now = size[k], low[k]
+        out[at, k] = now >> _LOW  # bit 32 is a carry into the word before
+        size[k] = at + 1
+        low[k] = (now & ((1 << _LOW) - 1)) << 32
         span[k] <<= 32
 
-    def put(start, width, bits):
-        nonlocal low, span
-        r = span >> bits
-        low += r * start
-        span = r * width
-        k = np.flatnonzero(span < 1 << _LOW)
-        if len(k):
-            shift(k)
-
-    for t in range(steps):
-        x = ids[t]
-        p2, p1, f2, f1 = m.predict()
-        is2, is1 = x == p2, x == p1
-        right2, right1, said = is2.astype(np.int64), is1.astype(np.int64), f2 + f1
-        start, width, bits = (1 - right2) * f2, np.where(is2, f2, f1), np.zeros(lanes, np.int64)
-        k = np.flatnonzero(~(is2 | is1))
-        part, rest = m.left(said, k)
-        place, at0 = m.place(x[k], k)
-        cum0, cum = m.cum0.reshape(-1), m.cum.reshape(-1)
-        low0, high0 = part * cum0[at0] >> 16, part * cum0[at0 + 1] >> 16
-        known = (m.ids0[place] == x[k]) & (high0 > low0)
-        c = _CLASS[x[k]]
-        at = m.row0[k] + c + k  # rows of cum have one entry more
-        lo = rest * cum[at] >> 16
-        start[k] = said[k] + np.where(known, low0, part + lo)
-        width[k] = np.where(known, high0 - low0, (rest * cum[at + 1] >> 16) - lo)
-        bits[k] = np.where(known, 0, _BITS[c])
-        if t >= short:
-            live = t < n
-            start, width, bits = np.where(live, start, 0), np.where(live, width, _ONE), np.where(live, bits, 0)
-        put(start, width, TOTAL)
-        put(np.where(bits, x - _FIRST[_CLASS[x]], 0), 1, bits)
-        m.learn(x, right2, right1, k, place, known)
+    for begin, end in _stretches(steps):
+        i2, i1, won, start, width = (np.empty((lanes, end - begin), np.int64) for _ in range(5))
+        e2, e1 = np.empty((lanes, end - begin), np.int32), np.empty((lanes, end - begin), np.int32)
+        for i in range(0, lanes, per := max(1, AHEAD // (end - begin))):
+            s = slice(i, i + per)
+            x = ids[s, begin + 2 : end + 2]
+            m.where(ids[s, begin:end], ids[s, begin + 1 : end + 1], i2[s], i1[s], s)
+            e2[s], e1[s] = m.t2[i2[s]], m.t1[i1[s]]
+            at = m.choose(e2[s], e1[s], s)
+            found = known[code[s, begin:end]]
+            right = (e2[s] >> 7 == x).view(np.uint8) + (e1[s] >> 7 == x).view(np.uint8) * np.uint8(2) + (found > 0).view(np.uint8) * np.uint8(4)
+            at += _ORDER.take(right, mode="clip")
+            won[s] = at
+            weight = m.weight.take(won[s], mode="clip")
+            found = np.where(right & 3, 1 << INNER, found)
+            lo, inner = found >> 20, found & ((1 << 20) - 1)
+            new = np.flatnonzero(right == 0)
+            if len(new):
+                xn, lane = x.reshape(-1)[new], new // (end - begin) + i
+                c = _CLASS[xn]
+                place = lane * CLASSES + c
+                each = m.each[place]
+                lo.reshape(-1)[new] = m.lows[place] + (xn - _FIRST[c]) * each
+                inner.reshape(-1)[new] = each
+            start[s], width[s] = m.begin.take(won[s], mode="clip") + lo * weight, inner * weight
+        if end > short:
+            dead = np.arange(begin, end) >= n[:, None]
+            start[dead], width[dead] = 0, _ONE
+        for t in range(0, end - begin, 16):
+            # Sixteen numbers of a lane lie in two lines of the cache.
+            for row, wide in zip(np.ascontiguousarray(start[:, t : t + 16].T), np.ascontiguousarray(width[:, t : t + 16].T), strict=True):
+                r = span >> TOTAL
+                low += r * row
+                np.multiply(r, wide, out=span)
+                k = np.flatnonzero(span < 1 << _LOW)
+                if len(k):
+                    shift(k)
+        if end < steps:
+            m.renew(ids[:, begin + 2 : end + 2], i2, i1, e2, e1, won)
+            count += np.bincount(code[:, begin:end].reshape(-1), minlength=len(count))
+            known = _packed(np.cumsum(count) - count - lane_of * end, count, end)
     for _ in range(2):
         shift(every)
-    for c in range(out.shape[1] - 1, 0, -1):
-        out[:, c - 1] += out[:, c] >> 32
-    words = (out & 0xFFFFFFFF).astype("<u4")
+    out = out[: size.max()]
+    for c in range(len(out) - 1, 0, -1):
+        out[c - 1] += out[c] >> 32
+    words = np.ascontiguousarray((out & 0xFFFFFFFF).astype("<u4").T)
     return [zlib.crc32(np.asarray(b).astype("<u4").tobytes()).to_bytes(4, "little") + words[k, : size[k]].tobytes() for k, b in enumerate(blocks)]
 
 
@@ -185,81 +243,101 @@ def decode(coded: list[bytes], n: list[int]) -> list[np.ndarray]:
     return out
 
 
+class _Known:
+    """Order 0 of the decoder: the ids of each lane so far, sorted, so that a place among them is an id and its run."""
+
+    def __init__(self, ids: np.ndarray):
+        self.n, lanes = ids.shape
+        ids = np.sort(np.ascontiguousarray(ids.astype(np.uint16).T), axis=1, kind="stable")
+        begins = np.ones((lanes, self.n), bool)
+        np.not_equal(ids[:, 1:], ids[:, :-1], out=begins[:, 1:])
+        first = np.flatnonzero(begins)
+        lane = first // self.n
+        self.base, self.runs = np.arange(lanes) * self.n, np.searchsorted(lane, np.arange(lanes))
+        self.run = np.cumsum(begins, axis=1, dtype=np.uint16).reshape(-1)
+        self.runs -= 1
+        self.found = (_packed(first - lane * self.n, np.diff(first, append=lanes * self.n), self.n) << 16) + ids.reshape(-1)[first]
+
+
 def _decode(coded, n):
     lanes, steps, short = len(coded), int(n.max(initial=0)), n.min(initial=0)
-    words = np.zeros((lanes, max(len(c) // 4 for c in coded) + 3), np.int64)
+    words = np.zeros((lanes, max(len(c) // 4 for c in coded) + 3), np.uint32)
     for k, c in enumerate(coded):
         words[k, : len(c) // 4 - 1] = np.frombuffer(c, "<u4", offset=4)
-    every = np.arange(lanes)
-    size, last = np.full(lanes, 2), words.shape[1] - 1
-    value, spare = (words[:, 0] << 30) | (words[:, 1] >> 2), words[:, 1] & 3
+    every, last = np.arange(lanes), (words.shape[1] - 1) * lanes
+    words = np.ascontiguousarray(words.T)  # lanes read on side by side
+    head = words[:2].astype(np.int64)
+    value, spare = (head[0] << 30) | (head[1] >> 2), head[1] & 3
+    words, size = words.reshape(-1), np.full(lanes, 2 * lanes)
     span = np.full(lanes, (1 << _TOP) - 1)
-    m, ids = _Model(lanes), np.zeros((steps, lanes), np.int64)
-
-    def quotient(r):
-        return (value.view(np.uint64) // r.view(np.uint64)).view(np.int64)
-
-    def take(r, start, width):
-        nonlocal value, span
-        value = value - r * start
-        span = r * width
-        k = np.flatnonzero(span < 1 << _LOW)
-        if len(k):
-            word = words[k, np.minimum(size[k], last)]
-            size[k] += 1
-            value[k] = (value[k] << 32) | (spare[k] << 30) | (word >> 2)
-            spare[k] = word & 3
-            span[k] <<= 32
-
-    for t in range(steps):
-        p2, p1, f2, f1 = m.predict()
-        r = span >> TOTAL
-        v = np.minimum(quotient(r), _ONE - 1)
-        said, first = f2 + f1, v < f2
-        start, width = np.where(first, 0, f2), np.where(first, f2, f1)
-        bits, x = np.zeros(lanes, np.int64), np.where(first, p2, p1)
-        k = np.flatnonzero(v >= said)
-        part, rest = m.left(said, k)
-        u = v[k] - said[k]
-        known = u < part
-        old, new = np.flatnonzero(known), np.flatnonzero(~known)
-        if len(old):
-            lane, w, f = k[old], u[old], part[old]
-            row, s, cum0 = m.from0[lane], np.zeros(len(old), np.int64), m.cum0.reshape(-1)  # s: the last slot that begins at or below w
-            for b in range(SLOTS0 - 1, -1, -1):
-                s += ((f * cum0[row + s + (1 << b)] >> 16) <= w).astype(np.int64) << b
-            low0 = f * cum0[row + s] >> 16
-            start[lane], width[lane] = said[lane] + low0, (f * cum0[row + s + 1] >> 16) - low0
-            x[lane] = m.ids0[m.base0[lane] + s]
-        if len(new):
-            lane, ahead = k[new], said[k[new]] + part[new]
-            lows = rest[new, None] * m.cum[lane, 1:] >> 16
-            c = np.minimum((lows <= (v[lane] - ahead)[:, None]).sum(1), CLASSES - 1)
-            own = np.arange(len(new))
-            lo = np.where(c > 0, lows[own, np.maximum(c - 1, 0)], 0)
-            start[lane], width[lane], bits[lane] = ahead + lo, lows[own, c] - lo, _BITS[c]
-        if t >= short:
-            live = t < n
-            start, width, bits = np.where(live, start, 0), np.where(live, width, _ONE), np.where(live, bits, 0)
-        take(r, start, width)
-        r = span >> bits
-        tail = np.where(bits, quotient(r), 0)
-        take(r, tail, 1)
-        if len(new):
-            x[lane] = _FIRST[c] + tail[lane]
-        if t >= short:
-            x = np.where(live, x, 0)
-        is2, is1 = x == p2, x == p1
-        if t >= short:  # lanes that have ended go on as the encoder's do
-            k = np.flatnonzero(~(is2 | is1))
-            place, at0 = m.place(x[k], k)
-            part, cum0 = m.left(said, k)[0], m.cum0.reshape(-1)
-            known = (m.ids0[place] == x[k]) & ((part * cum0[at0 + 1] >> 16) > (part * cum0[at0] >> 16))
-        else:
-            place = m.place(x[k], k)[0]
-        m.learn(x, is2.astype(np.int64), is1.astype(np.int64), k, place, known)
-        ids[t] = x
-    out = [ids[: n[k], k].astype(np.uint32) for k in every]
+    m, ids = _Model(lanes), np.zeros((steps + 2, lanes), np.int32)
+    base2, base1, row = m.base2[:, 0], m.base1[:, 0], m.row[:, 0]
+    known = None
+    for begin, end in _stretches(steps):
+        i2, i1, won = (np.empty((end - begin, lanes), np.int64) for _ in range(3))
+        e2, e1 = np.empty((end - begin, lanes), np.int32), np.empty((end - begin, lanes), np.int32)
+        klass = np.repeat(np.tile(np.arange(CLASSES), lanes), m.slots)
+        if begin:
+            known = _Known(ids[2 : begin + 2])
+        for t in range(begin, end):
+            s = t - begin
+            np.add((ids[t] * 4027 + ids[t + 1]) & ((1 << SLOTS2) - 1), base2, out=i2[s])
+            np.add(ids[t + 1] & ((1 << SLOTS1) - 1), base1, out=i1[s])
+            e2[s], e1[s] = m.t2[i2[s]], m.t1[i1[s]]
+            at = won[s]
+            np.add((e2[s] + e1[s]) & 127, row, out=at)
+            r = span >> TOTAL
+            unit = r * m.weight.take(at, mode="clip")  # of order 0's part, which comes first
+            u = value.view(np.uint64) // unit.view(np.uint64)
+            k = np.flatnonzero(u > _MOST)  # not in order 0's part
+            x = ids[t + 2]
+            if known:
+                np.minimum(u, _MOST, out=u)
+                u = u.view(np.int64)
+                u *= known.n
+                u >>= INNER
+                u += known.base
+                found = known.found[known.run[u] + known.runs]
+                x[:] = found.astype(np.uint16)
+                found >>= 16
+                start, span = (found >> 20) * unit, (found & ((1 << 20) - 1)) * unit
+            else:
+                start, span = np.zeros(lanes, np.int64), unit << INNER
+            if len(k):
+                rk, ak = r[k], at[k]
+                vk = np.minimum(value[k].view(np.uint64) // rk.view(np.uint64), _ONE - 1).view(np.int64)
+                ak += 1 + (vk >= m.begin.take(ak + 2, mode="clip")).view(np.int8) + (vk >= m.begin.take(ak + 3, mode="clip")).view(np.int8)
+                at[k] = ak
+                two, new = (ak & 3) == _TWO, np.flatnonzero((ak & 3) == _NEW)
+                wk, sk = m.weight.take(ak, mode="clip"), m.begin.take(ak, mode="clip")
+                xk, wide = np.where(two, e2[s].take(k), e1[s].take(k)) >> 7, wk << INNER
+                if len(new):
+                    lane, wn = k[new], wk[new]
+                    un = np.minimum((vk[new] - sk[new]) // wn, (1 << INNER) - 1)
+                    c = klass[(lane << 8) + (un >> _SLOT)]
+                    place = lane * CLASSES + c
+                    each, low = m.each[place], m.lows[place]
+                    tail = np.minimum((un - low) // each, _LAST[c])
+                    xk[new] = _FIRST[c] + tail
+                    sk[new] += (low + tail * each) * wn
+                    wide[new] = each * wn
+                x[k], start[k], span[k] = xk, sk * rk, wide * rk
+            if t >= short:
+                dead = t >= n
+                start[dead], span[dead], x[dead] = 0, r[dead] << TOTAL, 0
+            value -= start
+            k = np.flatnonzero(span < 1 << _LOW)
+            if len(k):
+                pos = size[k]
+                word = words.take(np.minimum(pos, last) + k).astype(np.int64)
+                size[k] = pos + lanes
+                value[k] = (value[k] << 32) | (spare[k] << 30) | (word >> 2)
+                spare[k] = word & 3
+                span[k] <<= 32
+        if end < steps:
+            m.renew(*(np.ascontiguousarray(k.T) for k in (ids[begin + 2 : end + 2], i2, i1, e2, e1, won)))
+    by_lane = np.ascontiguousarray(ids[2:].T)
+    out = [by_lane[k, : n[k]].astype(np.uint32) for k in every]
     for k, b in enumerate(out):
         if zlib.crc32(b.astype("<u4").tobytes()).to_bytes(4, "little") != coded[k][:4]:
             raise ValueError(f"block {k}: checksum mismatch")

@@ -12,8 +12,11 @@ leaves no half file behind. A chunk is a row:
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,15 @@ from .shared import shared_dir, slices, text_buffers
 CHUNK = rc.LANES * rc.BLOCK
 #: Words whose ids a Python worker remembers at once (over its tasks).
 REMEMBERED = 3 << 19
+#: Bytes of text whose words are looked up at once.
+LOOKED_UP = 4 << 20
 END = 1
+#: Signs after a word's letters that are parted from them (no apostrophe, which may begin a contraction, and no "<", which may begin a
+#: special token), and letters beside ASCII's that normal form leaves as they are.
+_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The pieces of a text for which that holds.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "shard int, chunk int, doc_ids array<long>, n_tokens array<int>, block_n array<int>, blocks array<binary>"
 _ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("block_n", pa.list_(pa.int32())), ("blocks", pa.list_(pa.binary()))])
 
@@ -41,15 +52,31 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _letters_apart(tok) -> tuple:
+    """Latin-1's letters as the pre-tokenizer names their bytes, and whether this tokenizer hands its model runs of letters in lower case."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    steps = json.loads(tok.to_str())
+    normal = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", ())]
+    cut = (steps["pre_tokenizer"] or {}).get("pretokenizers", ())
+    parts = len(cut) == 2 and cut[0].get("pattern") == {"Regex": _PIECES} and cut[0].get("invert") and (cut[1]["type"], cut[1].get("use_regex"), cut[1].get("add_prefix_space")) == ("ByteLevel", False, False)
+    rename = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    return {k: rename(chr(k))[0][0] for k in range(0xC0, 0x100)}, bool(parts and normal == ["NFC", "Replace", "Lowercase"])
+
+
 class WordTokenizer:
     """Ids of texts by way of their distinct words, for tokenizers none of whose tokens crosses ASCII white space.
 
-    Words not seen before are encoded many at a time, parted by the special token `apart`; words that hold special tokens
+    Of a word not seen before that is letters and perhaps signs after them, the letters (in lower case) and the signs are looked up
+    apart, as the tokenizer parts them; letters not seen before go to the tokenizer's model as its normalizer and pre-tokenizers would
+    hand them on. Other new words are encoded many at a time, parted by the special token `apart`; words that hold special tokens
     themselves are encoded alone. The result equals encoding whole texts (tests hold it against that)."""
 
     def __init__(self, path: str, apart: str = "<|endoftext|>"):
         self.tok, self.apart = tokenizer(path), apart
         self.apart_id = self.tok.token_to_id(apart)
+        self.model = self.tok.model
+        self.renamed, self.parted = _letters_apart(self.tok)
         self.forget()
 
     def forget(self):
@@ -57,11 +84,21 @@ class WordTokenizer:
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _room(self, n: int) -> None:
+        while n > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+
+    def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after another, and each word's number of them."""
+        size = self.size[code]
+        at = np.repeat(self.start[code] - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        return self.flat[at], size
+
     def _keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         """Remembers words with their ids, one word's after another's."""
         k, m = len(self.known), len(words)
-        while k + m > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        self._room(k + m)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
@@ -71,6 +108,42 @@ class WordTokenizer:
 
     def _add(self, words: list[str]) -> None:
         """Encodes words that are not known, each once in the list."""
+        pairs, others, letters, signs = [], {}, {}, {}
+        for w in words:
+            a = w.rstrip(_SIGNS) if self.parted else ""
+            if a.isalpha() and (a.isascii() or _LATIN.fullmatch(a)):
+                b, a = w[len(a) :], a.lower()
+                if a not in self.known:
+                    letters[a] = None
+                if b and b not in self.known:
+                    signs[b] = None
+                if a != w:
+                    pairs.append((w, a, b))
+            else:
+                others[w] = None
+        self._add_letters([*letters])
+        self._add_whole([*(signs | others)])
+        if pairs:
+            names, letters, after = zip(*pairs, strict=True)
+            none = len(self.known)  # a place that holds no word yet
+            code = np.empty((len(pairs), 2), np.int64)
+            code[:, 0] = [*map(self.known.__getitem__, letters)]
+            code[:, 1] = [self.known[a] if a else none for a in after]
+            self._room(none + 1)
+            self.start[none] = self.size[none] = 0
+            ids, size = self._gather(code.reshape(-1))
+            self._keep(names, ids, size.reshape(-1, 2).sum(1))
+
+    def _add_letters(self, words: list[str]) -> None:
+        ids, size, tokenize = [], [], self.model.tokenize
+        for w in words:
+            # Bytes of ASCII letters stand for themselves; others are renamed.
+            got = tokenize(w if w.isascii() else w.translate(self.renamed))
+            ids += [t.id for t in got]
+            size.append(len(got))
+        self._keep(words, np.array(ids, np.int64), np.array(size, np.int64))
+
+    def _add_whole(self, words: list[str]) -> None:
         plain = [w for w in words if "<|" not in w]
         for w in words if len(plain) < len(words) else ():
             if "<|" in w:
@@ -86,18 +159,17 @@ class WordTokenizer:
         """All ids of the texts (null: none) one after another, and the number of each text's."""
         words = pc.ascii_split_whitespace(texts.fill_null(""))
         each = words.flatten().dictionary_encode()
-        names = each.dictionary.to_pylist()
+        names = each.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(names) > REMEMBERED:
             self.forget()
-        new = [w for w in names if w not in self.known]
-        if new:
-            self._add(new)
-        code = np.fromiter((self.known[w] for w in names), np.int64, len(names))[each.indices.to_numpy()] if len(each) else np.zeros(0, np.int64)
-        size = self.size[code]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[code] - ends + size, size) + np.arange(total)]
-        at = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        code = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            some = [names[i] for i in new.tolist()]
+            self._add(some)
+            code[new] = [*map(self.known.__getitem__, some)]
+        ids, size = self._gather(code[each.indices.to_numpy()] if len(each) else np.zeros(0, np.int64))
+        at = np.concatenate([[0], np.cumsum(size)])[words.offsets.to_numpy() - words.offsets[0].as_py()]
         return ids, np.diff(at)
 
 
@@ -120,7 +192,7 @@ def _writer(path: str, end: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string())
             _, offsets = text_buffers(texts)
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, LOOKED_UP):
                 got, n = words.encode(texts.slice(i, j - i))
                 out = np.insert(got, np.cumsum(n), end)
                 doc_ids += batch.column(0).slice(i, j - i).to_pylist()
